@@ -13,6 +13,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skyframe.session import cut
+
 BINS_PER_OCTAVE = 4096
 SMALLEST_EXPONENT = -40
 
@@ -45,6 +47,11 @@ def kth_largest(k: int):
     return ("kth", int(k))
 
 
+def at_rank(fn):
+    """Element at the rank ``fn(n)`` (0-based, ascending) of a group of n values."""
+    return ("fn", fn)
+
+
 def _ranks(spec, n: Column) -> tuple[Column, Column, Column]:
     kind, arg = spec
     if kind == "linear":
@@ -52,6 +59,8 @@ def _ranks(spec, n: Column) -> tuple[Column, Column, Column]:
         return F.floor(pos).cast("long"), F.ceil(pos).cast("long"), pos - F.floor(pos)
     if kind == "lower":
         r = F.floor((n - F.lit(1)) * F.lit(arg)).cast("long")
+    elif kind == "fn":
+        r = arg(n).cast("long")
     elif kind == "upper":
         r = F.floor(n / F.lit(2)).cast("long")
     else:
@@ -92,36 +101,27 @@ def group_quantiles(
             picks.append(
                 F.struct(F.lit(2 * i + side).alias("i"), rank.alias("r"), frac.cast("double").alias("f"))
             )
-    targets = hist.select(
-        *keys_in,
-        "_b",
-        "_from",
-        "_n",
-        F.filter(
-            F.array(*picks), lambda s: (s["r"] >= F.col("_from")) & (s["r"] < F.col("_to"))
-        ).alias("_p"),
-    ).filter(F.size("_p") > 0)
-
-    in_bin = Window.partitionBy(*keys_in, "_b")
-    values = (
-        src.join(targets.select(*keys_in, "_b"), [*keys_in, "_b"], "left_semi")
-        .groupBy(*keys_in, "_b", "_v")
-        .agg(F.count(F.lit(1)).alias("_c"))
-        .withColumn("_vto", F.sum("_c").over(in_bin.orderBy("_v")))
+    # at most two rows per group and wanted value: the bin and the rank inside it
+    targets = (
+        hist.withColumn(
+            "_p",
+            F.explode(F.filter(F.array(*picks), lambda s: (s["r"] >= F.col("_from")) & (s["r"] < F.col("_to")))),
+        )
+        .select(*keys_in, "_b", "_n", F.col("_p.i").alias("_i"), (F.col("_p.r") - F.col("_from")).alias("_r"), F.col("_p.f").alias("_f"))
     )
+    near = Window.partitionBy(*keys_in, "_i")
     found = (
-        values.join(targets, [*keys_in, "_b"])
-        .select(*keys_in, "_n", "_v", "_from", "_vto", "_c", F.explode("_p").alias("_p"))
-        .filter(
-            (F.col("_p.r") < F.col("_from") + F.col("_vto"))
-            & (F.col("_p.r") >= F.col("_from") + F.col("_vto") - F.col("_c"))
-        )
+        src.join(targets, [*keys_in, "_b"])
+        .groupBy(*keys_in, "_n", "_i", "_r", "_f", "_v")
+        .agg(F.count(F.lit(1)).alias("_c"))
+        .withColumn("_vto", F.sum("_c").over(near.orderBy("_v")))
+        .filter((F.col("_r") < F.col("_vto")) & (F.col("_r") >= F.col("_vto") - F.col("_c")))
     )
     aggs = [F.max("_n").alias("_n")]
     for i, _ in enumerate(names):
         for side in (0, 1):
-            aggs.append(F.max(F.when(F.col("_p.i") == 2 * i + side, F.col("_v"))).alias(f"_q{2 * i + side}"))
-        aggs.append(F.max(F.when(F.col("_p.i") == 2 * i, F.col("_p.f"))).alias(f"_f{i}"))
+            aggs.append(F.max(F.when(F.col("_i") == 2 * i + side, F.col("_v"))).alias(f"_q{2 * i + side}"))
+        aggs.append(F.max(F.when(F.col("_i") == 2 * i, F.col("_f"))).alias(f"_f{i}"))
     out = found.groupBy(*keys_in).agg(*aggs)
     cols = [
         (F.col(f"_q{2 * i}") + (F.col(f"_q{2 * i + 1}") - F.col(f"_q{2 * i}")) * F.col(f"_f{i}")).alias(name)
@@ -152,7 +152,7 @@ def group_mad(
     df: DataFrame, keys: Sequence[str], value: str, name: str = "mad", center: str = "med"
 ) -> DataFrame:
     """Median and raw median absolute deviation of every group."""
-    med = group_median(df, keys, value, center)
+    med = cut(group_median(df, keys, value, center))
     dev = attach(df.select(*keys, value), med, keys).withColumn("_d", F.abs(F.col(value) - F.col(center)))
     mad = group_median(dev, keys, "_d", name)
     return attach(med, mad, keys)

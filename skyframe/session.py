@@ -29,6 +29,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` reliably: used where one result feeds several branches or a loop."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise ``df`` as a table in the shared checkpoint folder and read it back.
+
+    Used where one result feeds several branches or a loop.  The table survives the loss of any
+    executor, and its size on disk lets Spark decide soundly whether to broadcast it.
+    """
+    path = scratch_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
