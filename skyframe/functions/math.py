@@ -14,7 +14,8 @@ def _c(x) -> Column:
 
 
 def clip(x: Column, lo=0.0, hi=1.0) -> Column:
-    return F.least(F.greatest(x, _c(lo)), _c(hi))
+    """Clamp; null stays null (``greatest``/``least`` alone would turn no-data into a bound)."""
+    return F.when(x.isNotNull(), F.least(F.greatest(x, _c(lo)), _c(hi)))
 
 
 def half_up(x: Column) -> Column:

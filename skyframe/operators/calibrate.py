@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skyframe.functions.math import clip
 from skyframe.functions.quantiles import attach
 
 PIX = ["target_id", "y", "x"]
 
 
-def clip01(c: Column) -> Column:
-    return F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0))
-
-
 def _named(master: DataFrame | None, name: str) -> DataFrame | None:
     return None if master is None else master.select(*PIX, F.col("v").alias(name))
 
@@ -34,7 +31,7 @@ def calibrate_light(light, bias=None, dark=None, flat=None) -> DataFrame:
         fn = attach(_named(flat, "_f"), mean, ["target_id"]).select(*PIX, (F.col("_f") / norm).alias("_fn"))
         df = df.join(fn, PIX, "left")
         out = F.when(F.col("_fn").isNull(), out).when(F.col("_fn") > 1e-6, out / F.col("_fn")).otherwise(0.0)
-    return df.withColumn("v", clip01(out)).select(light.columns)
+    return df.withColumn("v", clip(out)).select(light.columns)
 
 
 def pedestal_flats(flats: DataFrame, dark_flat: DataFrame, bias: DataFrame) -> DataFrame:
@@ -42,7 +39,7 @@ def pedestal_flats(flats: DataFrame, dark_flat: DataFrame, bias: DataFrame) -> D
     return (
         flats.join(_named(dark_flat, "_d"), PIX, "left")
         .join(_named(bias, "_b"), PIX, "left")
-        .withColumn("v", clip01(F.col("v") - F.coalesce("_d", "_b", F.lit(0.0))))
+        .withColumn("v", clip(F.col("v") - F.coalesce("_d", "_b", F.lit(0.0))))
         .select(flats.columns)
     )
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skyframe.functions.math import clip
 from skyframe.functions.quantiles import attach, group_median, group_quantiles, linear
 from skyframe.session import cut
 
@@ -63,10 +64,6 @@ def _bounds(values: Column, low: float, high: float, iters: int, model) -> Colum
     return F.aggregate(F.sequence(F.lit(1), F.lit(max(1, iters))), start, one_round)
 
 
-def _clip01(c: Column) -> Column:
-    return F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0))
-
-
 def _wmean(samples: Column, v: str, w: str | None) -> Column:
     zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("w"))
 
@@ -92,9 +89,9 @@ def _gathered(px, keys, channels, low, high, iters, weight, weight_hi, model):
         fallback = F.when(
             F.size(f"_v_{c}") > 0, F.aggregate(f"_v_{c}", F.lit(0.0), lambda a, v: a + v) / F.size(f"_v_{c}")
         )
-        df = df.withColumn(f"_m_{c}", _clip01(F.coalesce(_wmean(F.col(f"_k_{c}"), c, weight), fallback)))
+        df = df.withColumn(f"_m_{c}", clip(F.coalesce(_wmean(F.col(f"_k_{c}"), c, weight), fallback)))
         if weight_hi:
-            df = df.withColumn(f"_h_{c}", _clip01(F.coalesce(_wmean(F.col(f"_k_{c}"), c, weight_hi), fallback)))
+            df = df.withColumn(f"_h_{c}", clip(F.coalesce(_wmean(F.col(f"_k_{c}"), c, weight_hi), fallback)))
 
     def every(test):
         out = test(channels[0])
@@ -139,7 +136,7 @@ def _gathered(px, keys, channels, low, high, iters, weight, weight_hi, model):
         if weight_hi:
             out.append(F.col(f"_h_{c}").alias(f"mean_hi_{c}"))
         out.append(
-            _clip01(F.aggregate("_s", F.lit(0.0), lambda a, s: F.greatest(a, excess(s, c)))).alias(f"transient_{c}")
+            clip(F.aggregate("_s", F.lit(0.0), lambda a, s: F.greatest(a, excess(s, c)))).alias(f"transient_{c}")
         )
     return df.select(
         *out,
@@ -192,7 +189,7 @@ def _spread(px, keys, channels, low, high, iters, weight, weight_hi, model):
             wt = F.col(w) if w else F.lit(1.0)
             sw = F.sum(F.when(alive(c), wt))
             aggs.append(
-                _clip01(F.coalesce(F.when(sw > 0, F.sum(F.when(alive(c), F.col(c) * wt)) / sw), F.avg(c))).alias(f"{tag}_{c}")
+                clip(F.coalesce(F.when(sw > 0, F.sum(F.when(alive(c), F.col(c) * wt)) / sw), F.avg(c))).alias(f"{tag}_{c}")
             )
     first = cut(rows.groupBy(*keys).agg(*aggs))
     both = rows.join(first, keys)
@@ -202,7 +199,7 @@ def _spread(px, keys, channels, low, high, iters, weight, weight_hi, model):
     }
     mean_ex = sum((ex[c] for c in channels[1:]), ex[channels[0]]) / float(len(channels))
     tr = both.groupBy(*keys).agg(
-        *[_clip01(F.max(ex[c])).alias(f"transient_{c}") for c in channels],
+        *[clip(F.max(ex[c])).alias(f"transient_{c}") for c in channels],
         F.max(F.when(mean_ex > 0, F.struct(mean_ex.alias("e"), (-F.col("frame_id")).cast("long").alias("f")))).alias("_t"),
     )
     out = [F.col(k) for k in keys]
