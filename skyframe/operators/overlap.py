@@ -1,7 +1,7 @@
 """Neighbourhood operators: pixels are shuffled once into tiles that carry a halo.
 
 A pixel is sent to its own tile and to every tile whose halo it falls in, so the row blow-up is
-(1 + 2r/T)^2 with the tile edge T = max(64, 4r), never the k^2 of an offset self-join.  The unit
+(1 + 2r/T)^2 with the tile edge T >= 2r, never the k^2 of an offset self-join.  The unit
 of work is one bounded tile, so an image of any size spreads over the cluster.
 """
 
@@ -18,6 +18,10 @@ from pyspark.sql import types as T
 _PAD = {"nearest": "edge", "reflect": "symmetric", "mirror": "reflect"}
 
 
+def _edge(r: int) -> int:
+    return max(64, 4 * r if r <= 128 else 2 * r)
+
+
 def image_dims(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Height and width per image (map-side combined)."""
     return df.groupBy(*keys).agg(
@@ -29,46 +33,47 @@ def map_overlap(
     df: DataFrame,
     keys: Sequence[str],
     values: Sequence[str],
-    radius: int,
+    radius: int | tuple[int, int],
     kernel: Callable[[dict, dict], dict],
     outputs: Sequence[str],
     mode: str = "reflect",
     constants: Sequence[str] = (),
     carry: Sequence[str] = (),
-    tile: int | None = None,
+    tile: tuple[int, int] | None = None,
     dims: DataFrame | None = None,
 ) -> DataFrame:
     """Apply ``kernel(arrays, constants) -> arrays`` on every tile with ``radius`` halo pixels.
 
+    ``radius`` may be (rows, columns); a pass along one axis has no halo on the other.
     ``arrays`` holds one padded 2-D array per value column; results have the same shape and are
     cropped to the tile.  ``constants`` are per-image scalars, ``carry`` columns pass through.
     Null samples reach the kernel as NaN and NaN results become null.
     """
     keys, values, constants, carry = list(keys), list(values), list(constants), list(carry)
-    r = int(radius)
-    t = tile or max(64, 4 * r)
+    ry, rx = (radius, radius) if isinstance(radius, int) else radius
+    tall, wide = tile or (_edge(ry), _edge(rx))
     dims = image_dims(df, keys) if dims is None else dims
     src = df.select(*keys, "y", "x", *dict.fromkeys([*values, *constants, *carry])).join(dims, keys)
     if mode == "wrap":
-        def virtual(c, n):
+        def virtual(c, n, r):
             return F.filter(
                 F.array(F.col(c), F.col(c) + F.col(n), F.col(c) - F.col(n)),
                 lambda p: (p >= -r) & (p < F.col(n) + r),
             )
         src = (
-            src.withColumn("_vy", F.explode(virtual("y", "_h")))
-            .withColumn("_vx", F.explode(virtual("x", "_w")))
+            src.withColumn("_vy", F.explode(virtual("y", "_h", ry)))
+            .withColumn("_vx", F.explode(virtual("x", "_w", rx)))
         )
     else:
         src = src.withColumn("_vy", F.col("y")).withColumn("_vx", F.col("x"))
 
-    def tiles(p, n):
+    def tiles(p, n, r, t):
         last = F.floor((F.col(n) - 1) / t)
         lo = F.greatest(F.floor((F.col(p) - r) / t), F.lit(0))
         hi = F.least(F.floor((F.col(p) + r) / t), last)
         return F.explode(F.sequence(lo, hi))
 
-    src = src.withColumn("_ty", tiles("_vy", "_h")).withColumn("_tx", tiles("_vx", "_w"))
+    src = src.withColumn("_ty", tiles("_vy", "_h", ry, tall)).withColumn("_tx", tiles("_vx", "_w", rx, wide))
     types = {f.name: f.dataType for f in df.schema.fields}
     schema = T.StructType(
         [T.StructField(k, types[k]) for k in keys]
@@ -81,12 +86,12 @@ def map_overlap(
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         ty, tx = int(pdf["_ty"].iloc[0]), int(pdf["_tx"].iloc[0])
         h, w = int(pdf["_h"].iloc[0]), int(pdf["_w"].iloc[0])
-        y0, x0 = ty * t, tx * t
-        y1, x1 = min(h, y0 + t), min(w, x0 + t)
+        y0, x0 = ty * tall, tx * wide
+        y1, x1 = min(h, y0 + tall), min(w, x0 + wide)
         if mode == "wrap":
-            ya, yb, xa, xb = y0 - r, y1 + r, x0 - r, x1 + r
+            ya, yb, xa, xb = y0 - ry, y1 + ry, x0 - rx, x1 + rx
         else:
-            ya, yb, xa, xb = max(0, y0 - r), min(h, y1 + r), max(0, x0 - r), min(w, x1 + r)
+            ya, yb, xa, xb = max(0, y0 - ry), min(h, y1 + ry), max(0, x0 - rx), min(w, x1 + rx)
         yy = pdf["_vy"].to_numpy() - ya
         xx = pdf["_vx"].to_numpy() - xa
         ok = (yy >= 0) & (xx >= 0) & (yy < yb - ya) & (xx < xb - xa)
@@ -95,14 +100,15 @@ def map_overlap(
             a = np.full((yb - ya, xb - xa), np.nan)
             a[yy[ok], xx[ok]] = pdf[c].to_numpy(dtype=float)[ok]
             if pad_mode:
-                a = np.pad(a, ((ya - y0 + r, y1 + r - yb), (xa - x0 + r, x1 + r - xb)), mode=pad_mode)
+                a = np.pad(a, ((ya - y0 + ry, y1 + ry - yb), (xa - x0 + rx, x1 + rx - xb)), mode=pad_mode)
             arrays[c] = a
         consts = {c: pdf[c].iloc[0] for c in constants}
+        consts.update(top=y0 - ry, left=x0 - rx, height=h, width=w)
         with np.errstate(all="ignore"):
             res = kernel(arrays, consts)
         vy, vx = pdf["_vy"].to_numpy(), pdf["_vx"].to_numpy()
         core = (vy >= y0) & (vy < y1) & (vx >= x0) & (vx < x1)
-        iy, ix = vy[core] - y0 + r, vx[core] - x0 + r
+        iy, ix = vy[core] - y0 + ry, vx[core] - x0 + rx
         out = {k: pdf[k].to_numpy()[core] for k in keys}
         out["y"], out["x"] = vy[core].astype("int32"), vx[core].astype("int32")
         for c in carry:
