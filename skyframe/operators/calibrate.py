@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skyframe.functions.kernels import rank_filter
 from skyframe.functions.math import clip
-from skyframe.functions.quantiles import attach
+from skyframe.functions.quantiles import attach, group_mad, group_median
+from skyframe.operators.components import label_components
+from skyframe.operators.overlap import image_dims, map_overlap
+from skyframe.session import cut
 
 PIX = ["target_id", "y", "x"]
 
@@ -57,3 +61,72 @@ def shape_guard(light: DataFrame, master: DataFrame, name: str) -> DataFrame:
         "frame_id",
         F.format_string(f"master {name} shape %dx%d does not match the light frame %dx%d", "mh", "mw", "lh", "lw").alias("error"),
     )
+
+
+def static_pixels(px: DataFrame, frames: DataFrame, sigma=5.0, presence=0.65) -> DataFrame:
+    """Pixels hot (or cold) against their 3x3 median in most frames of a target; needs three frames."""
+    keys = ["target_id", "frame_id"]
+    res = map_overlap(px, keys, ["v"], 1, lambda a, _: {"resid": a["v"] - rank_filter(a["v"], 3, "median")}, ["resid"], "nearest")
+    res = cut(res)
+    mad = group_mad(res, keys, "resid", "_d", "_c").select(*keys, (F.col("_d") * 1.4826 + 1e-9).alias("_sg"))
+    n = frames.groupBy("target_id").agg(F.count(F.lit(1)).alias("_n"))
+    d = attach(res, mad, keys)
+    c = d.groupBy(*PIX).agg(
+        F.count_if(F.col("resid") > F.col("_sg") * sigma).alias("hot"), F.count_if(F.col("resid") < F.col("_sg") * -sigma).alias("cold")
+    ).join(n, "target_id")
+    need = F.greatest(F.lit(2), F.ceil(F.col("_n") * presence))
+    return c.filter((F.col("_n") >= 3) & ((F.col("hot") >= need) | (F.col("cold") >= need))).select(*PIX, "hot", "cold")
+
+
+def repair_pixels(px: DataFrame, bad: DataFrame) -> DataFrame:
+    """Replace listed pixels of every frame by their 3x3 median."""
+    med = map_overlap(px, ["target_id", "frame_id"], ["v"], 1, lambda a, _: {"m": rank_filter(a["v"], 3, "median")}, ["m"], "nearest", carry=["v"])
+    return med.join(bad.select(*PIX, F.lit(True).alias("_bad")), PIX, "left").select(
+        "target_id", "frame_id", "y", "x", F.when(F.coalesce("_bad", F.lit(False)), F.col("m")).otherwise(F.col("v")).alias("v")
+    )
+
+
+def cosmetic_correct(df: DataFrame, sigma=3.0, max_component=12, keys=("image_id",)) -> DataFrame:
+    """Replace isolated outliers by their 3x3 median; clusters above ``max_component`` pixels stay."""
+    keys = list(keys)
+    d = cut(map_overlap(df, keys, ["v"], 1, lambda a, _: {"m": rank_filter(a["v"], 3, "median")}, ["m"], "nearest", carry=["v"]).withColumn("_r", F.col("v") - F.col("m")))
+    st = group_mad(d, keys, "_r", "_d", "_c").select(*keys, (F.col("_d") * 1.4826 + 1e-9).alias("_sg"))
+    d = attach(d, st, keys)
+    hit = (F.abs("_r") > F.col("_sg") * sigma) & (F.abs("_r") > 1e-6)
+    lab = cut(label_components(d.filter(hit).select(*keys, "y", "x"), keys))
+    small = lab.groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") <= max_component)
+    fix = lab.join(small, [*keys, "label"], "left_semi").select(*keys, "y", "x", F.lit(True).alias("_fix"))
+    return d.join(fix, [*keys, "y", "x"], "left").select(*keys, "y", "x", clip(F.when(F.col("_fix"), F.col("m")).otherwise(F.col("v"))).alias("v"))
+
+
+def _moving_mean(profile: DataFrame, keys, at: str, value: str, half=12) -> DataFrame:
+    """Centred mean over 2*half+1 lines with the end values repeated; one profile is at most a few thousand rows."""
+    w = Window.partitionBy(*keys).orderBy(at)
+    inner = w.rowsBetween(-half, half)
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    last = F.max(at).over(Window.partitionBy(*keys))
+    short_lo, short_hi = F.greatest(F.lit(0), half - F.col(at)), F.greatest(F.lit(0), half - (last - F.col(at)))
+    total = F.sum(value).over(inner) + short_lo * F.first(value).over(whole) + short_hi * F.last(value).over(whole)
+    return profile.select(*keys, at, (F.col(value) - total / float(2 * half + 1)).alias("_dev"))
+
+
+def suppress_banding(df: DataFrame, strength=1.0, keys=("image_id",)) -> DataFrame:
+    """Subtract each line's median minus its 25-line moving mean: columns first, then rows."""
+    keys = list(keys)
+    for at in ("x", "y"):
+        dev = _moving_mean(group_median(df, [*keys, at], "v", "_p"), keys, at, "_p")
+        df = cut(df.join(dev, [*keys, at]).withColumn("v", F.col("v") - F.col("_dev") * float(strength)).drop("_dev"))
+    return df.withColumn("v", clip(F.col("v")))
+
+
+def remove_grid(df: DataFrame, period=6, strength=1.0, keys=("image_id",)) -> DataFrame:
+    """Subtract the median high-pass pattern of every (y mod p, x mod p) cell; small images stay."""
+    keys, p = list(keys), int(period)
+    k = p + 1
+    dims = image_dims(df, keys).select(*keys, F.col("_h").alias("_rows"), F.col("_w").alias("_cols"))
+    hp = map_overlap(df, keys, ["v"], k // 2, lambda a, _: {"_hp": a["v"] - rank_filter(a["v"], k, "mean")}, ["_hp"], "reflect", carry=["v"])
+    d = cut(attach(hp, dims, keys).withColumns({"_cy": F.col("y") % p, "_cx": F.col("x") % p}))
+    whole = (F.col("y") < F.floor(F.col("_rows") / p) * p) & (F.col("x") < F.floor(F.col("_cols") / p) * p)
+    cell = group_median(d.filter(whole), [*keys, "_cy", "_cx"], "_hp", "_g")
+    out = F.when(F.least("_rows", "_cols") >= 4 * p, F.col("v") - F.col("_g") * float(strength)).otherwise(F.col("v"))
+    return d.join(cell, [*keys, "_cy", "_cx"], "left").select(*keys, "y", "x", clip(out).alias("v"))

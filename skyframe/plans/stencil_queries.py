@@ -267,9 +267,9 @@ def t13(v):
     return fin(T.highlight_rolloff(v.rgb, 0.6))
 
 
-@query("t13_core_transparency", "rgb1", out3(scaled(clip_sql(f"l+0.9e0*(l-gv)*{step('0.12e0', '0.37e0', 'gv')}")), joined("g")).replace("rgb.*", "rgb.*"), "rgb as materialized (select * from rgb1 where y<64)," + LUMB + "," + gauss_sql("g", "lm", "v", 4.0, "nearest"))
+@query("t13_core_transparency", "rgb", out3(scaled(clip_sql(f"l+0.9e0*(l-gv)*{step('0.12e0', '0.37e0', 'gv')}")), joined("g")), LUMB + "," + gauss_sql("g", "lm", "v", 4.0, "nearest"))
 def t13b(v):
-    return fin(T.core_transparency(v.rgb1.filter("y < 64"), 0.6))
+    return fin(T.core_transparency(v.rgb, 0.6))
 
 
 @query("t13_dim_core", "rgb", out3(scaled(f"l*(1e0-0.4e0*{step('0.18e0', '0.42e0', 'gv')})"), joined("g")), LUMB + "," + gauss_sql("g", "lm", "v", 6.4, "nearest"))
@@ -363,12 +363,14 @@ def p23(v):
     return fin(T.reduce_cast(v.rgb))
 
 
+_BGK = clip_sql("(($-c)+sqrt(($-c)*($-c)+e*e))/(2e0*(1e0-c))")
+
+
 @query(
-    "p24_masked_background_level", "rgb", out3([f"case when med>0.305e0 then {c}*(1e0-w)+{mtf_sql(bal_sql('0.3e0', 'med'), c)}*w else {c} end" for c in RGB], "(select rgb.*,med," + clip_sql("mk.v") + " w from rgb join mk using(image_id,y,x) join st using(image_id))"),
-    ST + f", m0 as materialized (select image_id,y,x,{fuzz_sql('((r+g+b)/3e0)', '0e0', 'med')} v from rgb join st using(image_id))," + gauss_sql("mk", "m0", "v", 4.0),
+    "p24_masked_background_level", "rgb", out3([f"case when med>0.305e0 then {c}*(1e0-w)+{mtf_sql('m', _BGK.replace('$', c))}*w else {c} end" for c in RGB], "(select rgb.*,med,c,e,m," + clip_sql("mk.v") + " w from rgb join mk using(image_id,y,x) join s2 using(image_id))"),
+    ST + f", s1 as (select *,med-6e0*dev c,greatest(0.3e0*dev,1e-5) e from st), s2 as (select *,{bal_sql('0.3e0', '((med-c)+sqrt((med-c)*(med-c)+e*e))/(2e0*(1e0-c))')} m from s1), m0 as materialized (select image_id,y,x,{fuzz_sql('((r+g+b)/3e0)', '0e0', 'med')} v from rgb join st using(image_id))," + gauss_sql("mk", "m0", "v", 4.0),
 )
 def p24b(v):
-    """The fixture is noisy enough that the knee would start below zero, so midtones apply directly."""
     return fin(T.pull_background_masked(v.rgb, P.background_level(v.rgb, 0.3)))
 
 
@@ -427,12 +429,12 @@ def a15(v):
 
 
 def grid_sql(n, m, axis):
-    return f"(select t,case when {m}=1 then 0e0 else t*(select max({axis}) from px)/({m}-1e0) end at from range({m}) r(t))"
+    return f"(select t,case when {m}=1 then 0e0 else t*(select max({axis}) from px)/({m}-1e0) end pos from range({m}) r(t))"
 
 
 @query(
     "j22_map_resize", "px",
-    f"""select target_id,y,x,{s6('sum(wy*wx*v)', 'v')} from (select a.target_id,ty.t y,tx.t x,a.v,greatest(0e0,1e0-abs(ty.at-a.y)) wy,greatest(0e0,1e0-abs(tx.at-a.x)) wx from mm a,{grid_sql('h', 13, 'y')} ty,{grid_sql('w', 5, 'x')} tx) where wy*wx>0 group by target_id,y,x""",
+    f"""select target_id,y,x,{s6('sum(wy*wx*v)', 'v')} from (select a.target_id,ty.t y,tx.t x,a.v,greatest(0e0,1e0-abs(ty.pos-a.y)) wy,greatest(0e0,1e0-abs(tx.pos-a.x)) wx from mm a,{grid_sql('h', 13, 'y')} ty,{grid_sql('w', 5, 'x')} tx) where wy*wx>0 group by target_id,y,x""",
     "mm as materialized (select target_id,y,x,avg(v) v from px group by all)",
 )
 def j22(v):
