@@ -29,6 +29,34 @@ def image_dims(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+def halo_tiles(df: DataFrame, keys, columns, radius, tile, mode="nearest", dims: DataFrame | None = None) -> DataFrame:
+    """Rows sent to their tile (_ty, _tx) and to the tiles whose halo holds them, at (_vy, _vx)."""
+    (ry, rx), (tall, wide) = radius, tile
+    dims = image_dims(df, keys) if dims is None else dims
+    src = df.select(*keys, "y", "x", *columns).join(dims, keys)
+    if mode == "wrap":
+        def virtual(c, n, r):
+            return F.filter(
+                F.array(F.col(c), F.col(c) + F.col(n), F.col(c) - F.col(n)),
+                lambda p: (p >= -r) & (p < F.col(n) + r),
+            )
+        src = (
+            src.withColumn("_vy", F.explode(virtual("y", "_h", ry)))
+            .withColumn("_vx", F.explode(virtual("x", "_w", rx)))
+        )
+    else:
+        src = src.withColumn("_vy", F.col("y")).withColumn("_vx", F.col("x"))
+
+    def tiles(p, n, r, t):
+        last = F.floor((F.col(n) - 1) / t)
+        lo = F.greatest(F.floor((F.col(p) - r) / t), F.lit(0))
+        hi = F.least(F.floor((F.col(p) + r) / t), last)
+        return F.explode(F.sequence(lo, hi))
+
+    src = src.withColumn("_ty", tiles("_vy", "_h", ry, tall)).withColumn("_tx", tiles("_vx", "_w", rx, wide))
+    return src
+
+
 def map_overlap(
     df: DataFrame,
     keys: Sequence[str],
@@ -52,28 +80,7 @@ def map_overlap(
     keys, values, constants, carry = list(keys), list(values), list(constants), list(carry)
     ry, rx = (radius, radius) if isinstance(radius, int) else radius
     tall, wide = tile or (_edge(ry), _edge(rx))
-    dims = image_dims(df, keys) if dims is None else dims
-    src = df.select(*keys, "y", "x", *dict.fromkeys([*values, *constants, *carry])).join(dims, keys)
-    if mode == "wrap":
-        def virtual(c, n, r):
-            return F.filter(
-                F.array(F.col(c), F.col(c) + F.col(n), F.col(c) - F.col(n)),
-                lambda p: (p >= -r) & (p < F.col(n) + r),
-            )
-        src = (
-            src.withColumn("_vy", F.explode(virtual("y", "_h", ry)))
-            .withColumn("_vx", F.explode(virtual("x", "_w", rx)))
-        )
-    else:
-        src = src.withColumn("_vy", F.col("y")).withColumn("_vx", F.col("x"))
-
-    def tiles(p, n, r, t):
-        last = F.floor((F.col(n) - 1) / t)
-        lo = F.greatest(F.floor((F.col(p) - r) / t), F.lit(0))
-        hi = F.least(F.floor((F.col(p) + r) / t), last)
-        return F.explode(F.sequence(lo, hi))
-
-    src = src.withColumn("_ty", tiles("_vy", "_h", ry, tall)).withColumn("_tx", tiles("_vx", "_w", rx, wide))
+    src = halo_tiles(df, keys, list(dict.fromkeys([*values, *constants, *carry])), (ry, rx), (tall, wide), mode, dims)
     types = {f.name: f.dataType for f in df.schema.fields}
     schema = T.StructType(
         [T.StructField(k, types[k]) for k in keys]

@@ -101,7 +101,7 @@ def transient(v):
     on = (F.col("y") * 3 - F.col("x") + F.col("image_id") * 2).between(-32, -30) & (F.col("x") > 40) & (F.col("x") < 118)
     return v.mos.select(
         "image_id", "y", "x", F.when(on, 0.2 + F.col("v") * 0.05).otherwise(F.col("v") * 0.004).alias("v"),
-        F.when(on, F.col("image_id") + 7).otherwise((F.col("x") * 7 + F.col("y") * 3) % 11).cast("long").alias("frame"),
+        F.when(on, F.col("image_id") + 7).when((F.col("x") * 7 + F.col("y") * 3) % 50 == 0, F.col("y") % 11).cast("long").alias("frame"),
     )
 
 
