@@ -78,13 +78,13 @@ def midtones_bisect(v0, v1: Column, eps: float = 5e-5, rounds: int = 60) -> Colu
 def soft_knee(v: Column, c0: Column, e: Column) -> Column:
     """((v-c0) + sqrt((v-c0)^2 + e^2)) / (2(1-c0))."""
     d = v - c0
-    return (d + F.sqrt(d * d + e * e)) / (F.lit(2.0) * (F.lit(1.0) - c0))
+    return (d + F.sqrt(d * d + e * e)) / F.nullif(F.lit(2.0) * (F.lit(1.0) - c0), F.lit(0.0))
 
 
 def soft_knee_fixed(v: Column, c0: Column, e: Column) -> Column:
     """The same with its constants held to 8, 12 and 8 decimals."""
     d = v - F.round(c0, 8)
-    return (d + F.sqrt(d * d + F.round(e * e, 12))) / F.round(F.lit(2.0) * (F.lit(1.0) - c0), 8)
+    return (d + F.sqrt(d * d + F.round(e * e, 12))) / F.nullif(F.round(F.lit(2.0) * (F.lit(1.0) - c0), 8), F.lit(0.0))
 
 
 def haversine_deg(ra1: Column, dec1: Column, ra2: Column, dec2: Column) -> Column:

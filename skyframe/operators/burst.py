@@ -231,7 +231,7 @@ def photon_transfer(px: DataFrame, frames: DataFrame, sample_rows=192, min_pixel
     def line(d):
         w, c, v = F.col("w"), F.col("c"), F.col("e")
         s = d.groupBy(*key).agg(F.sum(w).alias("sw"), F.sum(w * c).alias("sc"), F.sum(w * v).alias("se"), F.sum(w * c * c).alias("cc"), F.sum(w * c * v).alias("ce"), F.count(F.lit(1)).alias("_u"))
-        a = (F.col("sw") * F.col("ce") - F.col("sc") * F.col("se")) / (F.col("sw") * F.col("cc") - F.col("sc") * F.col("sc"))
+        a = (F.col("sw") * F.col("ce") - F.col("sc") * F.col("se")) / F.nullif(F.col("sw") * F.col("cc") - F.col("sc") * F.col("sc"), F.lit(0.0))
         return s.withColumn("a", a).select(*key, "a", ((F.col("se") - F.col("a") * F.col("sc")) / F.col("sw")).alias("b"), F.col("_u"))
 
     one = line(b)

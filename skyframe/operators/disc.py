@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from skyframe.functions.math import clip, half_even, midtones_balance, mtf
 from skyframe.functions.quantiles import attach, group_median, group_quantiles, linear
 from skyframe.operators.overlap import image_dims, map_overlap
+from skyframe.operators.stack import array_median
 from skyframe.operators.stats import KEY, RGB, mean_of
 from skyframe.session import cut
 
@@ -30,7 +31,7 @@ def forward_fill(profile: DataFrame, bins: int, value: str, keys=KEY) -> DataFra
 def centred_median(profile: DataFrame, half: int, value: str, out: str, keys=KEY) -> DataFrame:
     """Median over the bins within ``half`` of each bin; windows shorten at the ends."""
     w = Window.partitionBy(*keys).orderBy("bin").rowsBetween(-half, half)
-    return profile.withColumn(out, F.median(value).over(w))
+    return profile.withColumn(out, array_median(F.collect_list(value).over(w)))  # 2 half + 1 values
 
 
 def disc_geometry(df, value="v", keys=KEY) -> DataFrame:

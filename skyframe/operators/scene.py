@@ -134,7 +134,7 @@ def develop_foreground(df, brightness=0.5, keys=KEY) -> DataFrame:
     d = cut(d.select(*keys, "y", "x", *RGB, mean_of(RGB).alias("_L")))
     med = group_median(d.filter(F.col("_L") > 1e-4), keys, "_L", "_med")
     target = max(0.05 + 0.13 * min(1.0, max(0.0, brightness)), 1e-3)
-    g = clip(F.lit(math.log(target)) / F.ln(F.greatest("_med", F.lit(1e-3))), 0.35, 0.9)
+    g = F.coalesce(clip(F.lit(math.log(target)) / F.nullif(F.ln(F.greatest("_med", F.lit(1e-3))), F.lit(0.0)), 0.35, 0.9), F.lit(0.35))
     k = F.when(F.col("_L") > 1e-4, F.pow("_L", g) / F.col("_L")).otherwise(1.0)
     return attach(d, med, keys, "left").select(*keys, "y", "x", *[F.when(F.col("_med").isNull(), F.col(c)).otherwise(clip(F.col(c) * k)).alias(c) for c in RGB])
 

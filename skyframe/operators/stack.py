@@ -87,7 +87,7 @@ def _gathered(px, keys, channels, low, high, iters, weight, weight_hi, model):
     for c in channels:
         df = df.withColumn(f"_k_{c}", F.filter("_s", lambda s: alive(s, c)))
         fallback = F.when(
-            F.size(f"_v_{c}") > 0, F.aggregate(f"_v_{c}", F.lit(0.0), lambda a, v: a + v) / F.size(f"_v_{c}")
+            F.size(f"_v_{c}") > 0, F.aggregate(f"_v_{c}", F.lit(0.0), lambda a, v: a + v) / F.nullif(F.size(f"_v_{c}"), F.lit(0))
         )
         df = df.withColumn(f"_m_{c}", clip(F.coalesce(_wmean(F.col(f"_k_{c}"), c, weight), fallback)))
         if weight_hi:
@@ -114,8 +114,9 @@ def _gathered(px, keys, channels, low, high, iters, weight, weight_hi, model):
         return F.when(rejected, s[c] - F.col(f"_m_{c}")).otherwise(0.0)
 
     df = df.withColumn("_l", F.transform(F.filter("_s", all_alive), lum))
-    df = df.withColumn("_lm", F.aggregate("_l", F.lit(0.0), lambda a, v: a + v) / F.size("_l"))
-    sd = F.sqrt(F.aggregate("_l", F.lit(0.0), lambda a, v: a + (v - F.col("_lm")) * (v - F.col("_lm"))) / F.size("_l"))
+    count = F.nullif(F.size("_l"), F.lit(0))
+    df = df.withColumn("_lm", F.aggregate("_l", F.lit(0.0), lambda a, v: a + v) / count)
+    sd = F.sqrt(F.aggregate("_l", F.lit(0.0), lambda a, v: a + (v - F.col("_lm")) * (v - F.col("_lm"))) / count)
 
     def mean_excess(s):
         total = excess(s, channels[0])
@@ -142,7 +143,7 @@ def _gathered(px, keys, channels, low, high, iters, weight, weight_hi, model):
         *out,
         F.size(F.filter("_s", all_valid)).cast("long").alias("coverage"),
         F.size("_l").cast("long").alias("kept"),
-        F.when(F.size("_l") > 0, sd / F.sqrt(F.size("_l").cast("double"))).alias("noise"),
+        (sd / F.sqrt(count.cast("double"))).alias("noise"),
         best["f"].alias("transient_frame"),
     )
 
@@ -180,7 +181,7 @@ def _spread(px, keys, channels, low, high, iters, weight, weight_hi, model):
     aggs = [
         F.count(F.when(conj(lambda c: F.col(c).isNotNull()), 1)).alias("coverage"),
         F.count(F.when(conj(alive), 1)).alias("kept"),
-        (F.stddev_pop(F.when(conj(alive), lum)) / F.sqrt(F.count(F.when(conj(alive), 1)))).alias("noise"),
+        (F.stddev_pop(F.when(conj(alive), lum)) / F.sqrt(F.nullif(F.count(F.when(conj(alive), 1)), F.lit(0)))).alias("noise"),
     ]
     for c in channels:
         for w, tag in ((weight, "mean"), (weight_hi, "mean_hi")):

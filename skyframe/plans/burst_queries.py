@@ -52,8 +52,8 @@ def j14(v):
     return rounded(B.register_burst(v.px, reference(v), coarse=2, radius=1, fine_radius=2), "dx", "dy", "drift")
 
 
-@query("j05_local_normalize", "px", f"select target_id,frame_id,y,x,{s6('v-gv', 'v')} from (select gn.*,g.v gv from gn join g on g.image_id=gn.target_id*1000000+gn.frame_id and g.y=gn.y and g.x=gn.x)",
-       STATS + ", gn as materialized (select p.target_id,p.frame_id,y,x,(v-s.med)*least(greatest(r.sig/s.sig,0.5e0),2e0)+r.med v from px p join st s using(target_id,frame_id) join rf on rf.target_id=p.target_id join st r on r.target_id=rf.target_id and r.frame_id=rf.frame_id), df as materialized (select gn.target_id*1000000+gn.frame_id image_id,gn.y,gn.x,gn.v-q.v v from gn join (select px.target_id,y,x,v from px join rf using(target_id,frame_id)) q using(target_id,y,x))," + gauss_sql("g", "df", "v", 2.0, "nearest"))
+@query("j05_local_normalize", "px", f"select target_id,frame_id,y,x,{s6('v-gv', 'v')} from (select nz.*,g.v gv from nz join g on g.image_id=nz.target_id*1000000+nz.frame_id and g.y=nz.y and g.x=nz.x)",
+       STATS + ", nz as materialized (select p.target_id,p.frame_id,y,x,(v-s.med)*least(greatest(r.sig/s.sig,0.5e0),2e0)+r.med v from px p join st s using(target_id,frame_id) join rf on rf.target_id=p.target_id join st r on r.target_id=rf.target_id and r.frame_id=rf.frame_id), df as materialized (select nz.target_id*1000000+nz.frame_id image_id,nz.y,nz.x,nz.v-q.v v from nz join (select px.target_id,y,x,v from px join rf using(target_id,frame_id)) q using(target_id,y,x))," + gauss_sql("g", "df", "v", 2.0, "nearest"))
 def j05(v):
     return rounded(B.local_normalize(v.px, reference(v)), "v")
 
@@ -97,9 +97,9 @@ tm as materialized (select p.target_id image_id,p.y,p.x,median(abs(p.v-m.v)) t f
 
 
 @query("a29_static_pattern", "px", f"select image_id target_id,y,x,{s6('p')} from sp where image_id in (select image_id from sp group by image_id having sqrt(avg(p*p))>=0.25e0*any_value(sg))",
-       PAT + gauss_sql("g", "md", "v", 2.0) + """, gd as materialized (select md.image_id,md.y,md.x,md.v-g.v p,t<2.5e0*(t0+1e-12) gd from md join g using(image_id,y,x) join tm using(image_id,y,x) join (select image_id,median(t) t0 from tm group by all) using(image_id)),
-       s0 as (select image_id,median(p) m from gd where gd group by all), s1 as (select image_id,1.4826e0*median(abs(p-m))+1e-12 sg from gd join s0 using(image_id) where gd group by image_id),
-       sp as (select gd.image_id,y,x,sg,case when gd then sign(p)*greatest(abs(p)-sg,0e0) else 0e0 end p from gd join s1 using(image_id))""")
+       PAT + gauss_sql("g", "md", "v", 2.0) + """, gz as materialized (select md.image_id,md.y,md.x,md.v-g.v p,t<2.5e0*(t0+1e-12) gd from md join g using(image_id,y,x) join tm using(image_id,y,x) join (select image_id,median(t) t0 from tm group by all) using(image_id)),
+       s0 as (select image_id,median(p) m from gz where gd group by all), s1 as (select image_id,1.4826e0*median(abs(p-m))+1e-12 sg from gz join s0 using(image_id) where gd group by image_id),
+       sp as (select gz.image_id,y,x,sg,case when gd then sign(p)*greatest(abs(p)-sg,0e0) else 0e0 end p from gz join s1 using(image_id))""")
 def a29(v):
     px = v.px.withColumn("v", F.col("v") + F.when((F.col("y") * 3 + F.col("x") * 5) % 7 == 0, 0.2).otherwise(0.0))
     dith = frames(v).select("target_id").distinct().withColumns({"dither": F.lit(6.0), "fwhm": F.lit(2.0)})
@@ -226,7 +226,7 @@ def a42b(v):
 
 
 @query("a18_dark_lane_anchors", "rgb1", f"select image_id,zone,{s6('u')},{s6('v')},{s6('lum')} from (select *,row_number() over (partition by image_id,zone order by lum,patch) r from (select image_id,zone,patch,any_value(u) u,any_value(v) v,avg(m) lum from (select image_id,zone,patch,c,any_value(u) u,any_value(v) v,median(lg.v0) m from lg join bx using(image_id) where x>=x0 and x<x1 and y>=y0 and y<y1 group by all) group by all)) where r=1",
-       LG.replace("from rgb", "from rgb1").replace(" v from", " v0 from") + """, dm as (select image_id,max(y)+1 h,max(x)+1 w from rgb1 group by all), zz as (select image_id,h,w,j*8+i zone,(j*8+i)*9+b*3+a patch,floor(w*i/8) zx0,floor(w*(i+1)/8) zx1,floor(h*j/5) zy0,floor(h*(j+1)/5) zy1,a,b from dm,range(8) q(i),range(5) r(j),range(3) s(a),range(3) t(b)),
+       "r3 as materialized (select image_id,y*3+k//3 y,x*3+k%3 x,r*(x/400e0+0.4e0) r,g*(x/400e0+0.4e0) g,b*(x/400e0+0.4e0) b from rgb1,range(9) t(k)), " + LG.replace("from rgb", "from r3").replace(" v from", " v0 from") + """, dm as (select image_id,max(y)+1 h,max(x)+1 w from r3 group by all), zz as (select image_id,h,w,j*8+i zone,(j*8+i)*9+b*3+a patch,floor(w*i/8) zx0,floor(w*(i+1)/8) zx1,floor(h*j/5) zy0,floor(h*(j+1)/5) zy1,a,b from dm,range(8) q(i),range(5) r(j),range(3) s(a),range(3) t(b)),
        bx as materialized (select image_id,zone,patch,x0,x1,y0,y1,(x0+x1)/2e0/w u,(y0+y1)/2e0/h v from (select *,floor(zx0+(zx1-zx0)/3e0*(a+0.25e0)+0.5e0) x0,floor(zx0+(zx1-zx0)/3e0*(a+0.75e0)+0.5e0) x1,floor(zy0+(zy1-zy0)/3e0*(b+0.25e0)+0.5e0) y0,floor(zy0+(zy1-zy0)/3e0*(b+0.75e0)+0.5e0) y1 from zz) where x1-x0>=8 and y1-y0>=8)""")
 def a18(v):
     d = U.dark_lane_anchors(grown(v))
@@ -234,17 +234,23 @@ def a18(v):
 
 
 def grown(v):
-    return v.rgb1
+    """The large image with every pixel drawn three by three, so that all zones have candidates."""
+    k = F.col("k")
+    d = v.rgb1.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(8))))
+    return d.select("image_id", (F.col("y") * 3 + F.floor(k / 3)).cast("int").alias("y"), (F.col("x") * 3 + k % 3).cast("int").alias("x"), *[(F.col(c) * (F.col("x") / 400.0 + 0.4)).alias(c) for c in RGB])
 
 
 @query("a19_dark_lane_model")
 def a19(v):
-    """Coefficients per channel on an image four times as wide, so that every zone has candidates."""
-    wide = v.rgb1.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(15)))).select("image_id", (F.col("y") * 4 + F.floor(F.col("k") / 4)).cast("int").alias("y"), (F.col("x") * 4 + F.col("k") % 4).cast("int").alias("x"), *[(F.col(c) * (F.col("x") / 400.0 + 0.4)).alias(c) for c in RGB])
-    d = U.dark_lane_model(wide)
+    d = U.dark_lane_model(grown(v))
     return rounded(d.select("image_id", "c", "lo", "hi", "kept", "total"), "lo", "hi")
 
 
+@query("a19_dark_lane_subtract")
+def a19b(v):
+    return fin(U.dark_lane_gradient(grown(v)))
+
+
 @query("a20_background_extract")
 def a20(v):
     return fin(U.background_extract(v.rgb, grid=16))
@@ -284,14 +290,14 @@ def p33(v):
     return rounded(N.fill_masked(v.px, half_mask(v)), "v")
 
 
-WEAK = "ln as (select session_id image_id,cast(row_number() over (partition by session_id order by frame_id)-1 as int) line,fwhm col,ecc<0.5e0 ok from frame_measure)"
+WEAK = "ln as (select session_id image_id,cast(row_number() over (partition by session_id order by frame_id)-1 as int) line,fwhm*0.7310585786300049::double col,ecc<0.5e0 ok from frame_measure)"
 
 
 @query("w09_weak_line_fill", "frame_measure", f"select image_id,line,{s6('case when ok then col when pa is null then vb when pb is null then va else va+(vb-va)*(line-pa)/(pb-pa) end', 'col')} from (select *,last_value(case when ok then line end ignore nulls) over b pa,last_value(case when ok then col end ignore nulls) over b va,first_value(case when ok then line end ignore nulls) over f pb,first_value(case when ok then col end ignore nulls) over f vb from ln window b as (partition by image_id order by line rows between unbounded preceding and current row),f as (partition by image_id order by line rows between current row and unbounded following))", WEAK)
 def w09(v):
     from skyframe.functions.ranking import ranked
 
-    d = ranked(v.frame_measure, ["session_id"], [("frame_id", True)]).select(F.col("session_id").alias("image_id"), (F.col("rank") - 1).cast("int").alias("line"), F.col("fwhm").alias("col"), (F.col("ecc") < 0.5).alias("ok"))
+    d = ranked(v.frame_measure, ["session_id"], [("frame_id", True)]).select(F.col("session_id").alias("image_id"), (F.col("rank") - 1).cast("int").alias("line"), (F.col("fwhm") * 0.7310585786300049).alias("col"), (F.col("ecc") < 0.5).alias("ok"))
     return rounded(N.fill_weak(d, "line", "col", "ok").select("image_id", "line", "col"), "col")
 
 
@@ -414,7 +420,7 @@ def r03(v):
 def x01(v):
     """Arrivals read as a stream, each key processed once, into a table that is read back."""
     events = v.table("events")
-    s = X.arrivals(v.spark, f"{v.root}/events.parquet", events.schema)
+    s = X.arrivals(v.spark, v.root, events.schema, "events.parquet")
     key = F.substring(F.sha1(F.concat_ws("|", (F.col("user_id") % 20).cast("string"), (F.col("event_id") % 4000).cast("string"))), 1, 12)
     out, state = X.fresh_paths(v.spark, "ledger")
     d = X.run_ledger(s.select("event_id", key.alias("frame_key")), out, state)
@@ -424,7 +430,7 @@ def x01(v):
 @query("x02_running_mean", "px", f"select target_id,y,x,{s6('avg(v)', 'v')},count(*) n from px group by target_id,y,x")
 def x02(v):
     emb = v.table("embeddings")
-    s = X.arrivals(v.spark, f"{v.root}/embeddings.parquet", emb.schema)
+    s = X.arrivals(v.spark, v.root, emb.schema, "embeddings.parquet")
     px = s.select(F.col("label").alias("target_id"), F.posexplode("embedding").alias("pos", "e")).select("target_id", F.floor(F.col("pos") / 8).cast("int").alias("y"), (F.col("pos") % 8).cast("int").alias("x"), (F.lit(0.5) + F.col("e").cast("double") / 2).alias("v"))
     out, state = X.fresh_paths(v.spark, "means")
     return rounded(X.run_means(px, out, state).select("target_id", "y", "x", "v", "n"), "v")

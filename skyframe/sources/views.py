@@ -25,9 +25,11 @@ class Views:
     @cached_property
     def frame_tile(self) -> DataFrame:
         """One row per 8x8 frame: the stored vector is the frame's pixels in row order."""
-        return self.table("embeddings").select(
-            F.col("label").alias("target_id"), F.col("vec_id").alias("frame_id"), F.col("embedding").alias("data")
-        )
+        raw = self.table("embeddings")
+        cores = self.spark.sparkContext.defaultParallelism
+        if len(raw.inputFiles()) < cores:  # a file or two would keep every later explode in one task
+            raw = raw.repartition(cores, "vec_id")
+        return raw.select(F.col("label").alias("target_id"), F.col("vec_id").alias("frame_id"), F.col("embedding").alias("data"))
 
     @cached_property
     def px(self) -> DataFrame:

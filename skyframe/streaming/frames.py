@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from skyframe.session import scratch_path
 
 
-def arrivals(spark: SparkSession, path: str, schema) -> DataFrame:
-    return spark.readStream.schema(schema).parquet(path)
+def arrivals(spark: SparkSession, path: str, schema, pattern: str | None = None) -> DataFrame:
+    """Files landing in a folder as a stream; ``pattern`` picks them by name."""
+    r = spark.readStream.schema(schema)
+    return (r.option("pathGlobFilter", pattern) if pattern else r).parquet(path)
 
 
 def first_seen(stream: DataFrame, key: str = "frame_key", time: str | None = None, lateness: str | None = None) -> DataFrame:
