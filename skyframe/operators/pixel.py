@@ -14,6 +14,7 @@ from skyframe.functions.math import clip, mtf, piecewise, smoothstep
 from skyframe.functions.quantiles import attach, group_quantiles, linear
 from skyframe.operators.overlap import image_dims
 from skyframe.operators.stats import KEY, KNEE_FLOOR, KNEE_WIDTH, RGB, image_stats, mean_of
+from skyframe.session import cut
 
 # Rec.709 luma weights, sRGB primaries, D65 white.
 REC709 = (0.2126, 0.7152, 0.0722)
@@ -341,14 +342,14 @@ def background_level(df, target, keys=KEY, channels=RGB) -> DataFrame:
     e = F.greatest(F.lit(KNEE_WIDTH) * F.col("dev"), F.lit(KNEE_FLOOR))
     soft = M.soft_knee(F.col("med"), F.col("_c"), F.col("_e"))
     s = s.withColumns({"_c": c, "_e": e, "_on": F.col("med") > target + 0.005})
-    s = s.withColumn("_m", F.when(F.col("_c") > 0, M.midtones_balance(target, soft)).otherwise(M.midtones_balance(target, F.col("med"))))
-    d = attach(df, s.select(*keys, "_c", "_e", "_on", "_m"), keys)
+    s = s.withColumn("_v1", F.when(F.col("_c") > 0, soft).otherwise(F.col("med"))).withColumn("_m", M.midtones_balance(target, F.col("_v1")))
+    d = attach(df, cut(s.select(*keys, "_c", "_e", "_on", "_m")), keys)
 
-    def one(v):
-        knee = clip(M.soft_knee(v, F.col("_c"), F.col("_e")))
-        return F.when(~F.col("_on"), v).otherwise(mtf(F.col("_m"), F.when(F.col("_c") > 0, knee).otherwise(v)))
-
-    return each(d, one, channels).drop("_c", "_e", "_on", "_m")
+    # one projection per stage keeps the generated code small
+    on = F.col("_on")
+    d = each(d, lambda v: F.when(on & (F.col("_c") > 0), M.soft_knee(v, F.col("_c"), F.col("_e"))).otherwise(v), channels)
+    d = each(d, lambda v: F.when(on & (F.col("_c") > 0), clip(v)).otherwise(v), channels)
+    return each(d, lambda v: F.when(on, mtf(F.col("_m"), v)).otherwise(v), channels).drop("_c", "_e", "_on", "_m")
 
 
 def shadow_anchor(df, classes: DataFrame, tau=0.65, strength=0.7, keys=KEY, channels=RGB) -> DataFrame:
@@ -362,13 +363,11 @@ def shadow_anchor(df, classes: DataFrame, tau=0.65, strength=0.7, keys=KEY, chan
         & (F.col("_f") > 0.001) & (F.col("_b") < F.col("_f")) & (F.col("_b") > target + 0.001)
     )
     s = s.select(*keys, "_f", (F.col("_f") - F.col("_b")).alias("_d0"), on.alias("_on"), (F.col("_b") - strength * (F.col("_b") - target)).alias("_w"))
-    d = attach(df, s, keys)
+    d = each(attach(df, cut(s), keys), clip, channels)
+    kk = (F.col("_f") - F.col("_w")) / F.col("_d0")
 
-    def one(v):
-        v = clip(v)
+    def pull(v):
         gap = F.col("_f") - v
-        kk = (F.col("_f") - F.col("_w")) / F.col("_d0")
-        pulled = F.col("_f") - gap * (1.0 + (kk - 1.0) * gap / F.col("_d0"))
-        return F.when(F.col("_on") & (v < F.col("_f")), clip(pulled)).otherwise(v)
+        return F.when(F.col("_on") & (v < F.col("_f")), clip(F.col("_f") - gap * (1.0 + (kk - 1.0) * gap / F.col("_d0")))).otherwise(v)
 
-    return each(d, one, channels).drop("_f", "_d0", "_on", "_w")
+    return each(d, pull, channels).drop("_f", "_d0", "_on", "_w")

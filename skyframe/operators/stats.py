@@ -82,19 +82,17 @@ def solve_stretch(stats: DataFrame, clip_at, target) -> DataFrame:
     s = stats.withColumn("c0", clip(F.col("med") + F.lit(float(clip_at)) * F.col("dev")))
     s = s.withColumn("knee", (F.col("c0") > 0) & (F.col("c0") < 1))
     soft = F.when(F.col("knee"), soft_knee(F.col("med"), F.col("c0"), knee_width(F.col("dev")))).otherwise(F.col("med"))
-    return s.withColumn("m", midtones_balance(target, soft))
+    return s.withColumn("_soft", soft).withColumn("m", midtones_balance(target, F.col("_soft"))).drop("_soft")
 
 
 def auto_stretch(df, clip_at=-1.25, target=0.25, keys=KEY, channels=RGB) -> DataFrame:
-    s = solve_stretch(image_stats(df, keys, channels), clip_at, target).select(*keys, "dev", "c0", "knee", "m")
-    j = attach(df, s, keys)
-
-    def one(c):
-        v = F.when(F.col("knee"), clip(soft_knee_fixed(F.col(c), F.col("c0"), knee_width(F.col("dev"))))).otherwise(F.col(c))
-        ok = (F.col("m") > 0) & (F.col("m") < 1) & (F.col("m") != 0.5)
-        return F.when(ok, mtf(F.col("m"), v)).otherwise(v)
-
-    return j.select(*keys, "y", "x", *[one(c).alias(c) for c in channels])
+    """Knee and midtones solved per image; applied as two plain projections after one small join."""
+    s = cut(solve_stretch(image_stats(df, keys, channels), clip_at, target).select(*keys, "c0", "knee", "m", knee_width(F.col("dev")).alias("_e")))
+    d = attach(df, s, keys)
+    d = d.withColumns({c: F.when(F.col("knee"), soft_knee_fixed(F.col(c), F.col("c0"), F.col("_e"))).otherwise(F.col(c)) for c in channels})
+    d = d.withColumns({c: F.when(F.col("knee"), clip(F.col(c))).otherwise(F.col(c)) for c in channels})
+    ok = (F.col("m") > 0) & (F.col("m") < 1) & (F.col("m") != 0.5)
+    return d.select(*keys, "y", "x", *[F.when(ok, mtf(F.col("m"), F.col(c))).otherwise(F.col(c)).alias(c) for c in channels])
 
 
 def scaled_mad(df, value, keys=KEY) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from skyframe.functions.lookups import FRAME_SUFFIXES, RAW_SUFFIXES, SET_ALIASES
 from skyframe.functions.math import clip
 from skyframe.operators.overlap import image_dims
+from skyframe.session import cut
 
 
 def scan_folder(spark: SparkSession, folder: str) -> DataFrame:
@@ -48,15 +49,18 @@ def find_sets(files: DataFrame) -> DataFrame:
     alias = F.create_map(*[x for name, al in SET_ALIASES.items() for i, a in enumerate(al) for x in (F.lit(a), F.struct(F.lit(name).alias("s"), F.lit(i).alias("o")))])
     here = parent(F.col("path"))
     d = files.withColumn("folder", here).withColumn("root", parent(here)).withColumn("_a", F.try_element_at(alias, F.lower(leaf(here))))
-    known = d.filter(F.col("_a").isNotNull()).select("*", F.col("_a.s").alias("set_name"), F.col("_a.o").alias("_o"))
+    d = d.withColumn("_ok", suffix(F.col("path")).isin(*FRAME_SUFFIXES))
+    known = d.filter(F.col("_a").isNotNull()).select("root", "path", "_ok", F.col("_a.s").alias("set_name"), F.col("_a.o").alias("_o"))
     # existence of a folder counts even when none of its files is readable
     best = known.groupBy("root", "set_name").agg(F.min("_o").alias("_best"))
-    readable = suffix(F.col("path")).isin(*FRAME_SUFFIXES)
-    picked = known.join(best, ["root", "set_name"]).filter((F.col("_o") == F.col("_best")) & readable).select("root", "set_name", "path")
-    lit = picked.filter("set_name = 'lights'").select("root").distinct()
-    own = files.filter(readable).select(here.alias("root"), F.lit("lights").alias("set_name"), "path")
-    roots = d.filter(F.col("_a").isNotNull()).select("root").distinct()
-    return picked.unionByName(own.join(roots, "root", "left_semi").join(lit, "root", "left_anti"))
+    picked = known.join(best, ["root", "set_name"]).filter((F.col("_o") == F.col("_best")) & F.col("_ok")).select("root", "set_name", "path")
+    # one row per root: does any frame of its chosen lights folder exist?
+    roots = cut(
+        known.join(best, ["root", "set_name"]).groupBy("root")
+        .agg(F.max((F.col("_ok") & (F.col("set_name") == "lights") & (F.col("_o") == F.col("_best"))).cast("int")).alias("_lit"))
+    )
+    own = d.filter("_ok").select(F.col("folder").alias("root"), F.lit("lights").alias("set_name"), "path")
+    return picked.unionByName(own.join(roots.filter("_lit = 0").select("root"), "root", "left_semi"))
 
 
 def resolve_sets(found: DataFrame, explicit: DataFrame, files: DataFrame) -> DataFrame:
