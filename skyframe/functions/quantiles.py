@@ -142,10 +142,7 @@ def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str], how: str = "inn
     No broadcast is forced: Spark broadcasts when the statistics are under its size threshold and
     otherwise sort-merges, where adaptive execution splits a hot key.
     """
-    keys = list(keys)
-    if not keys:
-        return df.crossJoin(F.broadcast(stats))  # exactly one row
-    return df.join(stats, keys, how)
+    return df.join(stats, list(keys), how)
 
 
 def group_mad(

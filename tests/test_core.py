@@ -29,9 +29,11 @@ def test_quantiles_equal_numpy_with_a_hot_constant_group(spark):
 def test_rank_without_one_big_sort_matches_a_plain_sort(spark):
     rng = np.random.default_rng(2)
     p = pd.DataFrame({"k": rng.integers(0, 3, 600), "v": np.round(rng.normal(size=600), 1), "id": np.arange(600)})
-    got = ranked(spark.createDataFrame(p), ["k"], [("v", False), ("id", True)]).toPandas().set_index("id")["rank"]
-    want = p.sort_values(["v", "id"], ascending=[False, True]).groupby("k").cumcount() + 1
-    assert (got.sort_index() == want.sort_index()).all()
+    p.loc[:200, ["k", "v"]] = 0, 0.5  # a third of all rows share one value of one group
+    want = (p.sort_values(["v", "id"], ascending=[False, True]).groupby("k").cumcount() + 1).sort_index()
+    for hot in (10**6, 5):
+        got = ranked(spark.createDataFrame(p), ["k"], [("v", False), ("id", True)], hot_bin=hot).toPandas().set_index("id")["rank"]
+        assert (got.sort_index() == want).all()
 
 
 def test_midtones_golden_values(spark):
