@@ -309,3 +309,14 @@ def f06(v):
         F.when(k % 4 == 1, F.when(k % 3 == 0, "selected").when(k % 3 == 1, "discarded").otherwise("starred")).alias("status"), (k % 4 == 2).alias("drop"),
     )
     return Q.edit_history(v.run_history, edits).select("master_id", "item_id", F.col("rating").cast("int").alias("rating"), "status")
+
+
+@query("s18_lookup_source", "frame_measure", "select cast(session_id as string) \"name\",cast(count(*) as string) \"value\" from frame_measure group by session_id")
+def s18(v):
+    """A versioned JSON lookup with one entry per session (fifty), written and read through the checked source."""
+    from skyframe.functions.lookups import load_lookup
+
+    path = scratch_path(v.spark, "lookup")
+    n = v.frame_measure.groupBy("session_id").agg(F.count(F.lit(1)).alias("n"))
+    n.agg(F.map_from_entries(F.collect_list(F.struct(F.col("session_id").cast("string"), "n"))).alias("sessions")).select(F.lit(1).alias("schema_version"), "sessions").write.json(path)
+    return load_lookup(v.spark, path, "sessions")

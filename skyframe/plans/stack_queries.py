@@ -288,3 +288,10 @@ def a01_tile(v):
     return S.stack_tiles(tiles, v.frame_tile).select(
         "target_id", F.floor(F.col("pos") / 8).cast("int").alias("y"), (F.col("pos") % 8).cast("int").alias("x"), r6("v").alias("v")
     )
+
+
+@query("w05_bad_runs", "frame_measure", "select session_id,coalesce(min(line) filter (ok),max(line)+1)::bigint lead,(max(line)-coalesce(max(line) filter (ok),-1))::bigint trail,(max(line)+1)::bigint n from (select session_id,frame_id%40 line,avg(fwhm)>3.2 ok from frame_measure group by all) group by session_id")
+def w05(v):
+    """Length of the bad run at each end of every session's 40-line profile."""
+    lines = v.frame_measure.groupBy("session_id", (F.col("frame_id") % 40).alias("line")).agg((F.avg("fwhm") > 3.2).alias("ok"))
+    return S.lead_trail(lines, ["session_id"], "line", "ok")

@@ -171,8 +171,15 @@ def t06b(v):
     return rounded(S.detect_stars(sharp(v)), "flux", "rel_flux", *RGB)
 
 
-@query("j19_min_separation")
+@query(
+    "j19_min_separation", None,
+    f"""with recursive px as (select label target_id, vec_id frame_id, cast((i-1)//8 as int) y, cast((i-1)%8 as int) x, 0.5::double+embedding[i]::double/2 v from (select label,vec_id,embedding,unnest(range(1,65)) i from embeddings)),
+cand as materialized (select cast(frame_id//200 as bigint) image_id, cast(((frame_id%200)//20)*8+y as int) y, cast((frame_id%20)*8+x as int) x, v, row_number() over (partition by frame_id//200 order by v desc,((frame_id%200)//20)*8+y,(frame_id%20)*8+x) rn from px where v>0.6),
+g(image_id,rn,kept) as (select distinct image_id,0::bigint,[]::struct(y int,x int,f double)[] from cand union all select g.image_id,g.rn+1,case when len(list_filter(kept,lambda k: (k.y-c.y)*(k.y-c.y)+(k.x-c.x)*(k.x-c.x)<36))=0 then list_append(kept,{{'y':c.y,'x':c.x,'f':c.v}}) else kept end from g join cand c on c.image_id=g.image_id and c.rn=g.rn+1)
+select image_id,k.y y,k.x x,{s6('k.f', 'flux')} from (select image_id,unnest(kept) k from g where rn=(select max(rn) from cand c where c.image_id=g.image_id))""",
+)
 def j19(v):
+    """Checked against a sequential pass over the candidates, brightest first."""
     p = v.mos.filter("v > 0.6").select("image_id", "y", "x", F.col("v").alias("flux"))
     sep = image_dims(v.mos, ["image_id"]).select("image_id", F.lit(6.0).alias("sep"))
     return rounded(S.suppress_close(p, sep), "flux")
