@@ -1,4 +1,4 @@
 """The queries of this subpackage: importing this module registers all of them."""
 
-from skyframe.llm import exact_dedup, mixing  # noqa: F401
+from skyframe.llm import chat, exact_dedup, html_text, mixing, packing, url_filter  # noqa: F401
 from skyframe.llm.common import ORACLES, QUERIES  # noqa: F401
