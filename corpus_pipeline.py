@@ -1,26 +1,47 @@
-"""The corpus pipeline: score, deduplicate, mix and pack the documents."""
+"""The corpus pipeline: score, deduplicate, mix and pack the documents.
+
+Every stage takes (spark, docs, sf_dir), works on all that its predecessor kept and returns a
+DataFrame that is written and read again as the next one's docs.  All but the last return the
+columns of ``documents``.  Null and empty texts, repeated rows, empty tables and further columns
+have the results that the operators' docstrings state.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyframe.llm import exact_dedup, mixing
+from skyframe.llm import exact_dedup, mixing, near_dedup, packing, quality
 from skyframe.session import scratch_path
 
 
+def score(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject; it learns from the table ``labels``."""
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
+    """Of equal texts the one with the largest id."""
     return exact_dedup.deduplicate(docs)
 
 
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by shingles of five words at a similarity of 0.8."""
+    return near_dedup.deduplicate(docs)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each source as often as its weight has it."""
+    """Each document as often as its source's target weight has it."""
     return mixing.mixed(docs)
 
 
-STAGES = [("exact dedup", exact), ("mixing", mix)]
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents with the sequence and offset of each."""
+    return packing.pack(docs)
+
+
+STAGES = [("quality classifier", score), ("exact dedup", exact), ("near dedup", near), ("mixing", mix), ("packing", pack)]
 
-#: The trained classifier and the packing have no SQL form; tests hold run() against its stages.
+#: A trained network and a tokenizer have no SQL form; tests hold run() against brute force.
 ORACLE_SQL = None
 
 
