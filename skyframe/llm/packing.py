@@ -29,10 +29,12 @@ WINDOW = 2048
 END_ID = 1
 #: Rows dealt to one shard on average.
 SHARD_ROWS = 2048
-#: Text bytes tokenised at once and distinct words remembered by a worker: bounds on memory only.
+#: Text bytes tokenised at once and distinct words a worker remembers twice over: bounds on memory only.
 CHUNK_BYTES = 6 << 20
-REMEMBERED = 250_000
+REMEMBERED = 600_000
 LONG_WORD = 64
+#: Stands between words that are encoded together; no word of a text is this character alone.
+PARTING = "\x1f"
 
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 
@@ -50,42 +52,72 @@ class WordEncoder:
     """Token ids of texts, word by word.
 
     The vocabulary's ids never cross ASCII white space, so each distinct word of a chunk is encoded
-    once; ids of a text are gathered from those of its words.
+    once; ids of a text are gathered from those of its words.  Words new to a worker are encoded
+    many at a time, with a control character between them whose id parts them again.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, np.ndarray] = {}
-
-    def _encode(self, words: list[str]) -> list[np.ndarray]:
-        known = self.known
+        self.parting = self.tokenizer.encode(PARTING, add_special_tokens=False).ids
+        self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+
+    def _encode(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words, each as little-endian bytes; words met lately are remembered."""
+        if len(self.known) > REMEMBERED:
+            self.before, self.known = self.known, {}
+        known, before = self.known, self.before
         got = [known.get(w) for w in words]
-        missing = [i for i, x in enumerate(got) if x is None]
-        for i in range(0, len(missing), 4096):
-            part = missing[i : i + 4096]
-            for j, e in zip(part, self.tokenizer.encode_batch_fast([words[j] for j in part], add_special_tokens=False)):
-                got[j] = np.array(e.ids, dtype=np.uint32)
-        if len(known) + len(missing) > REMEMBERED:
-            known.clear()
-        for j in missing[:REMEMBERED]:
-            if len(words[j]) <= LONG_WORD:
-                known[words[j]] = got[j]
+        missing = []
+        for i, x in enumerate(got):
+            if x is None:
+                if (x := before.get(words[i])) is None:
+                    missing.append(i)
+                else:
+                    got[i] = known[words[i]] = x
+        for i in range(0, len(missing), 8192):
+            part = missing[i : i + 8192]
+            fresh = [words[j] for j in part]
+            for j, w, ids in zip(part, fresh, self._fresh(fresh)):
+                got[j] = ids
+                if len(w) <= LONG_WORD:
+                    known[w] = ids
         return got
 
+    def _fresh(self, words: list[str]) -> list[bytes]:
+        if len(self.parting) == 1:
+            runs = [words[i : i + 64] for i in range(0, len(words), 64)]
+            out: list[bytes] = []
+            for run, e in zip(runs, self.tokenizer.encode_batch_fast([f" {PARTING} ".join(r) for r in runs], add_special_tokens=False)):
+                ids = np.array(e.ids, "<u4")
+                cuts = np.flatnonzero(ids == self.parting[0])
+                if len(cuts) == len(run) - 1:
+                    begins, ends, raw = [0, *(4 * (cuts + 1)).tolist()], [*(4 * cuts).tolist(), 4 * len(ids)], ids.tobytes()
+                    out += [raw[b:e] for b, e in zip(begins, ends)]
+                else:  # a word holds the character itself
+                    out += self._single(run)
+            return out
+        return self._single(words)
+
+    def _single(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids with the closing id after each text, and where each text begins."""
         split = pc.ascii_split_whitespace(texts)
         flat = split.flatten().dictionary_encode()
         ids = self._encode(flat.dictionary.to_pylist())
-        lengths = np.fromiter((len(x) for x in ids), np.int64, len(ids))
-        begins = np.cumsum(lengths) - lengths
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        pool = np.frombuffer(b"".join(ids), "<u4")
+        begins = (np.cumsum(lengths) - lengths).astype(np.int32)
         index = flat.indices.to_numpy(zero_copy_only=False)
         each = lengths[index]
         ends = np.concatenate([[0], np.cumsum(each)])
-        pool = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
-        body = pool[np.repeat(begins[index] - ends[:-1], each) + np.arange(ends[-1])]
+        place = np.repeat(begins[index] - ends[:-1].astype(np.int32), each)
+        place += np.arange(ends[-1], dtype=np.int32)
+        body = pool[place]
         offsets = split.offsets.to_numpy() - split.offsets[0].as_py()
         starts = ends[offsets] + np.arange(len(offsets))
         out = np.full(starts[-1], END_ID, dtype="<u4")
