@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 # (bkg, clip, sat, contrast, bgLevel, lc, scnr, localContrast, bxt, nr, hdr, hdrLayers, starReduce,
 #  starLevel, chromaNR, haloTamer, structure, bgExtract, darkLaneGC, reduceCast).
 CLASSES = ["galaxy", "emission", "reflection", "planetary", "globular", "open", "milkyway", "generic"]
-PROFILE_FIELDS = "bkg clip sat contrast bgLevel lc scnr localContrast bxt nr hdr hdrLayers starReduce starLevel chromaNR haloTamer structure bgExtract darkLaneGC reduceCast".split()
+PROFILE_FIELDS = [
+    "bkg", "clip", "sat", "contrast", "bgLevel", "lc", "scnr", "localContrast", "bxt", "nr", "hdr", "hdrLayers", "starReduce", "starLevel",
+    "chromaNR", "haloTamer", "structure", "bgExtract", "darkLaneGC", "reduceCast",
+]
 PROFILES = {
     "galaxy": (0.16, -1.30, 0.45, 0.12, 0.13, 0.10, True, True, True, True, True, 8, True, 0.60, 0.20, False, 0.60, True, False, False),
     "emission": (0.25, -1.05, 0.55, 0.12, 0.20, 0.15, True, True, True, True, True, None, True, 0.50, 0.30, True, 0.0, True, False, False),
@@ -31,12 +34,15 @@ RECIPE_RANGES = {
     "cropPercent": (0.0, 10.0), "gradientCleanup": (0.0, 1.0), "dehaze": (0.0, 1.0), "smallStars": (0.0, 0.5), "chromaNR": (0.0, 1.0),
     "deepen": (0.0, 1.0), "starsAdj": (-0.3, 0.5),
 }
-UNIT_DIALS = "highlights transparency dimCore starShrink snrProtect significance meteorStrength structure deepenBackground nightscapeBrightness".split()
-SWITCHES = (
-    "autoAssess doBgExtract useGradientCorrection darkLaneGC doColorCal preferSPCC doBXT doNR useNRMask doSCNR doHDR doStarReduce removeStars useMask "
-    "adaptiveFloor starProtect doLocalContrast protectCores enhanceEmission reduceCast haloTamer useClassicalDeconv developForeground fixChromatic "
-    "inputStretched debugBackground"
-).split()
+UNIT_DIALS = [
+    "highlights", "transparency", "dimCore", "starShrink", "snrProtect", "significance", "meteorStrength", "structure", "deepenBackground",
+    "nightscapeBrightness",
+]
+SWITCHES = [
+    "autoAssess", "doBgExtract", "useGradientCorrection", "darkLaneGC", "doColorCal", "preferSPCC", "doBXT", "doNR", "useNRMask", "doSCNR", "doHDR",
+    "doStarReduce", "removeStars", "useMask", "adaptiveFloor", "starProtect", "doLocalContrast", "protectCores", "enhanceEmission", "reduceCast",
+    "haloTamer", "useClassicalDeconv", "developForeground", "fixChromatic", "inputStretched", "debugBackground",
+]
 # Classes each predicate applies to.
 PREDICATES = {
     "adaptive_floor": ("emission", "generic"),

@@ -98,16 +98,67 @@ def pair_with_reference(px: DataFrame, reference: DataFrame, value="v") -> DataF
     return px.select(*FRAME, "y", "x", F.col(value).alias("tgt")).join(ref, ["target_id", "y", "x"])
 
 
-def register_burst(px: DataFrame, reference: DataFrame, coarse=4, radius=8, fine_radius=2, accept=64.0, max_drift=220.0) -> DataFrame:
-    """Two-stage offsets: search on block means, then refine a full-resolution window about the disc.
+def whole_shift(pairs: DataFrame, keys=tuple(FRAME)) -> DataFrame:
+    """Offset of each pair over the whole frame (keys, dx, dy), for frames reduced to a bounded side.
 
+    The correlation at every offset comes from one Fourier product of the zero-padded frames.
+    """
+    keys = list(keys)
+    types = {f.name: f.dataType.simpleString() for f in pairs.schema.fields}
+    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", dx double, dy double"
+
+    def vertex(m, c, p):
+        m, c, p = (math.log(max(x, 1e-12)) for x in (m, c, p))
+        bend = m - 2 * c + p
+        return 0.0 if abs(bend) < 1e-12 else min(0.5, max(-0.5, 0.5 * (m - p) / bend))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        y, x = pdf["y"].to_numpy(), pdf["x"].to_numpy()
+        h, w = int(y.max()) + 1, int(x.max()) + 1
+        ref, tgt = np.zeros((2 * h, 2 * w)), np.zeros((2 * h, 2 * w))
+        ref[y, x], tgt[y, x] = np.nan_to_num(pdf["ref"].to_numpy(float)), np.nan_to_num(pdf["tgt"].to_numpy(float))
+        s = np.fft.irfft2(np.conj(np.fft.rfft2(ref)) * np.fft.rfft2(tgt), s=ref.shape)
+        s = (s - s.min()) / max(float(np.ptp(s)), 1e-300)
+        far = np.hypot(np.fft.fftfreq(2 * h, 1 / (2 * h))[:, None], np.fft.fftfreq(2 * w, 1 / (2 * w))[None, :])
+        py, px = np.unravel_index(np.argmin(np.where(s >= s.max() - 1e-9, far, np.inf)), s.shape)
+        fy = vertex(s[py - 1, px], s[py, px], s[(py + 1) % (2 * h), px])
+        fx = vertex(s[py, px - 1], s[py, px], s[py, (px + 1) % (2 * w)])
+        dy, dx = (py - 2 * h if py >= h else py), (px - 2 * w if px >= w else px)
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "dx": [float(dx + fx)], "dy": [float(dy + fy)]})
+
+    return pairs.groupBy(*keys).applyInPandas(run, schema)
+
+
+def _reduced(px: DataFrame, factor) -> DataFrame:
+    """Tapered gradient of block means, ``factor`` pixels a side."""
+    small = px.groupBy(*FRAME, F.floor(F.col("y") / factor).cast("int").alias("y"), F.floor(F.col("x") / factor).cast("int").alias("x")).agg(F.avg("v").alias("v"))
+    return cut(tapered(gradient(small, "v", FRAME), keys=FRAME))
+
+
+def register_burst(px: DataFrame, reference: DataFrame, side=128, fine_radius=3, accept=64.0, max_drift=220.0) -> DataFrame:
+    """Offsets of every frame by a pyramid, then a full-resolution window about the disc.
+
+    Each target's coarsest level has at most ``side`` pixels a side, so the first search covers the
+    whole frame whatever its size; every further level is four times finer and refines the last.
     The refined offset is used while it stays within ``accept`` pixels; larger drifts are flagged.
     """
     dims = cut(image_dims(px, FRAME))
-    small = px.groupBy(*FRAME, F.floor(F.col("y") / coarse).cast("int").alias("y"), F.floor(F.col("x") / coarse).cast("int").alias("x")).agg(F.avg("v").alias("v"))
-    g = cut(tapered(gradient(small, "v", FRAME), keys=FRAME))
-    first = best_shift(correlate(pair_with_reference(g, reference, "mag"), radius)).select(*FRAME, F.rint(F.col("dx") * coarse).cast("int").alias("_ix"), F.rint(F.col("dy") * coarse).cast("int").alias("_iy"), (F.hypot("dx", "dy") * coarse).alias("drift"))
-    first = cut(first)
+    factor = F.pow(F.lit(4.0), F.greatest(F.lit(0.0), F.ceil(F.log(4.0, F.greatest("_h", "_w") / float(side)) - 1e-9))).cast("int")
+    level = cut(dims.withColumn("_f", factor).groupBy("target_id").agg(F.max("_f").alias("_f")))
+    first = whole_shift(pair_with_reference(_reduced(attach(px, level, ["target_id"]), F.col("_f")), reference, "mag"))
+    first = attach(first, level, ["target_id"])
+    first = cut(first.select(*FRAME, F.rint(F.col("dx") * F.col("_f")).cast("int").alias("_ix"), F.rint(F.col("dy") * F.col("_f")).cast("int").alias("_iy"), (F.hypot("dx", "dy") * F.col("_f")).alias("drift")))
+    step = (level.agg(F.max("_f")).first()[0] or 1) // 4
+    while step > 1:
+        here = attach(px, level.filter(F.col("_f") > step), ["target_id"])
+        moved = here.join(first, FRAME).join(dims, FRAME).select(*FRAME, (F.col("y") - F.col("_iy")).alias("y"), (F.col("x") - F.col("_ix")).alias("x"), "v", "_h", "_w")
+        moved = moved.filter((F.col("y") >= 0) & (F.col("x") >= 0) & (F.col("y") < F.col("_h")) & (F.col("x") < F.col("_w")))
+        ref = _reduced(here.join(reference, FRAME, "left_semi"), step).select("target_id", "y", "x", F.col("mag").alias("ref"))
+        both = _reduced(moved, step).select(*FRAME, "y", "x", F.col("mag").alias("tgt")).join(ref, ["target_id", "y", "x"])
+        more = best_shift(correlate(both, fine_radius)).select(*FRAME, F.rint(F.col("dx") * step).cast("int").alias("_mx"), F.rint(F.col("dy") * step).cast("int").alias("_my"))
+        plus = lambda a, b: (F.col(a) + F.coalesce(b, F.lit(0))).alias(a)
+        first = cut(first.join(more, FRAME, "left").select(*FRAME, plus("_ix", "_mx"), plus("_iy", "_my"), "drift"))
+        step //= 4
     moved = px.join(first, FRAME).select(*FRAME, (F.col("y") - F.col("_iy")).alias("y"), (F.col("x") - F.col("_ix")).alias("x"), "v")
     lit = group_quantiles(px.join(reference, FRAME, "left_semi"), ["target_id"], "v", {"_p": linear(0.999)})
     ctr = attach(px.join(reference, FRAME, "left_semi"), lit, ["target_id"]).filter(F.col("v") > F.col("_p") * 0.5).groupBy("target_id").agg(F.avg("y").alias("_cy"), F.avg("x").alias("_cx"))
@@ -202,18 +253,14 @@ def _debias(dof: Column) -> Column:
     return F.when(dof <= 300, F.element_at(table, F.greatest(dof - 3, F.lit(1)).cast("int"))).otherwise(F.pow(F.lit(1.0) - k + F.sqrt(k) * z, 3))
 
 
-def photon_transfer(px: DataFrame, frames: DataFrame, sample_rows=192, min_pixels=10_000, min_bin=500, min_span=1e-4) -> DataFrame:
+def photon_transfer(px: DataFrame, frames: DataFrame, min_pixels=10_000, min_bin=500, min_span=1e-4) -> DataFrame:
     """Noise model var = a signal + b per target, from binned lower-quartile variances.
 
-    Only sampled rows are read; each pixel collapses to count, mean and variance before the shuffle.
+    Every pixel takes part: it collapses to count, mean and variance before the shuffle.
     """
     key = ["target_id"]
     n = frames.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter("_n >= 5")
-    h = px.groupBy(*key).agg((F.max("y") + 1).alias("_h"))
-    rows = h.withColumn("_k", F.least(F.lit(sample_rows), F.col("_h"))).withColumn(
-        "y", F.explode(F.transform(F.sequence(F.lit(0), F.col("_k") - 1), lambda i: F.when(F.col("_k") > 1, F.floor(i * (F.col("_h") - 1) / (F.col("_k") - 1))).otherwise(0).cast("int")))
-    ).select(*key, "y").distinct()
-    p = px.join(rows, [*key, "y"], "left_semi").groupBy(*key, "y", "x").agg(F.count("v").alias("_c"), F.avg("v").alias("m"), F.var_samp("v").alias("s2"))
+    p = px.groupBy(*key, "y", "x").agg(F.count("v").alias("_c"), F.avg("v").alias("m"), F.var_samp("v").alias("s2"))
     p = cut(attach(p, n, key).filter(F.col("_c") >= F.greatest(F.lit(5), F.floor(F.col("_n") / 2))))
     q = group_quantiles(p, key, "m", {"_cap": linear(0.8), "m_cap": linear(0.85)}, "_px").join(group_quantiles(p, key, "_c", {"_mc": linear(0.5)}), key).filter(F.col("_px") >= min_pixels)
     q = cut(q.withColumn("_db", _debias(F.greatest(F.floor(F.col("_mc")).cast("int") - 1, F.lit(4)))))
@@ -244,20 +291,24 @@ def photon_transfer(px: DataFrame, frames: DataFrame, sample_rows=192, min_pixel
 
 
 def local_normalize(px: DataFrame, reference: DataFrame, target=256) -> DataFrame:
-    """Global match to the reference, then its smooth low-frequency difference is removed too."""
+    """Global match to the reference, then its smooth low-frequency difference is removed too.
+
+    Blocks are medians at about ``target`` a side; every frame has its own block size.
+    """
     g = cut(normalize_to_ref(px, frame_stats(px), reference))
     ref = px.join(reference, FRAME, "left_semi").select("target_id", "y", "x", F.col("v").alias("_r"))
     d = g.join(ref, ["target_id", "y", "x"]).select(*FRAME, "y", "x", (F.col("v") - F.col("_r")).alias("_d"))
-    h, w = image_dims(px, ["target_id"]).agg(F.max("_h"), F.max("_w")).first()
-    bh, bw = max(1, h // target), max(1, w // target)
-    if bh > 1 or bw > 1:
-        sh, sw = h // bh, w // bw
-        d = d.filter((F.col("y") < sh * bh) & (F.col("x") < sw * bw)).groupBy(*FRAME, F.floor(F.col("y") / bh).cast("int").alias("y"), F.floor(F.col("x") / bw).cast("int").alias("x")).agg(F.median("_d").alias("_d"))
+    block = lambda n: F.greatest(F.lit(1), F.floor(F.col(n) / target)).cast("int")
+    dims = cut(image_dims(px, FRAME).withColumns({"_bh": block("_h"), "_bw": block("_w")}))
+    d = attach(d, dims, FRAME)
+    by, bx = F.floor(F.col("y") / F.col("_bh")).cast("int"), F.floor(F.col("x") / F.col("_bw")).cast("int")
+    whole = (by < F.floor(F.col("_h") / F.col("_bh"))) & (bx < F.floor(F.col("_w") / F.col("_bw")))
+    large = d.filter(((F.col("_bh") > 1) | (F.col("_bw") > 1)) & whole).groupBy(*FRAME, by.alias("y"), bx.alias("x")).agg(F.median("_d").alias("_d"))
+    d = cut(d.filter((F.col("_bh") == 1) & (F.col("_bw") == 1)).select(*FRAME, "y", "x", "_d").unionByName(large))
     fill = group_median(d, FRAME, "_d", "_f")
     d = attach(d, fill, FRAME, "left").withColumn("_d", F.coalesce("_d", "_f", F.lit(0.0)))
-    s = smooth(d, "_d", 2.0, "nearest", keys=FRAME)
-    if bh > 1 or bw > 1:
-        s = resize(s, h, w, ("_d",), keys=FRAME)
+    s = smooth(d.select(*FRAME, "y", "x", "_d"), "_d", 2.0, "nearest", keys=FRAME)
+    s = resize(attach(s.select(*FRAME, "y", "x", "_d"), dims.select(*FRAME, F.col("_h").alias("_nh"), F.col("_w").alias("_nw")), FRAME), "_nh", "_nw", ("_d",), keys=FRAME)
     return g.join(s, [*FRAME, "y", "x"]).select(*FRAME, "y", "x", (F.col("v") - F.col("_d")).alias("v"))
 
 

@@ -104,12 +104,7 @@ def _mixed(a: DataFrame, b: DataFrame, amount: float) -> DataFrame:
 
 def _tamed(df: DataFrame, strength: float) -> DataFrame:
     st = _stars()
-    h, w = df.agg(F.max("y") + 1, F.max("x") + 1).first()
-    rmax = min(300, min(h, w) // 8)
-    if rmax < 90:
-        return df
-    found = st.detect_stars(df, 300)
-    return st.halo_tamer(df, cut(found.select(*PIX, "star_id")), rmax, strength)
+    return st.halo_tamer(df, cut(st.ring_stars(df)), None, strength)
 
 
 def _selective(df: DataFrame, p: dict) -> DataFrame:

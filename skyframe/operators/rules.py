@@ -40,7 +40,7 @@ def class_switches(images: DataFrame) -> DataFrame:
 
 
 # Finishing presets of a bright body.
-BODY_FIELDS = "sharp surface flatten lhe sat ht_mid ht_hi tone disc_target".split()
+BODY_FIELDS = ["sharp", "surface", "flatten", "lhe", "sat", "ht_mid", "ht_hi", "tone", "disc_target"]
 BODY_PRESETS = {
     "sun": (0.3, 6.0, 0.35, 0.0, 0.0, 0.559, 0.858, "golden", 0.72),
     "moon": (0.45, 0.0, 0.0, 0.4, 0.6, 0.5, 1.0, "neutral", 0.72),
@@ -101,13 +101,14 @@ def recipe_rules(spark) -> DataFrame:
 def apply_recipes(recipes: DataFrame, doc="j", on="image_id") -> DataFrame:
     """Accepted settings of each JSON recipe, one row per (image, key).
 
-    Numbers must be JSON numbers (a boolean is not one) and are clamped, switches must be booleans,
-    the class must be known, anything else is ignored.
+    Only objects that say ``"recipe": 1`` are recipes; others give no rows.  Numbers must be JSON
+    numbers (a boolean is not one) and are clamped, switches must be booleans, the class must be
+    known, anything else is ignored, empty keys included.
     """
-    v = recipes.select(on, F.try_parse_json(F.col(doc)).alias("_v")).filter(F.col("_v").isNotNull())
-    pairs = F.from_json(F.to_json("_v"), "map<string,string>")
-    d = v.select(on, "_v", F.explode(F.map_keys(pairs)).alias("key"))
-    d = d.withColumn("_one", F.expr("try_variant_get(_v, concat('$.', key), 'variant')"))
+    v = recipes.select(on, F.try_parse_json(F.col(doc)).alias("_v"))
+    v = v.filter(F.expr("schema_of_variant(_v) like 'OBJECT%' and try_variant_get(_v, '$.recipe', 'double') = 1 and schema_of_variant(variant_get(_v, '$.recipe')) <> 'STRING'"))
+    each = v.sparkSession.tvf.variant_explode(F.col("_v").outer())
+    d = v.lateralJoin(each).select(on, "key", F.col("value").alias("_one"))
     d = d.withColumn("_t", F.schema_of_variant("_one")).join(recipe_rules(recipes.sparkSession), "key")
     num = F.expr("try_variant_get(_one, '$', 'double')")
     text = F.expr("try_variant_get(_one, '$', 'string')")
@@ -121,9 +122,16 @@ def apply_recipes(recipes: DataFrame, doc="j", on="image_id") -> DataFrame:
 
 
 def save_recipes(settings: DataFrame, on="image_id", version="1") -> DataFrame:
-    """One JSON recipe per image from (image, key, value) settings; keys are few and fixed."""
-    m = settings.groupBy(on).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("_m"))
-    return m.select(on, F.to_json(F.map_concat(F.create_map(F.lit("recipe"), F.lit("1"), F.lit("version"), F.lit(version)), "_m")).alias("j"))
+    """One JSON recipe per image from (image, key, value) settings; keys are few and fixed.
+
+    Numbers and switches are written as JSON numbers and booleans, as their rule has them.
+    """
+    quoted = lambda c: F.expr(f"substring(to_json(array({c})), 2, length(to_json(array({c}))) - 2)")
+    kinds = recipe_rules(settings.sparkSession).select("key", "kind")
+    literal = F.when(F.col("kind").isin("real", "bool"), F.col("value")).otherwise(quoted("value"))
+    parts = settings.join(kinds, "key", "left").select(on, F.concat(quoted("key"), F.lit(":"), literal).alias("_p"))
+    body = parts.groupBy(on).agg(F.concat_ws(",", F.array_sort(F.collect_list("_p"))).alias("_b"))
+    return body.select(on, F.concat(F.lit(f'{{"recipe":1,"version":"{version}",'), "_b", F.lit("}")).alias("j"))
 
 
 # --- step plan

@@ -49,7 +49,7 @@ def j12(v):
 @query("j14_two_stage_registration")
 def j14(v):
     """Coarse then fine offsets of every frame; accuracy is checked on planted shifts in the tests."""
-    return rounded(B.register_burst(v.px, reference(v), coarse=2, radius=1, fine_radius=2), "dx", "dy", "drift")
+    return rounded(B.register_burst(v.px, reference(v), fine_radius=2), "dx", "dy", "drift")
 
 
 @query("j05_local_normalize", "px", f"select target_id,frame_id,y,x,{s6('v-gv', 'v')} from (select nz.*,g.v gv from nz join g on g.image_id=nz.target_id*1000000+nz.frame_id and g.y=nz.y and g.x=nz.x)",

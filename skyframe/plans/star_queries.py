@@ -233,7 +233,7 @@ def picks(v, n=12):
     return top_k(v.rgb, ["image_id"], [F.col("r").desc(), F.col("y"), F.col("x")], n, "star_id").select("image_id", "y", "x", "star_id")
 
 
-PROF = PICK + f""", pj as (select image_id,star_id,sy,sx,y-sy dy,x-sx dx,r,g,b from (select * from st where star_id<=12) join rgb using(image_id) where abs(y-sy)<={RMAX} and abs(x-sx)<={RMAX} and (y-sy+{RMAX})%2=0 and (x-sx+{RMAX})%2=0),
+PROF = PICK + f""", pj as (select image_id,star_id,sy,sx,y-sy dy,x-sx dx,r,g,b from (select * from st where star_id<=12) join rgb using(image_id) where abs(y-sy)<={RMAX} and abs(x-sx)<={RMAX}),
 pf as materialized (select image_id,star_id,sy,sx,bin,median((r+g+b)/3e0) lum,median(r) r,median(g) g,median(b) b from (select *,cast(floor((sqrt(dy*dy+dx*dx)-12)/6e0) as int) bin from pj) where bin>=0 and bin<{NB} group by all),
 en as (select *,min(lum) over w env,lum-min(lum) over w excess from pf window w as (partition by image_id,star_id order by bin))"""
 

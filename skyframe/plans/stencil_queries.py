@@ -145,7 +145,7 @@ def t04(v):
     return pix(T.starlet(v.mos), "w1", "w2", "w3", "resid")
 
 
-@query("t05_top_hat", "mos", f"select a.image_id,a.y,a.x,{s6(clip_sql('a.v-o.v'), 'tophat')} from mos a join o using(image_id,y,x)", opening_sql("o", "mos", "v", 7))
+@query("t05_top_hat", "mos", f"select a.image_id,a.y,a.x,{s6(clip_sql('a.v-op.v'), 'tophat')} from mos a join op using(image_id,y,x)", opening_sql("op", "mos", "v", 7))
 def t05(v):
     return pix(T.top_hat(v.mos), "tophat")
 

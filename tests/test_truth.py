@@ -102,11 +102,53 @@ def test_shift_of_a_disc_is_recovered(spark):
         rows.append(pd.DataFrame({"target_id": np.int64(0), "frame_id": np.int64(i), "y": yy.ravel().astype("int32"), "x": xx.ravel().astype("int32"), "v": img.ravel()}))
     px = spark.createDataFrame(pd.concat(rows))
     ref = spark.createDataFrame([(0, 0)], "target_id long, frame_id long")
-    got = {r.frame_id: (r.dy, r.dx) for r in B.register_burst(px, ref, coarse=2, radius=5, fine_radius=3).collect()}
+    got = {r.frame_id: (r.dy, r.dx) for r in B.register_burst(px, ref).collect()}
     for i, (dy, dx) in enumerate([(0, 0), (2.3, -1.6), (-4.4, 3.2)]):
         assert abs(got[i][0] - dy) < 0.4 and abs(got[i][1] - dx) < 0.4
 
 
+def test_far_and_mixed_shifts_are_recovered(spark):
+    """A disc moved 130 px, and a small target beside a large one: each has its own pyramid."""
+    rows = []
+    for target, size, moves in ((0, 400, [(0, 0), (6.0, 130.0)]), (1, 48, [(0, 0), (3.0, -5.0)])):
+        yy, xx = np.mgrid[0:size, 0:size]
+        for i, (dy, dx) in enumerate(moves):
+            d = np.hypot(yy - size * 0.5 - dy, xx - size * 0.32 - dx)
+            img = np.clip((size * 0.14 - d) / 3, 0, 1) * (0.6 + 0.2 * np.sin((yy - dy) / 3) * np.cos((xx - dx) / 4)) + 0.01
+            rows.append(pd.DataFrame({"target_id": np.int64(target), "frame_id": np.int64(i), "y": yy.ravel().astype("int32"), "x": xx.ravel().astype("int32"), "v": img.ravel()}))
+    px = spark.createDataFrame(pd.concat(rows))
+    ref = spark.createDataFrame([(0, 0), (1, 0)], "target_id long, frame_id long")
+    got = {(r.target_id, r.frame_id): r for r in B.register_burst(px, ref, max_drift=100.0).collect()}
+    assert abs(got[0, 1].dy - 6) < 0.6 and abs(got[0, 1].dx - 130) < 0.6 and got[0, 1].excluded
+    assert abs(got[1, 1].dy - 3) < 0.6 and abs(got[1, 1].dx + 5) < 0.6 and not got[1, 1].excluded
+
+
+def test_local_normalisation_does_not_depend_on_neighbours_in_the_batch(spark):
+    rng = np.random.default_rng(8)
+
+    def frame(target, i, size, tilt):
+        yy, xx = np.mgrid[0:size, 0:size]
+        v = 0.3 + tilt * xx / size + rng.normal(0, 0.002, (size, size))
+        return pd.DataFrame({"target_id": np.int64(target), "frame_id": np.int64(i), "y": yy.ravel().astype("int32"), "x": xx.ravel().astype("int32"), "v": v.ravel()})
+
+    small, large = [frame(0, 0, 40, 0.0), frame(0, 1, 40, 0.1)], [frame(1, 0, 90, 0.0), frame(1, 1, 90, 0.1)]
+    ref = spark.createDataFrame([(0, 0), (1, 0)], "target_id long, frame_id long")
+    run = lambda parts: {(r.frame_id, r.y, r.x): r.v for r in B.local_normalize(spark.createDataFrame(pd.concat(parts)), ref, target=32).filter("target_id = 0").collect()}
+    alone, mixed = run(small), run(small + large)
+    assert alone.keys() == mixed.keys() and max(abs(alone[k] - mixed[k]) for k in alone) < 1e-9
+
+
+def test_recipes_keep_every_value(spark):
+    from skyframe.operators import rules
+
+    rows = [(1, "satAdj", "0.3"), (1, "doHDR", "true"), (1, "objectClass", "galaxy"), (1, "palette", 'a "b"\\c'), (2, "deepen", "1.0"), (2, "removeStars", "false")]
+    again = rules.apply_recipes(rules.save_recipes(spark.createDataFrame(rows, "image_id long, key string, value string")))
+    assert sorted(map(tuple, again.collect())) == sorted(rows)
+    odd = [(1, '{"recipe":1,"":5,"satAdj":9,"zzz":1}'), (2, '{"satAdj":0.1}'), (3, "[1]"), (4, "{bad"), (5, None), (6, '{"recipe":"1","satAdj":0.1}'), (7, '{"recipe":1,"satAdj":true,"doHDR":1}')]
+    got = rules.apply_recipes(spark.createDataFrame(odd, "image_id long, j string")).collect()
+    assert sorted(map(tuple, got)) == [(1, "satAdj", "0.5")]
+
+
 def test_noise_model_slope_within_a_factor_of_two(spark):
     rng = np.random.default_rng(4)
     signal = np.tile(np.linspace(0.05, 0.8, 256), (64, 1))
