@@ -8,9 +8,10 @@ sets, read again from the texts.
 
 Equal sets are one vertex.  In a bucket every vertex first meets only one partner, the bucket's
 smallest vertex, and of several such partners the one it shares most bands with: a group of
-thousands of copies costs a star, not all pairs.  Afterwards only vertices of a bucket that are
-still in different components meet, outside the bucket's largest component; a pair inside one
-component has nothing left to tell.  So no link between different components is lost.
+thousands of copies costs a star, not all pairs.  Afterwards the vertices of a bucket that are not
+in its largest component meet that component and each other, in blocks that compare full sets and
+report no more links than vertices; a pair inside one component has nothing left to tell.  So no
+link between different components is lost.
 
 With 40 bands of 5 rows a pair of similarity 0.8 shares no band with probability 1e-7.
 
@@ -38,6 +39,13 @@ SAMPLES = BANDS * ROWS
 SKETCH_BITS = 512
 #: Standard deviations of the estimate that the sketch filter leaves below the threshold.
 SLACK = 6.0
+#: Hash values of the bitmap that marks needed documents, and vertices in one side of a block.
+MARKS = 1 << 23
+BLOCK = 768
+#: Shingles of a vertex that counts once in a block.
+BLOCK_SHINGLES = 512
+#: Up to so many vertices meet pair by pair, filtered by sketches; more meet in blocks.
+FEW = 8
 
 _SEEDS = mix64(np.arange(1, 2 * SAMPLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _FLIP = (_SEEDS[:SAMPLES] >> np.uint64(32)).astype(np.uint32)
@@ -144,25 +152,41 @@ def _may_link(a: str, b: str, percent: int) -> Column:
     return sizes & (differ <= most_differing(percent))
 
 
+def texts_of(docs: DataFrame, needed: DataFrame) -> DataFrame:
+    """(doc_id, text) of the documents whose ids are in ``needed`` (doc_id), as a written table.
+
+    A bitmap of ``MARKS`` hash values of the needed ids, at most 1 MB in rows of 4 KB, is broadcast
+    so that only few other texts take part in the exact semi-join.
+    """
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(MARKS))
+    marks = needed.groupBy(F.bitmap_bucket_number(place).alias("_part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("_marks"))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    rows = rows.withColumns({"_part": F.bitmap_bucket_number(place), "_bit": F.bitmap_bit_position(place)})
+    marked = F.expr("cast(conv(hex(substring(_marks, cast(_bit div 8 as int) + 1, 1)), 16, 10) as int) & shiftleft(1, cast(_bit % 8 as int)) <> 0")
+    rows = rows.join(F.broadcast(marks), "_part").where(marked).select("doc_id", "text")
+    return cut(rows.join(needed, "doc_id", "left_semi"))
+
+
+def sets_of(column: pa.Array, width: int) -> list[np.ndarray]:
+    out: list[np.ndarray] = []
+    for _, shingles, begins in shingle_sets(column, width):
+        out += [shingles[x:y] for x, y in zip(begins[:-1].tolist(), begins[1:].tolist())]
+    return out
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The (a, b) of ``pairs`` whose full shingle sets are similar enough."""
     needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = cut(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(needed, "doc_id", "left_semi"))
+    texts = texts_of(docs, needed)
     side = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"{x}_text"))
     rows = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_text", "b_text")
 
-    def sets(column: pa.Array) -> list[np.ndarray]:
-        out: list[np.ndarray] = []
-        for _, shingles, begins in shingle_sets(column, width):
-            out += [shingles[x:y] for x, y in zip(begins[:-1].tolist(), begins[1:].tolist())]
-        return out
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
                 keep = []
-                for x, y in zip(sets(part.column(2)), sets(part.column(3))):
+                for x, y in zip(sets_of(part.column(2), width), sets_of(part.column(3), width)):
                     both = np.concatenate([x, y])
                     both.sort()
                     common = int((both[1:] == both[:-1]).sum())
@@ -172,25 +196,93 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
     return rows.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of two lists of sets."""
+    counts = np.zeros((len(left), len(right)), np.float32)
+    flat = [np.concatenate([*x, np.zeros(0, np.uint64)]) for x in (left, right)]
+    row = [np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (left, right)]
+    known = np.intersect1d(*flat)
+    at = [np.searchsorted(known, f) for f in flat]
+    for k in (0, 1):  # only what occurs on both sides
+        at[k] = np.where((at[k] < len(known)) & (known[np.minimum(at[k], max(0, len(known) - 1))] == flat[k]), at[k], -1) if len(known) else np.full(len(flat[k]), -1)
+    for begin in range(0, len(known), 4096):
+        wide = min(4096, len(known) - begin)
+        sides = []
+        for k, n in ((0, len(left)), (1, len(right))):
+            here = (at[k] >= begin) & (at[k] < begin + wide)
+            m = np.zeros((n, wide), np.float32)
+            m[row[k][here], at[k][here] - begin] = 1
+            sides.append(m)
+        counts += sides[0] @ sides[1].T
+    return counts
+
+
+def block_links(groups: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(a, b) such that components of the result hold every link between the two sides of a group.
+
+    ``groups`` has (grp, side 0 or 1, v, n).  Sides are dealt into blocks of about ``BLOCK`` vertices
+    (large sets count for several) and every pair of blocks is one task, which counts all intersections of its full sets at once
+    and reports at most one link per vertex and linked part: rows never grow with pairs.
+    """
+    groups = cut(groups)
+    texts = texts_of(docs, groups.select(F.col("v").alias("doc_id")).distinct())
+    load = F.greatest(F.lit(1.0), F.col("n") / BLOCK_SHINGLES)
+    sizes = groups.groupBy("grp").agg(*[F.ceil(F.sum(F.when(F.col("side") == k, load)) / BLOCK).alias(f"parts{k}") for k in (0, 1)]).where("parts0 > 0 and parts1 > 0")
+    rows = groups.join(sizes, "grp")
+    own = F.pmod(F.xxhash64("v"), F.when(F.col("side") == 0, F.col("parts0")).otherwise(F.col("parts1")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("side") == 0, F.col("parts1")).otherwise(F.col("parts0")) - 1))
+    rows = rows.withColumns({"own": own, "other": other})
+    part = lambda k: F.when(F.col("side") == k, F.col("own")).otherwise(F.col("other"))
+    rows = rows.select("grp", part(0).alias("l"), part(1).alias("r"), "side", "v").join(texts.withColumnRenamed("doc_id", "v"), "v")
+
+    def run(block: pa.Table) -> pa.Table:
+        side, v = np.asarray(block.column("side")), np.asarray(block.column("v"))
+        sets = sets_of(pa.concat_arrays(block.column("text").chunks) if block.column("text").num_chunks else pa.array([], pa.string()), width)
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        common = common_counts([sets[i] for i in left], [sets[i] for i in right])
+        sizes = np.array([len(s) for s in sets], np.float64)
+        both = sizes[left][:, None] + sizes[right][None, :] - common
+        linked = (100 * common.astype(np.float64) >= percent * both) & (both > 0) & (v[left][:, None] != v[right][None, :])
+        # one link per left vertex, and one per right vertex, to a spanning set of this block's links
+        up = {x: x for x in v.tolist()}
+
+        def top(x):
+            while up[x] != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        a, b = [], []
+        for i, j in zip(*(k.tolist() for k in np.nonzero(linked))):
+            x, y = int(v[left[i]]), int(v[right[j]])
+            if (p := top(x)) != (q := top(y)):
+                up[max(p, q)] = min(p, q)
+                a.append(x)
+                b.append(y)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return rows.groupBy("grp", "l", "r").applyInArrow(run, "a bigint, b bigint").distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(v, component): the smallest vertex that each vertex of ``links`` (a, b) reaches.
 
-    Each round takes the smallest label among neighbours and then jumps to the label's own label, so
-    rounds grow with the logarithm of the longest path.  Labels are written between rounds.
+    In each round a vertex takes the smallest of its neighbours' labels' own labels, so rounds grow
+    with the logarithm of the longest path.  Labels only fall, so an equal sum ends the rounds; they
+    are written once a round.
     """
-    both = cut(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).where("a <> b").distinct())
-    labels = cut(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("a"), F.min("b")).alias("component")))
+    pairs = links.where("a <> b")
+    both = pairs.select("a", "b").union(pairs.select(F.col("b"), F.col("a"))).union(pairs.select(F.col("a"), F.col("a"))).union(pairs.select(F.col("b"), F.col("b")))
+    both = cut(both.distinct())
+    labels, before = cut(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("component"))), None
     while True:
-        near = both.join(labels, F.col("b") == F.col("v")).select(F.col("a").alias("v"), "component")
-        lowest = labels.select("v", "component").union(near).groupBy("v").agg(F.min("component").alias("component"))
-        lowest = cut(lowest)
-        jump = lowest.select(F.col("v").alias("_v"), F.col("component").alias("further"))
-        moved = lowest.join(jump, F.col("component") == F.col("_v"), "left")
-        following = cut(moved.select("v", F.least("component", "further").alias("component")))
-        same = labels.withColumnRenamed("component", "before").join(following, "v").where("before <> component").limit(1).count() == 0
-        labels = following
-        if same:
+        total = labels.agg(F.sum(F.col("component").cast("decimal(38,0)"))).first()[0]
+        if total == before:
             return labels
+        before = total
+        further = labels.select(F.col("v").alias("_v"), F.col("component").alias("_c"))
+        near = both.join(labels, F.col("b") == F.col("v")).select("a", "component").join(further, F.col("component") == F.col("_v")).select("a", "_c")
+        labels = cut(near.groupBy(F.col("a").alias("v")).agg(F.min("_c").alias("component")))
 
 
 def near_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -201,31 +293,47 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     vertices = cut(vertices.dropDuplicates(["v", "set_key"]).select("v", "n", "bands", "sketch"))
     facts = lambda x: vertices.select(F.col("v").alias(x), F.col("n").alias(f"{x}_n"), F.col("sketch").alias(f"{x}_sketch"))
 
-    banded = vertices.select("v", F.explode("bands").alias("band"))
+    banded = vertices.select("v", "n", F.explode("bands").alias("band"))
     buckets = cut(banded.groupBy("band").agg(F.min("v").alias("hub"), F.count("*").alias("members")).where("members > 1"))
-    shared = cut(banded.join(buckets, "band").select("band", "v", "hub", "members"))
+    shared = cut(banded.join(buckets, "band").select("band", "v", "n", "hub"))
     met = shared.where("v <> hub").groupBy("v", "hub").agg(F.count("*").alias("times"))
     nearest = met.groupBy("v").agg(F.max(F.struct("times", -F.col("hub"))).alias("top")).select(F.col("v").alias("a"), (-F.col("top.col2")).alias("b"))
-    first = nearest.join(facts("a"), "a").join(facts("b"), "b").where(_may_link("a", "b", percent)).select("a", "b")
-    links = cut(confirmed(cut(first), docs, width, percent))
+    may = lambda pairs: cut(pairs.join(facts("a"), "a").join(facts("b"), "b").where(_may_link("a", "b", percent)).select("a", "b"))
+    nearest = cut(nearest)
+    links = cut(confirmed(may(nearest), docs, width, percent))
     labels = components(links)
 
     # buckets whose vertices are still in several components
     placed = shared.join(labels.withColumnRenamed("v", "_v"), F.col("v") == F.col("_v"), "left")
-    placed = cut(placed.select("band", "v", F.coalesce("component", "v").alias("component")))
+    placed = cut(placed.select("band", "v", "n", F.coalesce("component", "v").alias("component")))
     parts = placed.groupBy("band", "component").agg(F.count("*").alias("size"))
-    open_bands = parts.groupBy("band").agg(F.count("*").alias("several"), F.max(F.struct("size", "component")).alias("top")).where("several > 1")
-    open_bands = cut(open_bands.select("band", F.col("top.component").alias("largest")))
-    members = placed.join(open_bands, "band").join(facts("v"), "v")
-    members = cut(members.select("band", "largest", "component", F.col("v"), F.col("v_n"), F.col("v_sketch")))
-    a = members.where("component <> largest").select("band", F.col("component").alias("a_c"), F.col("v").alias("a"), F.col("v_n").alias("a_n"), F.col("v_sketch").alias("a_sketch"))
-    b = members.select(F.col("band").alias("_band"), "largest", F.col("component").alias("b_c"), F.col("v").alias("b"), F.col("v_n").alias("b_n"), F.col("v_sketch").alias("b_sketch"))
-    once = (F.col("b_c") == F.col("largest")) | (F.col("a") < F.col("b"))
-    apart = a.join(b, (F.col("band") == F.col("_band")) & (F.col("a_c") != F.col("b_c")) & once & _may_link("a", "b", percent))
-    apart = apart.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    open_bands = parts.groupBy("band").agg(F.count("*").alias("several"), F.max(F.struct("size", "component")).alias("top"), F.sum("size").alias("all")).where("several > 1")
+    open_bands = cut(open_bands.select("band", F.col("top.component").alias("largest"), (F.col("all") - F.col("top.size")).alias("crowd")))
+    others = cut(placed.join(open_bands, "band").where("component <> largest"))
+    towards = others.select("largest", "v", "n").distinct()
+    homes = placed.select(F.col("component").alias("largest"), F.col("v").alias("m"), F.col("n").alias("m_n")).distinct()
+    homes = homes.join(towards.select("largest").distinct(), "largest", "left_semi")
+    sizes = homes.groupBy("largest").agg(F.count("*").alias("size"))
+    homes = cut(homes.join(sizes, "largest"))
+
+    # few against one, or few among themselves: pair by pair
+    w = others.where(F.col("crowd") <= FEW).select("band", F.col("v").alias("b"), F.col("component").alias("b_c"))
+    among = others.where(F.col("crowd") <= FEW).select("band", F.col("v").alias("a"), F.col("component").alias("a_c")).join(w, "band").where("a < b and a_c <> b_c").select("a", "b")
+    facing = towards.join(homes.where(F.col("size") <= FEW), "largest").select(F.least("v", "m").alias("a"), F.greatest("v", "m").alias("b"))
     told = nearest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = confirmed(cut(apart.join(told, ["a", "b"], "left_anti")), docs, width, percent)
-    labels = components(links.union(more))
+    pairs = may(among.union(facing).distinct().join(told, ["a", "b"], "left_anti"))
+    more = confirmed(pairs, docs, width, percent)
+
+    # many: block by block
+    name = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string")).alias("grp")
+    many = homes.where(F.col("size") > FEW)
+    groups = towards.join(many.select("largest").distinct(), "largest", "left_semi").select(name("c", "largest"), F.lit(0).alias("side"), "v", "n")
+    groups = groups.union(many.select(name("c", "largest"), F.lit(1), "m", "m_n"))
+    for side in (0, 1):
+        groups = groups.union(others.where(F.col("crowd") > FEW).select(name("b", "band"), F.lit(side), "v", "n"))
+    more = cut(more.union(block_links(groups, docs, width, percent)))
+    if more.limit(1).count():
+        labels = components(links.union(more))
 
     placed = sets.join(labels.withColumnRenamed("v", "_v"), F.col("v") == F.col("_v"), "left").select("set_key", "rows", F.coalesce("component", "v").alias("component_id"))
     out = attach(sig.select("doc_id", "n", F.hex("set_key").alias("set_key")), cut(placed.withColumn("set_key", F.hex("set_key"))), "set_key", "rows")
