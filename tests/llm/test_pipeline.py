@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pytest
 
@@ -11,7 +13,7 @@ ROOT = "/root/testdata/sf0.001"
 
 
 def words(text):
-    return len((text or "").split())
+    return len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
 
 
 @pytest.fixture(scope="module")
