@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from skyframe.functions import kernels as Kn
 from skyframe.functions.math import clip
@@ -245,12 +246,11 @@ def chi2_quantile(p: float, dof: int) -> float:
     return (lo + hi) / 2
 
 
-def _debias(dof: Column) -> Column:
-    """chi2 quantile (p = 1/4) over dof: exact up to 300, the cube approximation beyond."""
-    table = F.array(*[F.lit(chi2_quantile(0.25, d) / d) for d in range(4, 301)])
-    z = -0.6744897501960817
-    k = F.lit(2.0) / (dof * 9)
-    return F.when(dof <= 300, F.element_at(table, F.greatest(dof - 3, F.lit(1)).cast("int"))).otherwise(F.pow(F.lit(1.0) - k + F.sqrt(k) * z, 3))
+@F.pandas_udf(DoubleType())
+def _debias(dof: pd.Series) -> pd.Series:
+    """chi2 quantile (p = 1/4) over dof, by the same series for every number of frames."""
+    known = {d: chi2_quantile(0.25, d) / d for d in set(dof.astype(int))}
+    return dof.astype(int).map(known)
 
 
 def photon_transfer(px: DataFrame, frames: DataFrame, min_pixels=10_000, min_bin=500, min_span=1e-4) -> DataFrame:

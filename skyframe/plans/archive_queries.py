@@ -111,9 +111,9 @@ def s11(v):
     return v.frame_file.select("frame_id", S.frame_key().alias("frame_key"))
 
 
-@query("s12_incremental_reuse", "arrival", "select event_id,frame_key from arrival a where event_id%3=0 and not exists (select 1 from arrival b where b.event_id%3=1 and b.frame_key=a.frame_key)")
+@query("s12_incremental_reuse", "arrival", "select event_id,frame_key from arrival a where event_id%3=0 and not exists (select 1 from arrival b where b.event_id%3<>0 and b.frame_key=a.frame_key)")
 def s12(v):
-    return S.unseen(v.arrival.filter("event_id % 3 = 0"), v.arrival.filter("event_id % 3 = 1")).select("event_id", "frame_key")
+    return S.unseen(v.arrival.filter("event_id % 3 = 0"), v.arrival.filter("event_id % 3 <> 0")).select("event_id", "frame_key")
 
 
 @query("s13_orphan_prune", "arrival", "select distinct frame_key from arrival where frame_key not in (select frame_key from arrival where event_id%2=0)")

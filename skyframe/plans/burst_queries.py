@@ -134,9 +134,11 @@ def a32(v):
     return rounded(B.grade_frames(v.mos), "sharp", "p999")
 
 
-@query("a34_burst_mean", "px_nodata", f"select target_id,y,x,{s6(clip_sql('avg(v)'), 'v')},count(v) n from px_nodata where frame_id%3<>0 group by target_id,y,x")
+@query("a34_burst_mean", "px_nodata", f"select target_id,y,x,{s6(clip_sql('avg(v)'), 'v')},count(v) n from px_nodata where frame_id in (select frame_id from px_nodata group by frame_id having count(v)>=61) group by target_id,y,x")
 def a34(v):
-    return rounded(B.burst_mean(v.px_nodata, frames(v).filter("frame_id % 3 <> 0")), "v")
+    """Frames with at most three lost pixels are kept."""
+    kept = v.px_nodata.groupBy("target_id", "frame_id").agg(F.count("v").alias("n")).filter("n >= 61")
+    return rounded(B.burst_mean(v.px_nodata, kept), "v")
 
 
 @query("a36_point_features", "mos", f"select image_id,ay,ax,{s6('lit')},{s6('q')},{s6('ex')},{s6('ey')} from ap join (select image_id,list(q order by q)[count(*)//2+1] m from ap group by all) using(image_id) where least(ex,ey)/greatest(ex,ey,1e-12)>=0.15 and q>=0.3e0*m",
@@ -375,9 +377,9 @@ STEPS = [
 
 @query("r01_tool_registry")
 def r01(v):
-    """Every non-reshaping single-pass tool applied through the registry, counted per image."""
+    """Seven per-pixel tools of the registry, counted per image; the others have queries of their own."""
     out = None
-    for n in ("levels", "contrast", "curves", "saturation", "scnr", "emission_boost", "orient"):
+    for n in ("levels", "contrast", "curves", "saturation", "scnr", "emission_boost", "white_balance"):
         t = G.TOOLS[n]
         d = t.fn(v.rgb, t.settings({})).groupBy("image_id").agg(F.lit(n).alias("tool"), F.count(F.lit(1)).alias("n"), r6(F.avg("g")).alias("mean_g"))
         out = d if out is None else out.unionByName(d)

@@ -30,21 +30,16 @@ def run_to_table(stream: DataFrame, path: str, state: str) -> DataFrame:
 
 def new_against_ledger(batch: DataFrame, ledger: str, key: str = "frame_key") -> None:
     """foreachBatch body: append only keys the ledger table lacks (state lives in the table)."""
-    spark = batch.sparkSession
-    fresh = batch.dropDuplicates([key])
-    try:
-        seen = spark.read.parquet(ledger).select(key)
-        fresh = fresh.join(seen, key, "left_anti")
-    except Exception as e:  # first batch: no table yet
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-    fresh.write.mode("append").parquet(ledger)
+    seen = batch.sparkSession.read.schema(batch.schema).parquet(ledger).select(key)
+    batch.dropDuplicates([key]).join(seen, key, "left_anti").write.mode("append").parquet(ledger)
 
 
 def run_ledger(stream: DataFrame, ledger: str, state: str, key: str = "frame_key") -> DataFrame:
+    spark = stream.sparkSession
+    spark.createDataFrame([], stream.schema).write.mode("append").parquet(ledger)  # an empty ledger where there is none
     q = stream.writeStream.foreachBatch(lambda b, _: new_against_ledger(b, ledger, key)).option("checkpointLocation", state).trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(ledger)
+    return spark.read.schema(stream.schema).parquet(ledger)
 
 
 def running_mean(px: DataFrame, keys=("target_id", "y", "x"), value="v") -> DataFrame:
