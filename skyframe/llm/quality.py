@@ -212,24 +212,24 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, Network]:
     return vectors, train(x, np.asarray(got.column("y")))
 
 
-def score(docs: DataFrame, vectors: np.ndarray, net: Network) -> DataFrame:
-    """``docs`` with a score column; other columns pass through."""
+def score(docs: DataFrame, vectors: np.ndarray, net: Network, name: str = "score") -> DataFrame:
+    """``docs`` with a column ``name`` that they must not have yet; other columns pass through."""
     names = docs.columns
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(net.scores(pooled(batch.column(at), vectors)))], [*names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(net.scores(pooled(batch.column(at), vectors)))], [*names, name])
 
-    schema = docs.withColumn("score", F.lit(0.0)).schema
+    schema = docs.withColumn(name, F.lit(0.0)).schema
     return docs.mapInArrow(run, schema)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = KEEP) -> DataFrame:
     """The rows of ``docs`` that score at least ``least``, with the same columns."""
     vectors, net = fit(docs, labels.where(~held_out()))
-    scored = score(docs, vectors, net)
-    return scored.where(F.col("score") >= least).select(*docs.columns)
+    scored = score(docs, vectors, net, "_quality_score")
+    return scored.where(F.col("_quality_score") >= least).select(*docs.columns)
 
 
 @query("op5_quality")
