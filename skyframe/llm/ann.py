@@ -9,7 +9,8 @@ their exact inner products.
 
 The first coordinates of a bucket are its shard.  Shards are the unit of work: their buckets meet
 the queries whose probes reach them, in blocks of bounded size on both sides.  A query carries the
-score of its k-th best neighbour in the sample, and blocks report only what is at least as good.
+score of its 2k-th best neighbour in the sample, and blocks report only what is at least as good; a
+query for which too few are found that way visits all further buckets without that bound.
 
 Equal vectors share one entry that holds their smallest ids; entries are indexed, searched and
 reranked once and expanded at the end, so a vector of many rows costs no more than one.
@@ -22,7 +23,7 @@ rows; with fewer candidates than k all are returned.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,8 @@ WIDTH = 2.5
 SAMPLE = 16_384
 TRIED = 192
 RECALL = 0.97
+#: Blocks report what is as good as this many times k in the sample.
+SPARE = 2
 #: Aims for the size of a shard, and bounds of a block: index entries and queries.
 SHARD = 2048
 BLOCK = 4096
@@ -171,23 +174,46 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
             for t in range(TABLES):
                 yield pa.RecordBatch.from_arrays([pa.array(h.shard_key(t, np.floor(h.project(placed, t)).astype(np.int64))), *batch.columns], ["shard", "entry", "embedding"])
 
+    index = cut(entries.select("entry", "embedding").mapInArrow(place_index, "shard bigint, entry bigint, embedding array<float>"))
+    bound = (sample, sample_ids, SPARE * k) if len(sample) > SPARE * k else None
+    named = cut(_named(_visit(queries, index, h, k, bound), entries, k))
+    short = queries.join(named.groupBy("query").count().where(F.col("count") > k).select(F.col("query").alias("entry")), "entry", "left_anti")
+    if short.limit(1).count():
+        # too few found within the radius: these queries visit all further buckets
+        h = replace(h, radius=np.inf)
+        again = _named(_visit(short, index, h, k, None), entries, k)
+        named = named.join(short.select(F.col("entry").alias("query")), "query", "left_anti").unionByName(again)
+    each = asked.withColumnRenamed("entry", "query").join(named, "query").where("query_id <> vec_id")
+    rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return each.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _visit(queries: DataFrame, index: DataFrame, h: Hashing, k: int, bound) -> DataFrame:
+    """(query, entry, score): the best k + 1 entries of each query in the buckets within the radius.
+
+    ``bound`` is (sample, its ids, rank): only what is as good as that rank of the sample is reported.
+    """
+    dim = h.dim
+
     def place_queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 1024):
                 part = batch.slice(i, 1024)
                 x = matrix(part.column(1), dim)
-                scores = x @ sample.T
-                scores[np.asarray(part.column(0))[:, None] == sample_ids[None, :]] = -np.inf
-                least = -np.partition(-scores, k - 1, axis=1)[:, k - 1] if len(sample) > k else np.full(len(x), -np.inf)
-                # a rounding error must not drop what the sample itself holds
-                least = np.where(np.isfinite(least), least - 1e-9 * (1 + np.abs(least)), -np.inf)
+                least = np.full(len(x), -np.inf)
+                if bound is not None:
+                    sample, sample_ids, place = bound
+                    scores = x @ sample.T
+                    scores[np.asarray(part.column(0))[:, None] == sample_ids[None, :]] = -np.inf
+                    least = -np.partition(-scores, place - 1, axis=1)[:, place - 1]
+                    # a rounding error must not drop what the sample itself holds
+                    least = np.where(np.isfinite(least), least - 1e-9 * (1 + np.abs(least)), -np.inf)
                 placed = h.query_side(x)
                 for t in range(TABLES):
                     row, key = h.reached_shards(h.project(placed, t), t)
                     take = pa.array(row)
                     yield pa.RecordBatch.from_arrays([pa.array(key), part.column(0).take(take), part.column(1).take(take), pa.array(least[row])], ["shard", "entry", "embedding", "least"])
 
-    index = cut(entries.select("entry", "embedding").mapInArrow(place_index, "shard bigint, entry bigint, embedding array<float>"))
     probes = cut(queries.mapInArrow(place_queries, "shard bigint, entry bigint, embedding array<float>, least double"))
     held = index.groupBy("shard").agg(F.count("*").alias("n"))
     want = probes.groupBy("shard").agg(F.count("*").alias("q"))
@@ -226,14 +252,14 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     found = left.groupBy("shard", "part", "ask").cogroup(right.groupBy("shard", "part", "ask")).applyInArrow(rerank, "query bigint, entry bigint, score double")
     merged = found.groupBy("query", "entry").agg(F.max("score").alias("score"))
     best = Window.partitionBy("query").orderBy(F.desc("score"), "entry")
-    merged = merged.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k + 1)
+    return merged.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k + 1).drop("place")
+
+
+def _named(merged: DataFrame, entries: DataFrame, k: int) -> DataFrame:
+    """(query, vec_id, score): the best k + 1 ids of each query entry, so one asked often stays small."""
     named = merged.join(entries.select("entry", "ids"), "entry").select("query", "score", F.explode("ids").alias("vec_id"))
-    # at most k + 1 rows per query entry remain after this cut, so an entry asked often stays small
     near = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
-    named = named.withColumn("place", F.row_number().over(near)).where(F.col("place") <= k + 1).drop("place")
-    each = asked.withColumnRenamed("entry", "query").join(named, "query").where("query_id <> vec_id")
-    rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return each.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return named.withColumn("place", F.row_number().over(near)).where(F.col("place") <= k + 1).drop("place")
 
 
 @query("op3_ann")
