@@ -228,6 +228,7 @@ def block_links(groups: DataFrame, docs: DataFrame, width: int, percent: int) ->
     texts = texts_of(docs, groups.select(F.col("v").alias("doc_id")).distinct())
     load = F.greatest(F.lit(1.0), F.col("n") / BLOCK_SHINGLES)
     sizes = groups.groupBy("grp").agg(*[F.ceil(F.sum(F.when(F.col("side") == k, load)) / BLOCK).alias(f"parts{k}") for k in (0, 1)]).where("parts0 > 0 and parts1 > 0")
+    sizes = cut(sizes)  # a written table, so that a group of many vertices is not shuffled to meet its sizes
     rows = groups.join(sizes, "grp")
     own = F.pmod(F.xxhash64("v"), F.when(F.col("side") == 0, F.col("parts0")).otherwise(F.col("parts1")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("side") == 0, F.col("parts1")).otherwise(F.col("parts0")) - 1))
