@@ -10,7 +10,7 @@ their exact inner products.
 The first coordinates of a bucket are its shard.  Shards are the unit of work: their buckets meet
 the queries whose probes reach them, in blocks of bounded size on both sides.  A query carries the
 score of its 2k-th best neighbour in the sample, and blocks report only what is at least as good; a
-query for which too few are found that way visits all further buckets without that bound.
+query for which too few are found that way meets every entry once, in blocks, without that bound.
 
 Equal vectors share one entry that holds their smallest ids; entries are indexed, searched and
 reranked once and expanded at the end, so a vector of many rows costs no more than one.
@@ -23,7 +23,7 @@ rows; with fewer candidates than k all are returned.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -118,6 +118,15 @@ def probe_costs(projected: np.ndarray, buckets: np.ndarray) -> np.ndarray:
     return cost
 
 
+def best_of(scores: np.ndarray, k: int) -> np.ndarray:
+    """Where a row's finite scores are among its k + 1 best, as far as rounding can tell."""
+    good = np.isfinite(scores)
+    if scores.shape[1] > k + 1:
+        edge = -np.partition(-scores, k, axis=1)[:, k]
+        good &= scores >= edge[:, None] - 1e-9 * (1 + np.abs(np.where(np.isfinite(edge), edge, 0)))[:, None]
+    return good
+
+
 def fit_radius(h: Hashing, sample: np.ndarray, k: int) -> float:
     """The smallest radius that finds RECALL of the true neighbours of the tried queries."""
     tried = sample[:: max(1, len(sample) // TRIED)][:TRIED]
@@ -177,11 +186,11 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     index = cut(entries.select("entry", "embedding").mapInArrow(place_index, "shard bigint, entry bigint, embedding array<float>"))
     bound = (sample, sample_ids, SPARE * k) if len(sample) > SPARE * k else None
     named = cut(_named(_visit(queries, index, h, k, bound), entries, k))
-    short = queries.join(named.groupBy("query").count().where(F.col("count") > k).select(F.col("query").alias("entry")), "entry", "left_anti")
-    if short.limit(1).count():
-        # too few found within the radius: these queries visit all further buckets
-        h = replace(h, radius=np.inf)
-        again = _named(_visit(short, index, h, k, None), entries, k)
+    short = cut(queries.join(named.groupBy("query").count().where(F.col("count") > k).select(F.col("query").alias("entry")), "entry", "left_anti"))
+    few = short.count()
+    if few:
+        # too few found within the radius: these queries meet every entry
+        again = _named(_meet_all(short, few, entries, h, k), entries, k)
         named = named.join(short.select(F.col("entry").alias("query")), "query", "left_anti").unionByName(again)
     each = asked.withColumnRenamed("entry", "query").join(named, "query").where("query_id <> vec_id")
     rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
@@ -238,21 +247,47 @@ def _visit(queries: DataFrame, index: DataFrame, h: Hashing, k: int, bound) -> D
             q = q_all[i : i + 512]
             visited = probe_costs(h.project(h.query_side(q), t - 1), buckets) <= h.radius
             scores = np.where(visited[:, of], q @ x.T, -np.inf)
-            good = scores >= least[i : i + 512, None]
-            good &= np.isfinite(scores)
-            if scores.shape[1] > k + 1:
-                edge = -np.partition(-scores, k, axis=1)[:, k]
-                good &= scores >= edge[:, None] - 1e-9 * (1 + np.abs(np.where(np.isfinite(edge), edge, 0)))[:, None]
-            a, b = np.nonzero(good)
+            a, b = np.nonzero((scores >= least[i : i + 512, None]) & best_of(scores, k))
             exact = (q[a] * x[b]).sum(axis=1)
             out.append((q_ids[i + a], ids[b], exact))
         cols = [np.concatenate(c) for c in zip(*out)]
         return pa.table({"query": cols[0], "entry": cols[1], "score": cols[2]})
 
     found = left.groupBy("shard", "part", "ask").cogroup(right.groupBy("shard", "part", "ask")).applyInArrow(rerank, "query bigint, entry bigint, score double")
-    merged = found.groupBy("query", "entry").agg(F.max("score").alias("score"))
+    return _merged(found.groupBy("query", "entry").agg(F.max("score").alias("score")), k)
+
+
+def _meet_all(queries: DataFrame, asked: int, entries: DataFrame, h: Hashing, k: int) -> DataFrame:
+    """(query, entry, score): the exact best k + 1 entries of each of the ``asked`` queries, each pair scored once.
+
+    Blocks are at most about BLOCK entries by BLOCK queries whatever the number of shards.
+    """
+    dim = h.dim
+    parts, asks = -(-h.entries // BLOCK), -(-asked // BLOCK)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    own = lambda n: F.pmod(F.xxhash64("entry"), F.lit(n).cast("long"))
+    left = entries.select(own(parts).alias("part"), every(asks).alias("ask"), "entry", "embedding")
+    right = queries.select(every(parts).alias("part"), own(asks).alias("ask"), "entry", "embedding")
+
+    def score(here: pa.Table, there: pa.Table) -> pa.Table:
+        x, ids = matrix(here.column("embedding").combine_chunks(), dim), np.asarray(here.column("entry"))
+        q_all, q_ids = matrix(there.column("embedding").combine_chunks(), dim), np.asarray(there.column("entry"))
+        out = [(q_ids[:0], ids[:0], np.zeros(0))]
+        for i in range(0, len(q_all) if len(x) else 0, 512):
+            q = q_all[i : i + 512]
+            a, b = np.nonzero(best_of(q @ x.T, k))
+            out.append((q_ids[i + a], ids[b], (q[a] * x[b]).sum(axis=1)))
+        cols = [np.concatenate(c) for c in zip(*out)]
+        return pa.table({"query": cols[0], "entry": cols[1], "score": cols[2]})
+
+    found = left.groupBy("part", "ask").cogroup(right.groupBy("part", "ask")).applyInArrow(score, "query bigint, entry bigint, score double")
+    return _merged(found, k)
+
+
+def _merged(found: DataFrame, k: int) -> DataFrame:
+    """The best k + 1 entries of each query."""
     best = Window.partitionBy("query").orderBy(F.desc("score"), "entry")
-    return merged.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k + 1).drop("place")
+    return found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k + 1).drop("place")
 
 
 def _named(merged: DataFrame, entries: DataFrame, k: int) -> DataFrame:

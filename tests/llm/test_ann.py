@@ -60,6 +60,35 @@ def test_copies_and_ties_go_to_smaller_ids(spark):
     assert [v for _, v in sorted((r.rank, r.vec_id) for r in rows if r.query_id == 80)] == [0, *range(60, 79)]
 
 
+def test_queries_that_find_too_few_meet_every_entry_once(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(9000, 16)) * 0.05 + np.eye(16)[0]
+    out = [0, 2000, 4000]  # outliers: nothing lies within the radius that suits the others
+    x[out] = -np.eye(16)[0] + rng.normal(size=(3, 16)) * 0.05
+    short, radii = [], []
+
+    def visit(queries, index, h, k, bound, f=ann._visit):
+        radii.append(h.radius)
+        assert h.shard_coordinates == 3
+        return f(queries, index, h, k, bound)
+
+    def meet_all(queries, *rest, f=ann._meet_all):
+        short.extend(r.entry for r in queries.select("entry").collect())
+        return f(queries, *rest)
+
+    monkeypatch.setattr(ann, "_visit", visit)
+    monkeypatch.setattr(ann, "_meet_all", meet_all)
+    ids = list(range(9000))
+    rows = ann.search(frame(spark, ids, x).repartition(5)).collect()
+    # shards are never enumerated without a radius: 25 ** shard_coordinates probes a query and table
+    assert np.isfinite(radii).all() and set(out) <= set(short)
+    want = brute(ids, x)
+    for q in short:
+        got = [(r.vec_id, r.score) for r in sorted(rows, key=lambda r: r["rank"]) if r.query_id == q]
+        assert [g[0] for g in got] == [j for _, j in want[q]]
+    assert recall(rows, want) >= 0.9
+
+
 def test_invalid_vectors_take_no_part(spark):
     rows = [(0, [1.0, 0.0]), (1, None), (2, [0.0, 0.0]), (3, [float("nan"), 1.0]), (4, [None, 1.0]), (5, [float("inf"), 1.0]), (6, []), (7, [1.0, 2.0, 3.0]), (20, [0.5, 0.5]), (8, [1.0, 0.1]), (8, [1.0, 0.1]), (None, [1.0, 1.0]), (40, None)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("extra"))
