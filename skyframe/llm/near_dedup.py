@@ -17,8 +17,8 @@ With 40 bands of 5 rows a pair of similarity 0.8 shares no band with probability
 
 Defined cases: null or empty texts and texts without words have the empty set and are linked with
 nothing; texts with fewer words than a shingle are one shingle of all their words; rows that share
-a ``doc_id`` with different texts are linked text by text, and a null ``doc_id`` takes no part in links; an empty table gives
-no rows; further columns pass through :func:`deduplicate` and are else not read.
+a ``doc_id`` with different texts are linked, kept and dropped text by text, and a null ``doc_id`` takes no part in links; an
+empty table gives no rows; further columns pass through :func:`deduplicate` and are else not read.
 """
 
 from __future__ import annotations
@@ -286,9 +286,31 @@ def components(links: DataFrame) -> DataFrame:
         labels = cut(near.groupBy(F.col("a").alias("v")).agg(F.min("_c").alias("component")))
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number of its own for each row in ``_key``, null where the doc_id is; written, so that keys stay."""
+    return cut(docs.withColumn("_key", F.when(F.col("doc_id").cast("bigint").isNotNull(), F.monotonically_increasing_id())))
+
+
 def near_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n, component_id) for every row of ``docs`` (doc_id, text)."""
     sig = cut(signatures(docs, width))
+    own = F.xxhash64("set_key")
+    shared = sig.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min(own).alias("low"), F.max(own).alias("high")).where("low <> high")
+    if not shared.limit(1).count():
+        return _linked(sig, docs, width, percent)
+    # an id of several texts does not name a vertex: rows are linked by keys, and ids come back at the end
+    rows = keyed(docs.select("doc_id", "text"))
+    texts = rows.select(F.col("_key").alias("doc_id"), "text")
+    found = cut(_linked(cut(signatures(texts, width)), texts, width, percent).withColumnRenamed("doc_id", "_key"))
+    ids = rows.where("_key is not null").select("_key", F.col("doc_id").cast("bigint").alias("doc_id"))
+    members = cut(found.join(ids, "_key").select("doc_id", "n", F.col("component_id").alias("_component")))
+    least = cut(members.groupBy("_component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("rows")))
+    named = attach(members, least, "_component", "rows").select("doc_id", "n", "component_id")
+    return named.unionByName(found.where("_key is null").select(F.col("_key").alias("doc_id"), "n", "component_id"))
+
+
+def _linked(sig: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The result of :func:`near_components` for rows of which no two share an id but not their set."""
     sets = cut(sig.where("n > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("v"), F.count("*").alias("rows")))
     vertices = sig.join(sets.select("v", F.col("set_key").alias("_key")), (F.col("doc_id") == F.col("v")) & (F.col("set_key") == F.col("_key")))
     vertices = cut(vertices.dropDuplicates(["v", "set_key"]).select("v", "n", "bands", "sketch"))
@@ -344,13 +366,23 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
 def deduplicate(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """One row of each group of near duplicates of ``docs``, with the same columns."""
-    found = cut(near_components(docs.select("doc_id", "text"), width, percent))
-    dropped = found.where("component_id is not null and component_id <> doc_id").select(F.col("doc_id").alias("_dropped")).distinct()
-    kept = docs.join(dropped, docs["doc_id"].cast("bigint") == F.col("_dropped"), "left_anti")
-    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        first = Window.partitionBy("doc_id").orderBy("text")
-        kept = kept.withColumn("_n", F.row_number().over(first)).where("_n = 1 or doc_id is null").drop("_n")
-    return kept.select(*docs.columns)
+    repeated = docs.select(F.col("doc_id").cast("bigint").alias("doc_id")).where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    if not repeated.limit(1).count():
+        found = cut(near_components(docs.select("doc_id", "text"), width, percent))
+        dropped = found.where("component_id <> doc_id").select(F.col("doc_id").alias("_dropped"))
+        kept = docs.join(dropped, docs["doc_id"].cast("bigint") == F.col("_dropped"), "left_anti")
+        return kept.select(*docs.columns)
+    # rows that share an id are kept or dropped each by its own text
+    rows = keyed(docs)
+    texts = rows.select(F.col("_key").alias("doc_id"), "text")
+    found = cut(_linked(cut(signatures(texts, width)), texts, width, percent).withColumnRenamed("doc_id", "_key"))
+    place = rows.select("_key", F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text"))
+    first = found.where("n > 0").join(place, "_key").groupBy("component_id").agg(F.min(F.struct("doc_id", "text", "_key")).alias("top"))
+    kept = rows.join(first.select("top._key"), "_key", "left_semi").select(*docs.columns)
+    # empty sets have no near copy: only rows equal in whole are one
+    empty = rows.join(found.where("n = 0").select("_key"), "_key", "left_semi").select(*docs.columns)
+    empty = empty.withColumn("_whole", F.sha2(F.to_json(F.struct(*docs.columns)), 256)).dropDuplicates(["_whole"]).drop("_whole")
+    return kept.unionByName(empty).unionByName(rows.where("_key is null").select(*docs.columns))
 
 
 @query("op9_near_dedup")

@@ -89,6 +89,21 @@ def test_odd_rows(spark, odd_documents, no_documents, tables):
     assert near_dedup.deduplicate(no_documents).count() == 0
 
 
+def test_rows_that_share_an_id_are_judged_by_their_own_text(spark):
+    text = lambda name, changed=0: " ".join(f"{name}{i}" for i in range(60 - changed)) + " end" * changed
+    rows = [(1, text("a"), "s"), (2, text("a", 1), "s"), (2, text("b"), "s"), (2, text("c"), "s"), (3, text("c", 1), "s")]
+    rows += [(4, text("d"), "s"), (4, text("d"), "s"), (5, "", "s"), (5, "", "t"), (5, "", "t"), (5, text("a"), "s"), (None, text("b"), "s"), (None, text("b"), "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    kept = near_dedup.deduplicate(df)
+    assert kept.columns == df.columns
+    want = [rows[0], rows[2], rows[3], rows[5], rows[7], rows[8], rows[11], rows[12]]
+    assert sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, want))
+    found = near_dedup.near_components(df.select("doc_id", "text"))
+    got = sorted((r.doc_id or 0, r.n, r.component_id or 0) for r in found.collect())
+    n = 56
+    assert got == sorted([(1, n, 1), (2, n, 1), (2, n, 2), (2, n, 2), (3, n, 2), (4, n, 4), (4, n, 4), (5, 0, 5), (5, 0, 5), (5, 0, 5), (5, n, 1), (0, n, 0), (0, n, 0)])
+
+
 def test_odd_sketch_estimates():
     rng = random.Random(2)
     words = [f"a{i}" for i in range(2000)]
