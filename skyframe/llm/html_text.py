@@ -3,7 +3,7 @@
 Pass one walks the markup, cuts the page into blocks and classifies each: blocks inside menus,
 footers, forms, notices, adverts, comments and the like are boilerplate; link-heavy blocks are
 boilerplate; long blocks are content where the page marks them as its article, and elsewhere where
-they hold enough stop words.  What is too short to tell stays open.  In pass two an open block
+they hold enough stop words.  Headings and paragraphs of an article stay whatever they link to.  What is too short to tell stays open.  In pass two an open block
 takes the label of its nearest decided neighbours within the same article or page body.
 
 Defined cases: null or empty html gives the empty text; unclosed tags, comments and truncated pages
@@ -35,6 +35,9 @@ copyright disclaimer disqus feedback footer footnav gdpr header login masthead m
 outbrain overlay pager pagination popup promo promoted promotion recommended related replies reply respond share sharing sidebar signup skip social
 sponsor sponsored subscribe subscription taboola teaser toolbar topbar widget widgets""".split())
 FURNITURE_ROLES = set("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar note status".split())
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
+#: First parts of class names that tell how a page is laid out, not what an element holds.
+LAYOUT = set("has no with without".split())
 STOP_WORDS = set("""a about after all also an and are as at be because been but by can could did do for from had has have he her his how i if in into is it
 its may more most my no not of on one or other our out over she should so some than that the their them then there these they this to up was we were
 what when which who will with would you your
@@ -62,6 +65,7 @@ class Block:
     area: int  # number of the article or main element it lies in; 0 outside
     furniture: bool
     listed: bool
+    told: bool  # a heading, or a paragraph outside lists
 
 
 @dataclass
@@ -71,9 +75,18 @@ class Element:
     link: bool
     area: int
     listed: bool
+    heading: bool
+    paragraph: bool
+    number: int
 
 
-def _is_furniture(tag: str, attributes: str) -> bool:
+def _names_furniture(token: str, whole: bool) -> bool:
+    parts = re.split(r"[-_]+", token)
+    return token in FURNITURE_NAMES if whole else parts[0] not in LAYOUT and not FURNITURE_NAMES.isdisjoint(parts)
+
+
+def _is_furniture(tag: str, attributes: str, wrapper: bool) -> bool:
+    """Whether an element is page furniture; a ``wrapper`` of an article, or a heading, by whole names only."""
     if tag in FURNITURE:
         return True
     if not attributes or "=" not in attributes and "hidden" not in attributes.lower():
@@ -90,7 +103,7 @@ def _is_furniture(tag: str, attributes: str) -> bool:
             return not page_part
         if name in ("class", "id"):
             for token in value.split():
-                if token in FURNITURE_NAMES if page_part else not FURNITURE_NAMES.isdisjoint(re.split(r"[-_]+", token)):
+                if _names_furniture(token, page_part or wrapper or tag in HEADINGS):
                     return token in ("comment", "reply", "ad", "advert", "teaser") if page_part else True
     return False
 
@@ -103,9 +116,12 @@ class _Page:
     parts: list[str] = field(default_factory=list)
     link_parts: list[str] = field(default_factory=list)
     areas: int = 0
+    elements: int = 0
+    wrappers: set[int] = field(default_factory=set)  # numbers of elements outside areas that hold an article or main element
+    held: set[int] = field(default_factory=set)  # those found so far where furniture holds one
 
     def top(self) -> Element:
-        return self.stack[-1] if self.stack else Element("", False, False, 0, False)
+        return self.stack[-1] if self.stack else Element("", False, False, 0, False, False, False, 0)
 
     def flush(self) -> None:
         if self.parts:
@@ -113,7 +129,7 @@ class _Page:
             if text:
                 top = self.top()
                 links = len(" ".join("".join(self.link_parts).split()))
-                self.blocks.append(Block(text, links, top.area, top.furniture, top.listed))
+                self.blocks.append(Block(text, links, top.area, top.furniture, top.listed, top.heading or top.paragraph and not top.listed))
             self.parts, self.link_parts = [], []
 
     def say(self, raw: str) -> None:
@@ -135,17 +151,27 @@ class _Page:
     def open(self, tag: str, attributes: str) -> None:
         above = self.top()
         area = above.area
-        furniture = above.furniture or _is_furniture(tag, attributes)
+        self.elements += 1
+        furniture = above.furniture or _is_furniture(tag, attributes, self.elements in self.wrappers)
         if tag in ("article", "main") and not furniture and not area:
             self.areas += 1
             area = self.areas
-        self.stack.append(Element(tag, furniture, above.link or tag == "a", area, above.listed or tag in ("ul", "ol", "menu")))
+        elif tag in ("article", "main") and above.furniture and not area:
+            self.held.update(e.number for e in self.stack)
+        self.stack.append(Element(tag, furniture, above.link or tag == "a", area, above.listed or tag in ("ul", "ol", "menu"), above.heading or tag in HEADINGS, above.paragraph or tag == "p", self.elements))
         self.opened[tag] += 1
 
 
 def blocks(source: str) -> list[Block]:
     """The page's text blocks in order."""
-    page, at = _Page(), 0
+    page = _walk(source, set())
+    if page.held:  # what lies around an article is known only now
+        page = _walk(source, page.held)
+    return page.blocks
+
+
+def _walk(source: str, wrappers: set[int]) -> _Page:
+    page, at = _Page(wrappers=wrappers), 0
     while m := _MARKUP.search(source, at):
         page.say(source[at : m.start()])
         at = m.end()
@@ -171,7 +197,7 @@ def blocks(source: str) -> list[Block]:
                 page.open(tag, attributes)
     page.say(source[at:])
     page.flush()
-    return page.blocks
+    return page
 
 
 def _first_pass(b: Block) -> bool | None:
@@ -179,7 +205,7 @@ def _first_pass(b: Block) -> bool | None:
     if b.furniture:
         return False
     links = b.link_chars / len(b.text)
-    if links > LINK_DENSITY and (b.listed or not b.area or len(b.text) < SHORT):
+    if links > LINK_DENSITY and not (b.area and b.told) and (b.listed or not b.area or len(b.text) < SHORT):
         return False
     if len(b.text) < SHORT:
         return None
@@ -216,7 +242,7 @@ def main_text(source: str | None) -> str:
         part = [b for b in chosen if b.area == area]
         labels = [_first_pass(b) for b in part]
         if area:  # a list of links between short paragraphs of an article says nothing about them
-            labels = [True if x is None and not b.listed else x for x, b in zip(labels, part)]
+            labels = [True if x is None and (b.told or not b.listed) else x for x, b in zip(labels, part)]
         out += [b.text for b, keep in zip(part, _second_pass(labels, True)) if keep]
     return "\n".join(out)
 

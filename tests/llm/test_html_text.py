@@ -26,6 +26,21 @@ def test_cases(source, text):
     assert html_text.main_text(source) == text
 
 
+@pytest.mark.parametrize(
+    ("source", "text"),
+    [
+        (f"<article><h2><a href=x>Linked</a></h2><p>{PROSE}</p><p><a href=y>A linked line</a></p><ul><li><a href=z>list</a></ul></article>", f"Linked\n{PROSE}\nA linked line"),
+        (f"<div class='content has-sidebar'><div class=sidebar>{PROSE}</div><article><p>{PROSE}</p></article></div>", PROSE),
+        (f"<div class='content has-sidebar'><p>{PROSE}</p></div>", PROSE),
+        (f"<div class='header-fixed'><div id='page_with_menu'><main><p>{PROSE}</p></main></div></div>", PROSE),
+        (f"<article><h2 class='section-header'>Title</h2><p>{PROSE}</p></article>", f"Title\n{PROSE}"),
+        (f"<main><p>{PROSE}</p><div class='related-posts'><article>{PROSE}</article></div></main><aside><article>{PROSE}</article></aside>", PROSE),
+    ],
+)
+def test_articles_keep_linked_headings_and_odd_wrappers(source, text):
+    assert html_text.main_text(source) == text
+
+
 def test_second_pass_takes_nearest_labels():
     assert html_text._second_pass([None, True, None, False, None, None, False, None], True) == [True, True, True, False, False, False, False, False]
     assert html_text._second_pass([None, None], True) == [True, True]
