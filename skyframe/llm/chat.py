@@ -37,6 +37,8 @@ from skyframe.llm.common import query, table
 FORMATTED = "conv_id bigint, formatted string, loss_start array<int>, loss_length array<int>"
 MARKS = {"user": (b"[INST] ", b" [/INST]"), "system": (b"[SYS] ", b" [/SYS]"), "assistant": (b"", b"</s>")}
 OPENING = b"<s>"
+#: Bytes that one string column of 32-bit offsets can hold.
+LIMIT = 2**31 - 1
 _SPECIAL = np.zeros(256, bool)
 _SPECIAL[list(b"\\[<")] = True
 
@@ -85,12 +87,31 @@ def assemble(first: np.ndarray, roles: list[str], texts: pa.Array) -> tuple[np.n
     return out, begins, body, content
 
 
-def _conversations(rows: pa.Table) -> pa.RecordBatch:
-    """One row per conversation of ``rows`` (conv_id, role, text), which are in order."""
+def _conversations(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    """One row per conversation of ``rows`` (conv_id, role, text), which are in order.
+
+    Rows that might pass ``LIMIT`` when formatted are taken conversation by conversation; one that
+    passes it alone is an error.
+    """
+    size = pc.sum(pc.binary_length(rows.column("text"))).as_py() or 0
+    size += (pc.sum(pc.binary_length(rows.column("role"))).as_py() or 0) + 32 * rows.num_rows
+    start = np.append(np.flatnonzero(_changes(rows.column("conv_id").combine_chunks())), rows.num_rows)
+    if 2 * size <= LIMIT or len(start) <= 2:  # escaping at most doubles
+        yield _formatted(rows)
+    else:
+        for a, b in zip(start.tolist(), start[1:].tolist()):
+            yield _formatted(rows.slice(a, b - a))
+
+
+def _formatted(rows: pa.Table) -> pa.RecordBatch:
+    if (pc.sum(pc.binary_length(rows.column("text"))).as_py() or 0) > LIMIT:
+        raise ValueError(f"conversation {rows.column('conv_id')[0].as_py()} holds more than {LIMIT} bytes")
     conv = rows.column("conv_id").combine_chunks()
     new = _changes(conv)
     roles = rows.column("role").to_pylist()
     out, begins, body, content = assemble(new, roles, rows.column("text").combine_chunks())
+    if begins[-1] > LIMIT:
+        raise ValueError(f"conversation {conv[0].as_py()} is longer than {LIMIT} bytes when formatted")
     start = np.flatnonzero(new)
     bounds = np.concatenate([begins[start], begins[-1:]])
     loss = np.array([r == "assistant" for r in roles], bool)
@@ -118,15 +139,15 @@ def format_chats(turns: DataFrame) -> DataFrame:
             last = int(np.flatnonzero(_changes(batch.column(0)))[-1]) if batch.num_rows else 0
             crosses = bool(waiting) and batch.num_rows and waiting[-1].column(0)[-1].as_py() == batch.column(0)[0].as_py()
             if waiting and batch.num_rows and (last or not crosses):
-                yield _conversations(pa.Table.from_batches([*waiting, batch.slice(0, last)]))
+                yield from _conversations(pa.Table.from_batches([*waiting, batch.slice(0, last)]))
                 waiting, batch = [], batch.slice(last)
             elif last:
-                yield _conversations(pa.Table.from_batches([batch.slice(0, last)]))
+                yield from _conversations(pa.Table.from_batches([batch.slice(0, last)]))
                 batch = batch.slice(last)
             if batch.num_rows:
                 waiting.append(batch)
         if waiting:
-            yield _conversations(pa.Table.from_batches(waiting))
+            yield from _conversations(pa.Table.from_batches(waiting))
 
     plain = turns.select(
         F.col("conv_id").cast("bigint"), "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")

@@ -1,5 +1,7 @@
 import hashlib
 
+import pyarrow as pa
+import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
@@ -46,3 +48,14 @@ def test_empty_table_and_batches(spark):
 @given(st.text())
 def test_escaping_is_reversible(text):
     assert chat.unescape(chat.escape(text)) == text
+
+
+def test_no_offset_passes_its_limit(monkeypatch):
+    rows = pa.table({"conv_id": pa.array([1, 1, 2, None], pa.int64()), "role": ["user", "assistant", "user", "assistant"], "text": ["a[", "b", "c" * 20, "d"]})
+    whole = pa.Table.from_batches(chat._conversations(rows)).to_pylist()
+    monkeypatch.setattr(chat, "LIMIT", 60)
+    parts = list(chat._conversations(rows))
+    assert [p.num_rows for p in parts] == [1, 1, 1] and pa.Table.from_batches(parts).to_pylist() == whole
+    monkeypatch.setattr(chat, "LIMIT", 30)
+    with pytest.raises(ValueError, match="conversation 2 "):
+        list(chat._conversations(rows))
