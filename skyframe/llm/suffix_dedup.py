@@ -401,9 +401,11 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
 
 SQL = r"""
-with recursive d as (select row_number() over () as r, doc_id, hex(encode(coalesce(text, ''))) as x, strlen(coalesce(text, '')) as n from documents),
-grams as (select r, doc_id, unnest(range(n - 49)) as i, x from d where n >= 50 and doc_id is not null),
-named as (select r, doc_id, i, md5_number(substr(x, 2 * i + 1, 100)) as g from grams),
+with d as (select row_number() over () as r, doc_id, hex(encode(coalesce(text, ''))) as x, strlen(coalesce(text, '')) as n from documents),
+cuts as (select r, doc_id, n, x, unnest(range(0, n - 49, 200)) as c from d where n >= 50 and doc_id is not null),
+parts as (select r, doc_id, n, c, substr(x, 2 * c + 1, 500) as y from cuts),
+grams as (select r, doc_id, c, y, unnest(range(least(200, n - 49 - c))) as i from parts),
+named as (select r, doc_id, c + i as i, hash(substr(y, 2 * i + 1, 100)) as g from grams),
 least as (select g, min(doc_id) as first from named group by g having min(doc_id) < max(doc_id)),
 hit as (select distinct r, i from named join least using (g) where doc_id > first),
 runs as (
