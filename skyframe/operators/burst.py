@@ -351,6 +351,86 @@ def point_features(df, size=96, min_lit=0.40, cap=600, keys=("image_id",)) -> Da
     return top_k(attach(a, med, keys).filter(ok).drop("_m"), keys, [F.col("q").desc(), F.col("ay"), F.col("ax")], cap, "rank")
 
 
+def _window(a: np.ndarray, taper: int) -> np.ndarray:
+    """A window rescaled to [0, 1] with faded borders, as :func:`tapered` does for images."""
+    span = a.max() - a.min()
+    a = (a - a.min()) / span if span > 0 else np.zeros_like(a)
+    for axis, n in enumerate(a.shape):
+        t = min(taper, a.shape[0] // 2, a.shape[1] // 2)
+        i = np.minimum(np.arange(n), np.arange(n)[::-1])
+        fade = np.where(i < t, (1 - np.cos(i * np.pi / max(t, 1))) * 0.5, 1.0)
+        a = a * (fade[:, None] if axis == 0 else fade[None, :])
+    return a
+
+
+def _peak(ref: np.ndarray, tgt: np.ndarray) -> tuple[float, float]:
+    """(dy, dx) of the correlation's peak over all offsets, refined by a log parabola per axis."""
+    h, w = ref.shape
+    s = np.fft.irfft2(np.conj(np.fft.rfft2(ref, (2 * h, 2 * w))) * np.fft.rfft2(tgt, (2 * h, 2 * w)), s=(2 * h, 2 * w))
+    s = (s - s.min()) / max(float(np.ptp(s)), 1e-300)
+    far = np.hypot(np.fft.fftfreq(2 * h, 1 / (2 * h))[:, None], np.fft.fftfreq(2 * w, 1 / (2 * w))[None, :])
+    py, px = np.unravel_index(np.argmin(np.where(s >= s.max() - 1e-9, far, np.inf)), s.shape)
+
+    def vertex(m, c, p):
+        m, c, p = (math.log(max(x, 1e-12)) for x in (m, c, p))
+        bend = m - 2 * c + p
+        return 0.0 if abs(bend) < 1e-12 else min(0.5, max(-0.5, 0.5 * (m - p) / bend))
+
+    fy = vertex(s[py - 1, px], s[py, px], s[(py + 1) % (2 * h), px])
+    fx = vertex(s[py, px - 1], s[py, px], s[py, (px + 1) % (2 * w)])
+    return float((py - 2 * h if py >= h else py) + fy), float((px - 2 * w if px >= w else px) + fx)
+
+
+def measure_points(px: DataFrame, points: DataFrame, offsets: DataFrame, reference: DataFrame, size: int, taper=12, tile: int | None = None) -> DataFrame:
+    """(frame, ay, ax, dx, dy, ox, oy, q): where each alignment point of the reference lies in every frame.
+
+    ``points`` has target_id, ay, ax (window origins), ``offsets`` each frame's whole shift.  A frame is
+    moved back by its whole pixels; what is left is measured in the point's window: ``dx, dy`` beyond
+    the frame's shift, ``ox, oy`` in all, ``q`` the spread of the window's gradient.  The unit of work is a
+    tile of windows with one margin of ``size`` pixels, which serves all points that begin in it.
+    Windows that reach outside a frame are left out.
+    """
+    step = tile or 4 * size
+    whole = offsets.select(*FRAME, F.rint("dx").cast("int").alias("ix"), F.rint("dy").cast("int").alias("iy"))
+    g = cut(gradient(px, "v", FRAME).select(*FRAME, "y", "x", "mag"))
+    ref = g.join(reference.select(*FRAME), FRAME, "left_semi").select("target_id", "y", "x", F.col("mag").alias("ref"))
+    moved = g.join(whole, FRAME).select(*FRAME, (F.col("y") - F.col("iy")).alias("y"), (F.col("x") - F.col("ix")).alias("x"), F.col("mag").alias("tgt"))
+    both = moved.join(ref, ["target_id", "y", "x"])
+
+    def tiles(c):
+        return F.explode(F.sequence(F.floor(F.greatest(F.col(c) - (size - 1), F.lit(0)) / step), F.floor(F.col(c) / step)))
+
+    both = both.withColumn("_ty", tiles("y")).withColumn("_tx", tiles("x")).select(*FRAME, "_ty", "_tx", "y", "x", "ref", "tgt")
+    asked = whole.join(points.select("target_id", F.col("ay").cast("int").alias("ay"), F.col("ax").cast("int").alias("ax")), "target_id")
+    asked = asked.withColumns({"_ty": F.floor(F.col("ay") / step), "_tx": F.floor(F.col("ax") / step)})
+    types = dict(px.dtypes)
+    schema = f"target_id {types['target_id']}, frame_id {types['frame_id']}, ay int, ax int, dx double, dy double, ox double, oy double, q double"
+
+    def run(pixels: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        if len(pixels) and len(wanted):
+            y0, x0 = int(wanted["_ty"].iloc[0]) * step, int(wanted["_tx"].iloc[0]) * step
+            sides = []
+            yy, xx = pixels["y"].to_numpy() - y0, pixels["x"].to_numpy() - x0
+            inside = (yy >= 0) & (xx >= 0) & (yy < step + size - 1) & (xx < step + size - 1)
+            for c in ("ref", "tgt"):
+                a = np.full((step + size - 1, step + size - 1), np.nan)
+                a[yy[inside], xx[inside]] = pixels[c].to_numpy(float)[inside]
+                sides.append(a)
+            for r in wanted.itertuples():
+                at = (slice(r.ay - y0, r.ay - y0 + size), slice(r.ax - x0, r.ax - x0 + size))
+                a, b = sides[0][at], sides[1][at]
+                if np.isnan(a).any() or np.isnan(b).any():
+                    continue
+                b = _window(b, taper)
+                dy, dx = _peak(_window(a, taper), b)
+                rows.append((r.target_id, r.frame_id, r.ay, r.ax, dx, dy, r.ix + dx, r.iy + dy, float(b.std())))
+        return pd.DataFrame(rows, columns=["target_id", "frame_id", "ay", "ax", "dx", "dy", "ox", "oy", "q"])
+
+    at = [*FRAME, "_ty", "_tx"]
+    return both.groupBy(*at).cogroup(asked.groupBy(*at)).applyInPandas(run, schema)
+
+
 def stack_points(px: DataFrame, chosen: DataFrame, size: int) -> DataFrame:
     """Blend each point's chosen frames through a raised-cosine window.
 

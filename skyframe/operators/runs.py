@@ -268,3 +268,24 @@ def stack_burst(px: DataFrame, keep=0.5, max_drift=220.0, **kw) -> tuple[DataFra
     n = lit.groupBy("target_id").agg(F.count("*").alias("n_graded")).join(ranks.groupBy("target_id").agg(F.count("*").alias("n_kept")), "target_id")
     n = n.join(used.groupBy("target_id").agg(F.count("*").alias("n_stacked"), F.first("reference_id").alias("reference_id"), F.first("rescued").alias("rescued")), "target_id")
     return burst.burst_mean(moved, used), n
+
+
+POINT = ["target_id", "ay", "ax"]
+
+
+def stack_field(px: DataFrame, reference: DataFrame, size=96, search=8.0, keep=0.5, **points) -> dict[str, DataFrame]:
+    """A burst of a field that distorts: every alignment point takes its own best frames at its own offsets.
+
+    ``offsets`` are the frames' whole shifts, ``measures`` each point's in each frame, ``kept`` the best frames per
+    point, ``spread`` how far a burst's points scatter about their frame, ``master`` the blend of the kept windows.
+    """
+    ref = px.join(reference.select(*FRAME), FRAME, "left_semi")
+    found = cut(burst.point_features(ref.select("target_id", "y", "x", "v"), size, keys=["target_id"], **points).select(*POINT))
+    offsets = cut(burst.register_burst(px, reference))
+    measures = cut(burst.measure_points(px, found, offsets.where("not excluded"), reference, size))
+    near = measures.where(F.hypot("dx", "dy") <= search)
+    kept = cut(quality.best_per_point(near, keep, search, POINT))
+    return {
+        "offsets": offsets, "points": found, "measures": measures, "kept": kept, "spread": quality.field_spread(near, ["target_id"]),
+        "master": burst.stack_points(px, kept.select(*FRAME, "ay", "ax", "ox", "oy"), size),
+    }

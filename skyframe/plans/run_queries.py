@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skyframe.functions import math as M
-from skyframe.operators import finish, pixel, runs
+from skyframe.operators import burst, finish, pixel, runs
 from skyframe.plans.archive_queries import CULL, cull_sql
 from skyframe.plans.catalogue import query, rounded, s6
 from skyframe.plans.point_queries import clip_sql
@@ -105,3 +105,46 @@ def s12_folder(v):
     fresh = stages.counts().where("stage = 'measures'").select(F.col("computed").alias("measured"))
     out = got["master"].join(got["contract"].select("target_id", "n_sub"), "target_id").join(F.broadcast(fresh))
     return rounded(out, "v").select("target_id", "y", "x", "v", "n", "n_sub", "measured")
+
+
+_GY = ((0.0007, 0.0052, 0.0370, 0.0052, 0.0007), (0.0037, 0.1187, 0.2589, 0.1187, 0.0037))
+_KERNEL = [(dy, dx, sign * row[dx + 2]) for dy, sign, row in ((-2, 1, _GY[0]), (-1, 1, _GY[1]), (1, -1, _GY[1]), (2, -1, _GY[0])) for dx in range(-2, 3)]
+_TAPS = "tp(dy,dx,ky) as (values " + ",".join(f"({-dy},{-dx},{k!r}::double)" for dy, dx, k in _KERNEL) + ")"
+_FADE = lambda c: f"(case {c} when 0 then 0e0 when 3 then 0e0 else 0.5e0 end)"
+_POINTS = f"""{_TAPS},
+mq as (select target_id,frame_id,median(v) m from px group by all), pz as materialized (select target_id,frame_id,y,x,case when v=0 then m else v end v from px join mq using(target_id,frame_id)),
+gy as (select p.target_id,p.frame_id,p.y,p.x,sum(q.v*ky) g from pz p, tp join pz q on q.target_id=p.target_id and q.frame_id=p.frame_id and q.y=least(greatest(p.y+tp.dy,0),7) and q.x=least(greatest(p.x+tp.dx,0),7) group by all),
+gx as (select p.target_id,p.frame_id,p.y,p.x,sum(q.v*ky) g from pz p, tp join pz q on q.target_id=p.target_id and q.frame_id=p.frame_id and q.y=least(greatest(p.y+tp.dx,0),7) and q.x=least(greatest(p.x+tp.dy,0),7) group by all),
+mg as materialized (select gy.target_id,gy.frame_id,gy.y,gy.x,sqrt(gy.g*gy.g+gx.g*gx.g) m from gy join gx using(target_id,frame_id,y,x)),
+wr as (select target_id,frame_id,ay,ax,y-ay i,x-ax j,m,min(m) over w lo,max(m) over w hi from mg,(values (0),(2),(4)) a(ay),(values (0),(2),(4)) b(ax) where y>=ay and y<ay+4 and x>=ax and x<ax+4 window w as (partition by target_id,frame_id,ay,ax)),
+wn as materialized (select target_id,frame_id,ay,ax,i,j,(case when hi>lo then (m-lo)/(hi-lo) else 0e0 end)*{_FADE('i')}*{_FADE('j')} t from wr),
+rf as (select target_id,min(frame_id) rf from px group by all),
+sh as (values (-2),(-1),(0),(1),(2)),
+co as (select t.target_id,t.frame_id,t.ay,t.ax,d.col0 dy,e.col0 dx,coalesce(sum(r.t*t.t),0e0) s from wn t join rf on rf.target_id=t.target_id cross join sh d cross join sh e
+  left join wn r on r.target_id=t.target_id and r.frame_id=rf.rf and r.ay=t.ay and r.ax=t.ax and r.i=t.i-d.col0 and r.j=t.j-e.col0 group by all),
+pk as (select target_id,frame_id,ay,ax,least(min(s),0e0) lo,max(s) hi,arg_max(dy,(s>=mx-1e-9*mx,-(dy*dy+dx*dx),-dy,-dx)) py,arg_max(dx,(s>=mx-1e-9*mx,-(dy*dy+dx*dx),-dy,-dx)) qx from (select *,max(s) over (partition by target_id,frame_id,ay,ax) mx from co) group by target_id,frame_id,ay,ax),
+cn as (select co.*,py,qx,case when hi>lo then (s-lo)/(hi-lo) else 0e0 end v from co join pk using(target_id,frame_id,ay,ax)),
+c5 as (select target_id,frame_id,ay,ax,any_value(py) py,any_value(qx) qx,max(v) filter (dy=py and dx=qx) c,max(v) filter (dy=py-1 and dx=qx) u,max(v) filter (dy=py+1 and dx=qx) d,max(v) filter (dy=py and dx=qx-1) l,max(v) filter (dy=py and dx=qx+1) r from cn group by all)"""
+
+
+def _fine(m, p):
+    ln = lambda k: f"ln(greatest({k},1e-12))"
+    den = f"({ln(m)}-2e0*{ln('c')}+{ln(p)})"
+    return f"case when abs({den})>=1e-12 then least(greatest(0.5e0*({ln(m)}-{ln(p)})/{den},-0.5e0),0.5e0) else 0e0 end"
+
+
+def frames_of(v):
+    return v.frame_tile.select("target_id", "frame_id")
+
+
+@query(
+    "j20_point_offsets", "px",
+    f"select target_id,frame_id,ay,ax,{s6('qx+' + _fine('l', 'r'), 'dx')},{s6('py+' + _fine('u', 'd'), 'dy')},{s6('q')} from c5 join (select target_id,frame_id,ay,ax,stddev_pop(t) q from wn group by all) using(target_id,frame_id,ay,ax)", _POINTS,
+)
+def j20_offsets(v):
+    """The offset of nine alignment points in every frame, against the target's first frame."""
+    reference = v.frame_tile.groupBy("target_id").agg(F.min("frame_id").alias("frame_id"))
+    at = F.array(*[F.struct(F.lit(y).alias("ay"), F.lit(x).alias("ax")) for y in (0, 2, 4) for x in (0, 2, 4)])
+    points = reference.select("target_id", F.explode(at).alias("p")).select("target_id", "p.ay", "p.ax")
+    still = frames_of(v).withColumns({"dx": F.lit(0.0), "dy": F.lit(0.0)})
+    return rounded(burst.measure_points(v.px, points, still, reference, 4), "dx", "dy", "q").select("target_id", "frame_id", "ay", "ax", "dx", "dy", "q")
