@@ -258,7 +258,43 @@ def a20(v):
     return fin(U.background_extract(v.rgb, grid=16))
 
 
-@query("a21_gradient_cleanup")
+def robust_plane(rounds=5, low=3.0, high=1.5):
+    """CTEs ending in pl (image_id, c, k0, k1, k2): a plane per channel refitted within asymmetric limits of its binned residuals."""
+    sums = "count(*) n,sum(u) su,sum(w) sw,sum(u*u) suu,sum(u*w) suw,sum(w*w) sww,sum(v) sv,sum(v*u) svu,sum(v*w) svw"
+    names = ["n", "su", "sw", "suu", "suw", "sww", "sv", "svu", "svw"]
+
+    def solved(source, more=""):
+        det = "(n*(suu*sww-suw*suw)-su*(su*sww-suw*sw)+sw*(su*suw-suu*sw))"
+        k0 = "(sv*(suu*sww-suw*suw)-su*(svu*sww-suw*svw)+sw*(svu*suw-suu*svw))"
+        k1 = "(n*(svu*sww-suw*svw)-sv*(su*sww-suw*sw)+sw*(su*svw-svu*sw))"
+        k2 = "(n*(suu*svw-svu*suw)-su*(su*svw-svu*sw)+sv*(su*suw-suu*sw))"
+        return f"select image_id,c,{k0}/{det} k0,{k1}/{det} k1,{k2}/{det} k2{more} from {source}"
+
+    lean = lambda e: f"(case when abs({e})<pow(2e0,-40) then 0 else sign({e})*(cast(floor((log2(greatest(abs({e}),pow(2e0,-40)))+40e0)*512e0) as int)+1) end)"
+    value = "(case when b=0 then 0e0 else sign(b)*pow(2e0,(abs(b)-0.5e0)/512e0-40e0) end)"
+    half = lambda of: f"(min({of}) filter (upto>(m-1)//2)+min({of}) filter (upto>m//2))/2e0"
+    out = [
+        "pd as (select image_id,max(y)+1 h,max(x)+1 wd from rgb group by all)",
+        "pr as materialized (select image_id,c,v,x*1e0/greatest(wd-1,1) u,y*1e0/greatest(h-1,1) w from lg join pd using(image_id))",
+        f"s0 as materialized (select *,null::double b0,null::double b1,null::double b2,0 lo,0 hi from ({solved(f'(select image_id,c,{sums} from pr group by all)')}))",
+    ]
+    for r in range(1, rounds):
+        p = f"s{r - 1}"
+        was = f"b0 is null or ({lean('(v-(b0+b1*u+b2*w))')} between lo and hi)"
+        out += [
+            f"n{r} as materialized (select image_id,c,b,{value} e,count(*) filter (was) i,{sums} from (select image_id,c,u,w,v,{lean('(v-(k0+k1*u+k2*w))')} b,({was}) was from pr join {p} using(image_id,c)) group by image_id,c,b)",
+            f"m{r} as (select image_id,c,{half('e')} mid from (select image_id,c,e,sum(i) over (partition by image_id,c order by e) upto,sum(i) over (partition by image_id,c) m from n{r} where i>0) group by all)",
+            f"d{r} as (select image_id,c,mid,{half('d')} mad from (select image_id,c,mid,abs(e-mid) d,sum(i) over (partition by image_id,c order by abs(e-mid)) upto,sum(i) over (partition by image_id,c) m from n{r} join m{r} using(image_id,c) where i>0) group by all)",
+            f"t{r} as materialized (select image_id,c,min(b) nlo,max(b) nhi,{','.join(f'sum({x}) {x}' for x in names)} from n{r} join d{r} using(image_id,c) where e>=mid-(mad*1.4826e0+1e-12)*{low!r}::double and e<=mid+(mad*1.4826e0+1e-12)*{high!r}::double group by all)",
+            f"s{r} as materialized (select image_id,c,coalesce(q.k0,p.k0) k0,coalesce(q.k1,p.k1) k1,coalesce(q.k2,p.k2) k2,case when q.k0 is null then b0 else p.k0 end b0,case when q.k0 is null then b1 else p.k1 end b1,case when q.k0 is null then b2 else p.k2 end b2,coalesce(nlo,lo) lo,coalesce(nhi,hi) hi from {p} p left join ({solved(f't{r} where n>=8', ',nlo,nhi')}) q using(image_id,c))",
+        ]
+    return ",\n".join([LG, *out, f"pl as (select * from s{rounds - 1})"])
+
+
+_PLANES = "(select rgb.*," + ",".join(f"p{c}.k0+case when wd>1 then p{c}.k1*0.5e0 else 0e0 end+case when h>1 then p{c}.k2*0.5e0 else 0e0 end-(p{c}.k0+p{c}.k1*(rgb.x*1e0/greatest(wd-1,1))+p{c}.k2*(rgb.y*1e0/greatest(h-1,1))) g{c}" for c in RGB) + " from rgb join pd using(image_id) " + " ".join(f"join (select * from pl where c='{c}') p{c} using(image_id)" for c in RGB) + ")"
+
+
+@query("a21_gradient_cleanup", "rgb", out3([clip_sql(f"{c}+g{c}*0.8e0") for c in RGB], _PLANES), robust_plane())
 def a21(v):
     return fin(U.gradient_cleanup(v.rgb, 0.8))
 
