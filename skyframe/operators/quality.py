@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyframe.functions.quantiles import attach, group_mad, group_quantiles, upper_median
+from skyframe.functions.quantiles import attach, group_mads, group_quantiles, upper_median
 from skyframe.functions.ranking import ranked, top_k
 from skyframe.session import cut
 
@@ -19,10 +19,8 @@ def cull(measures: DataFrame, keys=("session_id",), ecc_hard=0.72, fwhm_mads=3.0
     """
     keys = list(keys)
     seen = measures.filter(F.col("stars") > 0)
-    f = group_mad(seen, keys, "fwhm", "_fd", "_fm")
-    b = group_mad(seen, keys, "bg", "_bd", "_bm")
     n = seen.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    stats = cut(f.join(b, keys).join(n, keys))
+    stats = cut(group_mads(seen, keys, {"fwhm": ("_fd", "_fm"), "bg": ("_bd", "_bm")}).join(n, keys))
     d = measures.join(stats, keys, "left")
     fwhm_bad = F.col("fwhm") > F.col("_fm") + fwhm_mads * (1.4826 * F.col("_fd") + 1e-12)
     bg_bad = F.col("bg") > F.col("_bm") + bg_mads * (1.4826 * F.col("_bd") + 1e-12)
