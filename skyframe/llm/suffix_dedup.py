@@ -47,7 +47,7 @@ WIDTH, GRAM = 50, 25
 REACH = WIDTH - GRAM
 #: Bytes of text per shard, hashed at once, and entries per bucket of a round.
 SHARD_BYTES = 8 << 20
-PIECE = 1 << 18
+PIECE = 1 << 16
 BUCKET = 1 << 20
 #: Bytes of text per anchor (two per window of 26, and some for ties).
 SPACING = 12
@@ -67,10 +67,12 @@ def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def gram_names(raw: np.ndarray) -> np.ndarray:
-    """The name of the ``GRAM`` bytes from each offset, by doubling."""
-    name = _BYTES[raw]
+    """The name of the ``GRAM`` bytes from each offset, by doubling; mixed once, when 16 bytes meet 16."""
+    name, factor = _BYTES[raw], _A
     for step in (1, 2, 4, 8):
-        name = _pair(name[:-step], name[step:])
+        longer = name[:-step] * factor
+        longer += name[step:]
+        name, factor = longer, factor * factor
     return _pair(name[: -(GRAM - 16)], name[GRAM - 16 :])
 
 
@@ -147,7 +149,8 @@ class Shard:
     """The texts of a shard in order of (doc_id, text), and what the rounds know of them."""
 
     def __init__(self, rows: pa.Table):
-        self.ids = rows.column("doc_id").to_numpy()
+        #: The distinct ids of the shard, and the place of each text's among them.
+        self.names, self.rank = np.unique(rows.column("doc_id").to_numpy(), return_inverse=True)
         column = rows.column("text").combine_chunks()
         column = column if isinstance(column, pa.Array) else pa.concat_arrays(column.chunks)
         offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
@@ -163,7 +166,7 @@ class Shard:
             bucket.append(p.names[a - p.lo])
             triple.append(p.triples(a))
         self.doc, self.at, self.bucket, self.triple = _flat(doc, np.int32), _flat(at, np.int64), _flat(bucket, np.uint64), _flat(triple, np.uint64)
-        self.entries = Entries(self.bucket, self.triple, self.ids[self.doc])
+        self.entries = Entries(self.bucket, self.triple, self.rank[self.doc], self.names)
 
     def candidates(self, settled: np.ndarray, open_: np.ndarray) -> None:
         """Strings whose anchor is open, away from settled anchors; both by anchor."""
@@ -183,7 +186,7 @@ class Shard:
             at.append(found)
             name.append(p.strings(found))
         self.string_doc, self.string_at, name = _flat(doc, np.int32), _flat(at, np.int64), _flat(name, np.uint64)
-        self.strings = Entries(name, name, self.ids[self.string_doc])
+        self.strings = Entries(name, name, self.rank[self.string_doc], self.names)
 
     def spans(self, settled: np.ndarray, repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(document, begin, end) of the maximal removed runs, from anchors and strings that are in smaller documents."""
@@ -205,25 +208,34 @@ class Shard:
 
 
 class Entries:
-    """Distinct (bucket, key) of a shard, each with its smallest document."""
+    """Distinct (bucket, key) of a shard, each with its smallest document.
 
-    def __init__(self, bucket: np.ndarray, key: np.ndarray, ids: np.ndarray):
-        order = np.lexsort((ids, key, bucket)) if bucket is not key else np.lexsort((ids, key))
+    ``rank`` tells each row's document by its place in the sorted ``ids``.  Rows are sorted by key alone;
+    equal keys of different buckets would only make an entry twice.
+    """
+
+    def __init__(self, bucket: np.ndarray, key: np.ndarray, rank: np.ndarray, ids: np.ndarray):
+        order = np.argsort(key)
         b, k = bucket[order], key[order]
         new = np.ones(len(order), bool)
         new[1:] = (k[1:] != k[:-1]) | (b[1:] != b[:-1])
-        self.first = ids[order[new]]
-        self.bucket, self.key = b[new], k[new]
+        heads = np.flatnonzero(new)
+        self.ids = ids
+        self.first = np.minimum.reduceat(rank[order], heads) if len(heads) else np.zeros(0, rank.dtype)
+        self.bucket, self.key = b[heads], k[heads]
         #: The entry of each given row, and whether its document is the entry's smallest.
         self.of = np.empty(len(order), np.int64)
         self.of[order] = np.cumsum(new) - 1
-        self.least = ids == self.first[self.of] if len(order) else np.zeros(0, bool)
+        self.least = rank == self.first[self.of]
+        self._dealt: tuple | None = None
 
     def parts(self, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
         """(bucket task, its entries in order of smallest document)."""
-        to = (self.bucket % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((self.key, self.first, to))
-        bounds = np.searchsorted(to[order], np.arange(buckets + 1))
+        if self._dealt is None:
+            to = (self.bucket % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(to * (len(self.ids) + 1) + self.first, kind="stable")  # the same on every machine
+            self._dealt = order, np.searchsorted(to[order], np.arange(buckets + 1))
+        order, bounds = self._dealt
         for p in np.flatnonzero(np.diff(bounds)).tolist():
             yield p, order[bounds[p] : bounds[p + 1]]
 
@@ -249,6 +261,7 @@ def _packed(shard: int, entries: Entries, buckets: int) -> pa.Table:
     rows = []
     for p, at in entries.parts(buckets):
         ids, counts = np.unique(entries.first[at], return_counts=True)
+        ids = entries.ids[ids]
         rest = (entries.bucket[at] // np.uint64(buckets)).astype(np.uint32)
         rows.append((p, shard, ids.tobytes(), counts.astype(np.uint32).tobytes(), rest.tobytes(), entries.key[at].tobytes()))
     kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 4]
