@@ -32,6 +32,7 @@ columns are not read by :func:`repeats` and pass through :func:`without_repeats`
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -39,9 +40,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyframe.llm.common import query, table
+from skyframe.llm.common import query, shuffle_partitions, table
 from skyframe.llm.tokens import mix64
-from skyframe.session import cut
+from skyframe.session import cut, scratch_path
 
 WIDTH, GRAM = 50, 25
 REACH = WIDTH - GRAM
@@ -327,7 +328,13 @@ def _rounds(docs: DataFrame, finish: Callable[[Shard, pa.Table, tuple], pa.Table
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-total // SHARD_BYTES))
     buckets = max(1, -(-total // (SPACING * BUCKET)))
-    texts = docs.withColumn("shard", F.pmod(F.xxhash64("doc_id", "row"), F.lit(shards)))
+    # three passes read the texts: dealt out once, as a table bucketed by shard
+    spark = docs.sparkSession
+    name, slices = f"texts_{uuid.uuid4().hex}", min(shards, shuffle_partitions(spark))
+    dealt = docs.withColumn("shard", F.pmod(F.xxhash64("doc_id", "row"), F.lit(shards))).repartition(slices, "shard")
+    dealt.write.format("parquet").option("path", scratch_path(spark, "texts")).bucketBy(slices, "shard").saveAsTable(name)
+    texts = spark.table(name)
+    spark.sql(f"drop table {name}")  # the name only: its files stay for the plans below
 
     def first(rows: pa.Table) -> pa.Table:
         rows = _ordered(rows)
