@@ -28,3 +28,21 @@ def block_sums(df: DataFrame, keys: list[str], before: dict[str, Column], whole:
     earlier = group.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     told = {n: F.coalesce(F.sum(n).over(earlier), F.lit(0)) for n in before} | {n: F.sum(n).over(group) for n in whole}
     return sums.withColumns(told)
+
+
+def nearest_known(df: DataFrame, keys: list[str], at: str, known: Column) -> DataFrame:
+    """``df`` with ``before`` and ``after``: the last ``known`` at or before each row and the first at or after it.
+
+    ``known`` is a struct that begins with the position, or null.  A value is carried between blocks
+    through one row per block.
+    """
+    rows = blocked(df.withColumn("_known", known), keys, [at])
+    inside = Window.partitionBy(*keys, "block").orderBy(at)
+    group = Window.partitionBy(*keys).orderBy("block")
+    ends = rows.groupBy(*keys, "block").agg(F.min("_known").alias("_first"), F.max("_known").alias("_last"))
+    ends = ends.select(
+        *keys, "block", F.last("_last", True).over(group.rowsBetween(Window.unboundedPreceding, -1)).alias("_from"), F.first("_first", True).over(group.rowsBetween(1, Window.unboundedFollowing)).alias("_to"),
+    )
+    back, ahead = inside.rowsBetween(Window.unboundedPreceding, 0), inside.rowsBetween(0, Window.unboundedFollowing)
+    rows = rows.withColumns({"before": F.last("_known", True).over(back), "after": F.first("_known", True).over(ahead)}).join(ends, [*keys, "block"])
+    return rows.withColumns({"before": F.coalesce("before", "_from"), "after": F.coalesce("after", "_to")}).drop("_known", "_from", "_to", "block")

@@ -5,11 +5,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyframe.functions import kernels as Kn
 from skyframe.functions.math import clip, smoothstep
+from skyframe.functions.scan import nearest_known
 from skyframe.functions.quantiles import attach, group_median, group_quantiles, linear
 from skyframe.operators.overlap import image_dims, map_overlap
 from skyframe.operators.stats import KEY, RGB, mean_of
@@ -36,11 +37,12 @@ def pick_foreground(scores: DataFrame, keys=("target_id",)) -> DataFrame:
 
 
 def fill_weak(lines: DataFrame, at: str, value: str, ok: str, keys=KEY) -> DataFrame:
-    """Linear interpolation of ``value`` over lines not ``ok``; ends repeat the nearest good line."""
-    w = Window.partitionBy(*keys).orderBy(at)  # one row per scanline
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    """Linear interpolation of ``value`` over lines not ``ok``; ends repeat the nearest good line.
+
+    Good lines are carried from block to block of a session, so that a long one is spread.
+    """
     good = F.when(F.col(ok), F.struct(F.col(at).alias("p"), F.col(value).alias("v")))
-    d = lines.withColumns({"_a": F.last(good, True).over(back), "_b": F.first(good, True).over(ahead)})
+    d = nearest_known(lines, list(keys), at, good).withColumnsRenamed({"before": "_a", "after": "_b"})
     t = (F.col(at) - F.col("_a.p")) / (F.col("_b.p") - F.col("_a.p"))
     mid = F.col("_a.v") + (F.col("_b.v") - F.col("_a.v")) * t
     return d.withColumn(value, F.when(F.col(ok), F.col(value)).when(F.col("_a").isNull(), F.coalesce(F.col("_b.v"), F.col(value))).when(F.col("_b").isNull(), F.col("_a.v")).otherwise(mid)).drop("_a", "_b")

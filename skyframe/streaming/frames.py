@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyframe.session import scratch_path
+from skyframe.session import cut, scratch_path
 
 
 def arrivals(spark: SparkSession, path: str, schema, pattern: str | None = None) -> DataFrame:
@@ -43,19 +44,61 @@ def run_ledger(stream: DataFrame, ledger: str, state: str, key: str = "frame_key
 
 
 def running_mean(px: DataFrame, keys=("target_id", "y", "x"), value="v") -> DataFrame:
-    """Sum and count per pixel, kept as streaming state and combined before each shuffle."""
+    """Sum and count per pixel of one batch, combined before the shuffle."""
     return px.groupBy(*keys).agg(F.sum(value).alias("total"), F.count(value).alias("n"))
 
 
-def run_means(px_stream: DataFrame, path: str, state: str) -> DataFrame:
-    """Maintain the running mean table: every trigger rewrites the complete result."""
+class MeanTable:
+    """Running sums per pixel: a version of a target per batch that touched it, and a manifest that names it.
+
+    A batch writes the new versions of its targets first and the manifest last, both under its own
+    number.  Until its manifest is there nobody reads it, and a batch that is run again starts from the
+    versions before it and overwrites its own folders; so a crash at any point loses and doubles nothing.
+    """
+
+    SUMS = "target_id bigint, y int, x int, total double, n bigint"
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def _manifest(self) -> DataFrame:
+        try:
+            return self.spark.read.schema("target_id bigint, batch bigint").parquet(f"{self.path}/manifest")
+        except AnalysisException:
+            return self.spark.createDataFrame([], "target_id bigint, batch bigint")
 
-    def put(batch: DataFrame, _):
-        batch.withColumn("v", F.col("total") / F.col("n")).write.mode("overwrite").parquet(path)
+    def _sums(self, latest: DataFrame) -> DataFrame:
+        """The rows of the given (target_id, batch) versions; others are pruned by folder."""
+        batches = [r.batch for r in latest.select("batch").distinct().toLocalIterator()]
+        if not batches:
+            return self.spark.createDataFrame([], self.SUMS)
+        rows = self.spark.read.option("basePath", f"{self.path}/sums").schema(f"y int, x int, total double, n bigint, batch bigint, target_id bigint")
+        rows = rows.parquet(*[f"{self.path}/sums/batch={b}" for b in batches])
+        return rows.join(latest, ["target_id", "batch"], "left_semi").select("target_id", "y", "x", "total", "n")
 
-    q = running_mean(px_stream).writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", state).trigger(availableNow=True).start()
+    def put(self, batch: DataFrame, number: int) -> None:
+        """Add the pixels of one batch; only the targets it touches are written."""
+        own = cut(running_mean(batch.withColumn("target_id", F.col("target_id").cast("bigint"))))
+        touched = cut(own.select("target_id").distinct())
+        before = self._manifest().where(F.col("batch") < number).join(touched, "target_id", "left_semi").groupBy("target_id").agg(F.max("batch").alias("batch"))
+        now = self._sums(cut(before)).unionByName(own.select("target_id", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), "total", "n"))
+        now = now.groupBy("target_id", "y", "x").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+        # a target of any size is spread by bands of rows
+        now.repartition("target_id", F.floor(F.col("y") / 64)).write.mode("overwrite").partitionBy("target_id").parquet(f"{self.path}/sums/batch={number}")
+        touched.write.mode("overwrite").parquet(f"{self.path}/manifest/batch={number}")
+
+    def read(self) -> DataFrame:
+        """(target_id, y, x, total, n, v) of all finished batches."""
+        latest = cut(self._manifest().groupBy("target_id").agg(F.max("batch").alias("batch")))
+        return self._sums(latest).withColumn("v", F.col("total") / F.col("n"))
+
+
+def run_means(px_stream: DataFrame, path: str, state: str) -> DataFrame:
+    """Maintain the running mean table: every trigger rewrites only the targets it touches."""
+    table = MeanTable(px_stream.sparkSession, path)
+    q = px_stream.writeStream.foreachBatch(table.put).option("checkpointLocation", state).trigger(availableNow=True).start()
     q.awaitTermination()
-    return px_stream.sparkSession.read.parquet(path)
+    return table.read()
 
 
 def fresh_paths(spark: SparkSession, name: str) -> tuple[str, str]:
