@@ -31,7 +31,7 @@ END_ID = 1
 SHARD_ROWS = 2048
 #: Text bytes tokenised at once and distinct words a worker remembers twice over: bounds on memory only.
 CHUNK_BYTES = 6 << 20
-REMEMBERED = 600_000
+REMEMBERED = 150_000
 LONG_WORD = 64
 #: Stands between words that are encoded together; no word of a text is this character alone.
 PARTING = "\x1f"

@@ -411,15 +411,17 @@ STEPS = [
 ]
 
 
-@query("r01_tool_registry")
+_TOOLS = ",".join(f"('{n}')" for n in G.TOOLS)
+
+
+@query(
+    "r01_tool_registry", "rgb",
+    f"select tool,image_id,case when tool='edge_crop' then inner_ when tool='crop' then left_ else n end n,case when tool='edge_crop' then inner_ when tool='crop' then left_ else n end n_valid from (values {_TOOLS}) t(tool) cross join "
+    "(select image_id,count(*) n,count(*) filter (y>=round_even(h*0.1e0,0) and y<h-round_even(h*0.1e0,0) and x>=round_even(wd*0.1e0,0) and x<wd-round_even(wd*0.1e0,0)) inner_,count(*) filter (x<wd//2) left_ from rgb join (select image_id,max(y)+1 h,max(x)+1 wd from rgb group by all) using(image_id) group by image_id)",
+)
 def r01(v):
-    """Seven per-pixel tools of the registry, counted per image; the others have queries of their own."""
-    out = None
-    for n in ("levels", "contrast", "curves", "saturation", "scnr", "emission_boost", "white_balance"):
-        t = G.TOOLS[n]
-        d = t.fn(v.rgb, t.settings({})).groupBy("image_id").agg(F.lit(n).alias("tool"), F.count(F.lit(1)).alias("n"), r6(F.avg("g")).alias("mean_g"))
-        out = d if out is None else out.unionByName(d)
-    return out
+    """Every tool of the registry over all images: defaults, but for the two crops, which cut something off."""
+    return G.contract_rows(v.rgb, {"edge_crop": {"percent": 10.0}, "crop": {"rect": {"x0": 0.0, "y0": 0.0, "x1": 0.5, "y1": 1.0}}})
 
 
 from skyframe.functions import math as M  # noqa: E402

@@ -12,11 +12,20 @@ from skyframe.operators.overlap import image_dims
 from skyframe.operators.stats import mean_of
 from skyframe.plans.catalogue import query, rounded, s6
 from skyframe.plans.point_queries import clip_sql, per
-from skyframe.plans.stencil_queries import LUM, opening_sql, pix, rank_sql
+from skyframe.plans.stencil_queries import LUM, gauss_sql, opening_sql, pix, rank_sql
 from skyframe.functions.ranking import top_k
+from skyframe.sources.views import with_views
 
 RGB = ("r", "g", "b")
 
+def components_sql(name, mask):
+    """Component label (smallest y*2^31+x) of a sparse mask by flood fill."""
+    return f"""{name}p as materialized (select *,y::bigint*2147483648+x id from {mask}),
+    {name}e as materialized (select a.image_id,a.id a,b.id b from (select image_id,id,y+dy ny,x+dx nx from {name}p cross join (values (-1),(0),(1)) p(dy) cross join (values (-1),(0),(1)) q(dx)) a join {name}p b on b.image_id=a.image_id and b.y=a.ny and b.x=a.nx),
+    {name}w(image_id,id,label) as (select image_id,id,id from {name}p union select e.image_id,e.b,w.label from {name}w w join {name}e e on e.image_id=w.image_id and e.a=w.id where w.label<e.b),
+    {name} as materialized (select image_id,id//2147483648 y,id%2147483648 x,min(label) label from {name}w group by all)"""
+
+
 # every frame as its own small image, its id packed into one key
 FRM = "fr as materialized (select target_id*1000000+frame_id image_id,y,x,case when (y*8+x+target_id)%23=0 then 0.95e0 else v end v from px)"
 
@@ -45,14 +54,6 @@ def a22b(v):
 
 
 
-def components_sql(name, mask):
-    """Component label (smallest y*2^31+x) of a sparse mask by flood fill."""
-    return f"""{name}p as materialized (select *,y::bigint*2147483648+x id from {mask}),
-    {name}e as materialized (select a.image_id,a.id a,b.id b from (select image_id,id,y+dy ny,x+dx nx from {name}p cross join (values (-1),(0),(1)) p(dy) cross join (values (-1),(0),(1)) q(dx)) a join {name}p b on b.image_id=a.image_id and b.y=a.ny and b.x=a.nx),
-    {name}w(image_id,id,label) as (select image_id,id,id from {name}p union select e.image_id,e.b,w.label from {name}w w join {name}e e on e.image_id=w.image_id and e.a=w.id where w.label<e.b),
-    {name} as materialized (select image_id,id//2147483648 y,id%2147483648 x,min(label) label from {name}w group by all)"""
-
-
 @query("g01_components", None, f"""with recursive px as (select label target_id, vec_id frame_id, cast((i-1)//8 as int) y, cast((i-1)%8 as int) x, 0.5::double+embedding[i]::double/2 v from (select label,vec_id,embedding,unnest(range(1,65)) i from embeddings)),
 mos as materialized (select cast(frame_id//200 as bigint) image_id, cast(((frame_id%200)//20)*8+y as int) y, cast((frame_id%20)*8+x as int) x, v from px), mk as materialized (select image_id,y,x from mos where v>0.62),
 {components_sql('cc', 'mk')} select image_id,cast(y as int) y,cast(x as int) x,label from cc""")
@@ -110,16 +111,50 @@ def found(v):
     return t, R.detect_trails(t, ["image_id"], max_frac=0.1)
 
 
-@query("g02_trails")
+def recursive(views, body, ctes):
+    """Comparison SQL whose CTEs may refer to themselves."""
+    return with_views(views, body, ctes).replace("with ", "with recursive ", 1)
+
+
+def _shift(mask, out, cells, image="image_id"):
+    """Sparse mask grown by offsets, kept inside the image."""
+    offs = ",".join(f"({dy},{dx})" for dy, dx in cells)
+    return f"{out} as materialized (select distinct {image},y+dy y,x+dx x from {mask} cross join (values {offs}) o(dy,dx) join dm using({image}) where y+dy>=0 and x+dx>=0 and y+dy<h and x+dx<wd)"
+
+
+_DIAMOND = lambda r: [(a, b) for a in range(-r, r + 1) for b in range(-r, r + 1) if abs(a) + abs(b) <= r]
+_STREAK = "(y*3-x+image_id*2 between -32 and -30 and x>40 and x<118)"
+TRAILS = f"""tr as materialized (select image_id,y,x,case when {_STREAK} then 0.2e0+v*0.05e0 else v*0.004e0 end v,case when {_STREAK} then image_id+7 when (x*7+y*3)%50=0 then y%11 end frame from mos),
+dm as materialized (select image_id,max(y)+1 h,max(x)+1 wd from tr group by all),
+tm as (select image_id,median(v) m from tr group by all), th as (select image_id,greatest(0.006e0,median(abs(v-m))*(8e0*1.4826e0)) t from tr join tm using(image_id) group by image_id),
+br as materialized (select image_id,y,x from tr join th using(image_id) where v>t),
+{components_sql('ca', 'br')}, se as materialized (select image_id,y,x from ca where (image_id,label) in (select (image_id,label) from ca group by image_id,label having count(*)>=6)),
+{_shift('se', 'gw', _DIAMOND(2))}, {components_sql('cb', 'gw')},
+mo as (select image_id,label,count(*) area,min(y) y0,min(x) x0,max(y) y1,max(x) x1,avg(y) cy,avg(x) cx,var_pop(y) vy,var_pop(x) vx,covar_pop(y,x) c from cb group by image_id,label),
+ev as (select *,sqrt(greatest((vy+vx)/2e0+sqrt(pow((vx-vy)/2e0,2)+c*c),1e-9)) ma,sqrt(greatest((vy+vx)/2e0-sqrt(pow((vx-vy)/2e0,2)+c*c),1e-9)) mi,atan2(c*2e0,vx-vy)/2e0 angle from mo),
+sp as materialized (select *,case when area<3 then 1e0 else ma/greatest(mi,1e-6) end aspect,case when area<3 then 0e0 else ma*4e0 end length from ev),
+so as (select sp.* from sp join dm using(image_id) where area>=20 and area<=floor(h*wd*0.1e0) and aspect>=4e0 and length>=40e0),
+rw as materialized (select cb.image_id,cb.y,cb.x,label,v,frame from cb join so using(image_id,label) join tr on tr.image_id=cb.image_id and tr.y=cb.y and tr.x=cb.x),
+fs as (select image_id,label,frame,count(*) n from rw where frame is not null group by all),
+do_ as (select image_id,label,arg_max(frame,(n,-frame)) frame,max(n)*1e0/sum(n) share from fs group by image_id,label),
+tl as materialized (select so.*,d.frame,share,peak,row_number() over (partition by so.image_id order by so.label) trail_id from so join do_ d using(image_id,label) join (select image_id,label,max(v) peak from rw group by all) using(image_id,label) where share>=0.6e0)"""
+_TRAIL_PX = f"""tp as materialized (select rw.image_id,y,x,trail_id from rw join tl using(image_id,label)),
+{_shift('tp', 'g3', _DIAMOND(3))}, on_ as materialized (select tr.image_id,tr.y,tr.x,case when g3.y is null then 0e0 else 1e0 end v from tr left join g3 using(image_id,y,x)),
+{gauss_sql('sm', 'on_', 'v', 2.0)},
+nr as (select image_id,y,x,max(trail_id) trail_id from (select tp.image_id,tp.y+a.i y,tp.x+b.i x,trail_id from tp,range(-3,4) a(i),range(-3,4) b(i)) group by all),
+la as materialized (select tr.image_id,tr.y,tr.x,tr.v*{clip_sql('sm.v')} v,{clip_sql('sm.v')} mask,coalesce(nr.trail_id,0) trail_id from tr join sm using(image_id,y,x) left join nr using(image_id,y,x))"""
+
+
+@query("g02_trails", None, recursive("mos", "select image_id,trail_id::int trail_id,frame,area,round(aspect,2) aspect,round(length,1) length,round(share,2) single_frame_frac,peak,y0::int y0,x0::int x0,y1::int y1,x1::int x1,cy,cx from tl", TRAILS))
 def g02(v):
-    """Trail metadata; the planted streaks are checked in the tests."""
+    """The planted streak of every image with its frame, shape and box."""
     return found(v)[1][0].drop("label", "angle")
 
 
-@query("g03_trail_layer")
+@query("g03_trail_layer", None, recursive("mos", f"select image_id,y,x,{s6('v')},{s6('mask')},trail_id::int trail_id from la", TRAILS + "," + _TRAIL_PX))
 def g03(v):
     t, (_, px) = found(v)
-    return rounded(R.trail_layer(t, px, ["image_id"]).filter("mask > 0"), "v", "mask")
+    return rounded(R.trail_layer(t, px, ["image_id"]), "v", "mask")
 
 
 def layer(v):
@@ -138,11 +173,26 @@ def p32(v):
     return pix(R.develop_trails(R.select_trails(layer(v), ids, ["image_id"]), 0.8, keys=["image_id"]), "v")
 
 
-@query("w14_trail_taper")
+_BORDER = lambda e: f"({e}.y<=3 or {e}.x<=3 or {e}.y>=h-4 or {e}.x>=wd-4)"
+_RAMP = lambda d, f: f"(case when {f}<=0 then 1e0 else pow({clip_sql(f'({d})/({f}*k)')},2)*(3e0-2e0*{clip_sql(f'({d})/({f}*k)')}) end)"
+TAPER = f"""de as materialized (select image_id,y,x,trail_id,case when l.v>1e-6 then {clip_sql('asinh(l.v/greatest(q,1e-4)*10e0)/asinh(10e0)*0.75e0')} else 0e0 end v from la l left join (select image_id,quantile_cont(v,0.995) q from la where v>1e-6 group by all) using(image_id)),
+tmo as (select image_id,trail_id,count(*) area,avg(y) cy,avg(x) cx,var_pop(y) vy,var_pop(x) vx,covar_pop(y,x) c from de where trail_id>0 group by all having count(*)>=8),
+tt as materialized (select de.*,(x-cx)*cos(a)+(y-cy)*sin(a) t from de join (select *,atan2(c*2e0,vx-vy)/2e0 a from tmo) using(image_id,trail_id)),
+te as (select image_id,trail_id,min(t) t0,max(t) t1,arg_min({{'y':y,'x':x}},(t,y,x)) ea,arg_max({{'y':y,'x':x}},(t,y,x)) ez from tt group by all),
+tq as (select image_id,trail_id,any_value(t0) t0,any_value(t1) t1,any_value(ea) ea,any_value(ez) ez,quantile_cont(v,0.5) filter (t<=t0+(t1-t0)/3e0) q0,quantile_cont(v,0.5) filter (t>=t1-(t1-t0)/3e0) q1 from tt join te using(image_id,trail_id) group by image_id,trail_id),
+tf as (select *,least(least(greatest((t1-t0)*0.12e0,25e0),180e0),(t1-t0)*0.5e0) base,case when greatest(q0,q1)>1e-6 then (1e0-least(q0,q1)/greatest(q0,q1))*0.6e0 else 0e0 end skew from tq),
+tg as (select tf.*,case when {_BORDER('ea')} then 0e0 else least(greatest(base*(case when q0<=q1 then skew+1e0 else 1e0-skew*0.6e0 end),8e0),180e0) end f0,case when {_BORDER('ez')} then 0e0 else least(greatest(base*(case when q0<=q1 then 1e0-skew*0.6e0 else skew+1e0 end),8e0),180e0) end f1 from tf join dm using(image_id)),
+tk as (select *,case when f0+f1>t1-t0 then (t1-t0)/(f0+f1) else 1e0 end k from tg)"""
+
+
+@query(
+    "w14_trail_taper", None,
+    recursive("mos", f"select de.image_id,de.y,de.x,{s6('de.v*coalesce(en,1e0)', 'v')} from de left join (select image_id,y,x,case when t1-t0<1 then 1e0 else {_RAMP('t-t0', 'f0')}*{_RAMP('t1-t', 'f1')} end en from tt join tk using(image_id,trail_id)) using(image_id,y,x)", TRAILS + "," + _TRAIL_PX + "," + TAPER),
+)
 def w14(v):
     t, (_, px) = found(v)
     lay = R.trail_layer(t, px, ["image_id"])
-    return rounded(R.taper(R.develop_trails(lay, keys=["image_id"]), ["image_id"]).filter("v > 0").select("image_id", "y", "x", "v"), "v")
+    return rounded(R.taper(R.develop_trails(lay, keys=["image_id"]), ["image_id"]).select("image_id", "y", "x", "v"), "v")
 
 
 # --- stars
@@ -165,9 +215,16 @@ def t06(v):
     return pix(S.star_peaks(sharp(v), mean_of(RGB)), "flux")
 
 
-@query("t06_detect_stars")
+GREEDY = PEAKS + """, sw as (select image_id,pow(sqrt(pow(max(y)+1,2)+pow(max(x)+1,2))*0.01e0,2) s2 from sh group by all),
+po as materialized (select pk.*,row_number() over (partition by image_id order by flux desc,y,x) rn from pk),
+gr(image_id,rn,kept) as (select distinct image_id,0::bigint,[]::struct(y int,x int)[] from po union all select gr.image_id,gr.rn+1,case when len(list_filter(kept,lambda k: (k.y-c.y)*(k.y-c.y)+(k.x-c.x)*(k.x-c.x)<s2))=0 then list_append(kept,{'y':c.y,'x':c.x}) else kept end from gr join po c on c.image_id=gr.image_id and c.rn=gr.rn+1 join sw on sw.image_id=gr.image_id),
+ks as (select image_id,k.y y,k.x x from (select image_id,unnest(kept) k from gr where rn=(select max(rn) from po where po.image_id=gr.image_id))),
+ds as (select ks.image_id,ks.y,ks.x,flux,r,g,b,row_number() over (partition by ks.image_id order by flux desc,ks.y,ks.x) star_id,max(flux) over (partition by ks.image_id) mx from ks join pk using(image_id,y,x) join sh using(image_id,y,x))"""
+
+
+@query("t06_detect_stars", None, recursive("rgb", f"select image_id,y,x,{s6('flux')},{s6('r')},{s6('g')},{s6('b')},star_id::int star_id,{s6('flux/greatest(mx,1e-6)', 'rel_flux')} from ds where star_id<=40", GREEDY))
 def t06b(v):
-    """Separated, ranked stars; the suppression is checked against a sequential pass in the tests."""
+    """Separated, ranked stars, beside a sequential pass over the peaks."""
     return rounded(S.detect_stars(sharp(v)), "flux", "rel_flux", *RGB)
 
 
