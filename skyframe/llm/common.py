@@ -39,6 +39,15 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def wrapped(docs: DataFrame) -> DataFrame:
+    """``docs`` as one struct column ``_row``, so that no column of theirs meets one of an operator."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+
+
+def unwrapped(rows: DataFrame, columns: list[str]) -> DataFrame:
+    return rows.select(*[F.col("_row").getField(c).alias(c) for c in columns])
+
+
 def attach(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
     """``rows`` left-joined with the one row that ``groups`` has per ``key``; no task gets a hot key.
 
@@ -52,7 +61,7 @@ def attach(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame
     hot = hot.select(F.col(key).alias("_hot_key"), F.struct(*others).alias("_hot"))
     cold = groups.select(F.col(key).cast("string").alias("_cold_key"), F.struct(*others).alias("_cold"))
     marked = rows.join(F.broadcast(hot), rows[key] == F.col("_hot_key"), "left")
-    spread = F.concat(F.lit("hot "), F.xxhash64(*[c for c in rows.columns if rows.schema[c].dataType.simpleString() != "variant"]).cast("string"))
+    spread = F.concat(F.lit("hot "), F.xxhash64(*[c for c, kind in rows.dtypes if "variant" not in kind and "map<" not in kind]).cast("string"))
     marked = marked.withColumn("_join", F.when(F.col("_hot_key").isNull(), F.col(key).cast("string")).otherwise(spread))
     joined = marked.join(cold.hint("merge"), F.col("_join") == F.col("_cold_key"), "left")
     got = F.coalesce("_hot", "_cold")

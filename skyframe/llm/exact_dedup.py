@@ -16,7 +16,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skyframe.llm.common import attach, query, shuffle_partitions, table
+from skyframe.llm.common import attach, query, shuffle_partitions, table, unwrapped, wrapped
 from skyframe.session import scratch_path
 
 INDEX_COLUMNS = "digest string, keep_id bigint, keep_rows bigint, group_size bigint"
@@ -61,13 +61,20 @@ def decide(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with the same columns."""
+    """The rows of ``docs`` that stay, with the same columns, whatever these are called.
+
+    Of several rows with the id and the text that stay, the one of smallest hash of the whole row stays.
+    """
     index = DigestIndex(docs.sparkSession)
-    kept = decide(docs, index).where("kept")
+    text = F.coalesce(F.col("_row").getField("text"), F.lit(""))
+    rows = wrapped(docs).select("_row", F.col("_row").getField("doc_id").alias("doc_id"), F.sha2(text, 256).alias("digest"))
+    index.add(rows.select("digest", "doc_id"))
+    kept = attach(rows, index.read(), "digest", "group_size").where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
     if index.read().where("keep_rows > 1").limit(1).count():
-        first = Window.partitionBy("digest").orderBy(F.lit(0))
-        kept = kept.withColumn("_n", F.row_number().over(first)).where("_n = 1")
-    return kept.select(*docs.columns)
+        whole = F.xxhash64(F.to_json("_row"))
+        first = Window.partitionBy("digest").orderBy("_order")
+        kept = kept.withColumn("_order", whole).withColumn("_n", F.row_number().over(first)).where("_n = 1")
+    return unwrapped(kept, docs.columns)
 
 
 SQL = """

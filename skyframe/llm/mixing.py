@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skyframe.llm.common import query, table
+from skyframe.llm.common import query, table, unwrapped, wrapped
 from skyframe.session import cut
 
 #: Hash bits resolved by each level of the histogram; together all 32.
@@ -104,13 +104,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, sh
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, share: float = 1.0) -> DataFrame:
-    """``docs`` as the mix takes them: each row as often as its source's budget has it, same columns."""
+    """``docs`` as the mix takes them: each row as often as its source's budget has it, same columns, whatever these are called."""
     sizes = cut(docs.select("doc_id", "source", words().alias("size"), id_hash().alias("h")))
     plan = cut(thresholds(sizes, weights, most, share)).select(F.col("source").alias("_source"), "rounds", "threshold")
     inner = plan.withColumnRenamed("_source", "source")
-    rows = docs.withColumn("h", id_hash())
+    rows = wrapped(docs).select("_row", F.col("_row").getField("source").alias("source"), F.col("_row").getField("doc_id").alias("doc_id")).withColumn("h", id_hash())
     taken = _meets(rows, inner).withColumn("_times", _times()).where("_times > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).select(*docs.columns)
+    return unwrapped(taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))), docs.columns)
 
 
 SQL = r"""

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skyframe.llm.common import attach, query, table
+from skyframe.llm.common import attach, query, table, unwrapped, wrapped
 from skyframe.llm.tokens import LOWER, WORDS, buffers, mix64, token_hashes
 from skyframe.session import cut
 
@@ -287,8 +287,13 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with a number of its own for each row in ``_key``, null where the doc_id is; written, so that keys stay."""
-    return cut(docs.withColumn("_key", F.when(F.col("doc_id").cast("bigint").isNotNull(), F.monotonically_increasing_id())))
+    """(_row, doc_id, _key): a number of its own for each row of ``docs``, null where the doc_id is; written, so that keys stay."""
+    rows = wrapped(docs).withColumn("doc_id", F.col("_row").getField("doc_id").cast("bigint"))
+    return cut(rows.withColumn("_key", F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id())))
+
+
+def _texts(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("_key").alias("doc_id"), F.col("_row").getField("text").cast("string").alias("text"))
 
 
 def near_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -300,9 +305,9 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         return _linked(sig, docs, width, percent)
     # an id of several texts does not name a vertex: rows are linked by keys, and ids come back at the end
     rows = keyed(docs.select("doc_id", "text"))
-    texts = rows.select(F.col("_key").alias("doc_id"), "text")
+    texts = _texts(rows)
     found = cut(_linked(cut(signatures(texts, width)), texts, width, percent).withColumnRenamed("doc_id", "_key"))
-    ids = rows.where("_key is not null").select("_key", F.col("doc_id").cast("bigint").alias("doc_id"))
+    ids = rows.where("_key is not null").select("_key", "doc_id")
     members = cut(found.join(ids, "_key").select("doc_id", "n", F.col("component_id").alias("_component")))
     least = cut(members.groupBy("_component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("rows")))
     named = attach(members, least, "_component", "rows").select("doc_id", "n", "component_id")
@@ -365,24 +370,24 @@ def _linked(sig: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFr
 
 
 def deduplicate(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """One row of each group of near duplicates of ``docs``, with the same columns."""
+    """One row of each group of near duplicates of ``docs``, with the same columns, whatever these are called."""
     repeated = docs.select(F.col("doc_id").cast("bigint").alias("doc_id")).where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
     if not repeated.limit(1).count():
         found = cut(near_components(docs.select("doc_id", "text"), width, percent))
-        dropped = found.where("component_id <> doc_id").select(F.col("doc_id").alias("_dropped"))
-        kept = docs.join(dropped, docs["doc_id"].cast("bigint") == F.col("_dropped"), "left_anti")
-        return kept.select(*docs.columns)
+        dropped = found.where("component_id <> doc_id").select("doc_id")
+        rows = wrapped(docs).withColumn("doc_id", F.col("_row").getField("doc_id").cast("bigint"))
+        return unwrapped(rows.join(dropped, "doc_id", "left_anti"), docs.columns)
     # rows that share an id are kept or dropped each by its own text
     rows = keyed(docs)
-    texts = rows.select(F.col("_key").alias("doc_id"), "text")
+    texts = _texts(rows)
     found = cut(_linked(cut(signatures(texts, width)), texts, width, percent).withColumnRenamed("doc_id", "_key"))
-    place = rows.select("_key", F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text"))
+    place = rows.select("_key", "doc_id", F.xxhash64(F.col("_row").getField("text").cast("string")).alias("text"))
     first = found.where("n > 0").join(place, "_key").groupBy("component_id").agg(F.min(F.struct("doc_id", "text", "_key")).alias("top"))
-    kept = rows.join(first.select("top._key"), "_key", "left_semi").select(*docs.columns)
+    kept = rows.join(first.select("top._key"), "_key", "left_semi").select("_row")
     # empty sets have no near copy: only rows equal in whole are one
-    empty = rows.join(found.where("n = 0").select("_key"), "_key", "left_semi").select(*docs.columns)
-    empty = empty.withColumn("_whole", F.sha2(F.to_json(F.struct(*docs.columns)), 256)).dropDuplicates(["_whole"]).drop("_whole")
-    return kept.unionByName(empty).unionByName(rows.where("_key is null").select(*docs.columns))
+    empty = rows.join(found.where("n = 0").select("_key"), "_key", "left_semi").withColumn("_whole", F.sha2(F.to_json("_row"), 256))
+    empty = empty.dropDuplicates(["_whole"]).select("_row")
+    return unwrapped(kept.unionByName(empty).unionByName(rows.where("_key is null").select("_row")), docs.columns)
 
 
 @query("op9_near_dedup")

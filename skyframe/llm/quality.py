@@ -228,8 +228,10 @@ def score(docs: DataFrame, vectors: np.ndarray, net: Network, name: str = "score
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = KEEP) -> DataFrame:
     """The rows of ``docs`` that score at least ``least``, with the same columns."""
     vectors, net = fit(docs, labels.where(~held_out()))
-    scored = score(docs, vectors, net, "_quality_score")
-    return scored.where(F.col("_quality_score") >= least).select(*docs.columns)
+    name = "_quality_score"
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return score(docs, vectors, net, name).where(F.col(f"`{name}`") >= least).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 @query("op5_quality")
