@@ -36,6 +36,10 @@ outbrain overlay pager pagination popup promo promoted promotion recommended rel
 sponsor sponsored subscribe subscription taboola teaser toolbar topbar widget widgets""".split())
 FURNITURE_ROLES = set("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar note status".split())
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
+#: Parts of a compound class name that say nothing of its content: beside them a furniture name stands alone.
+NEUTRAL = set("""area article aside bar block blocks body box button buttons card column container content core count element entry form group head holder inline inner
+item items label left line link links list main mobile module note outer page panel part post posts right row section site slot story strip text title top unit view wrap
+wrapper zone""".split())
 #: First parts of class names that tell how a page is laid out, not what an element holds.
 LAYOUT = set("has no with without".split())
 STOP_WORDS = set("""a about after all also an and are as at be because been but by can could did do for from had has have he her his how i if in into is it
@@ -53,8 +57,12 @@ SHORT = 70
 LINK_DENSITY = 0.5
 STOP_DENSITY = 0.15
 
-_MARKUP = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
-_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'<>`]+))|(?<![^\s])hidden(?![^\s])", re.S)
+_START = re.compile(r"<!--|<[!?]|<(/?)([a-zA-Z][^\s/>]*+)")
+_COMMENT_END = re.compile(r"--!?>")
+#: What follows a tag's name up to its end; quoted values may hold the end's character.  No part is tried twice.
+_REST = re.compile(r"((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+#: A name begins only where the one before has ended, so that a long run is read once.
+_ATTRIBUTE = re.compile(r"(?<![^\s\"'<>/=])([^\s\"'<>/=]++)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'<>`]++))|(?<![^\s])hidden(?![^\s])", re.S)
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -80,13 +88,22 @@ class Element:
     number: int
 
 
-def _names_furniture(token: str, whole: bool) -> bool:
-    parts = re.split(r"[-_]+", token)
-    return token in FURNITURE_NAMES if whole else parts[0] not in LAYOUT and not FURNITURE_NAMES.isdisjoint(parts)
+def _names_furniture(token: str, how: str) -> bool:
+    """Whether a class name or id tells of furniture: as it stands (``whole``), all its parts taken together (``all``), or by any part."""
+    if how == "whole":
+        return token in FURNITURE_NAMES
+    parts = [x for x in re.split(r"[-_]+", token) if x and not x.isdigit()]
+    named = [x in FURNITURE_NAMES for x in parts]
+    if how == "all":
+        return any(named) and all(n or x in NEUTRAL for x, n in zip(parts, named))
+    return bool(parts) and parts[0] not in LAYOUT and any(named)
 
 
-def _is_furniture(tag: str, attributes: str, wrapper: bool) -> bool:
-    """Whether an element is page furniture; a ``wrapper`` of an article, or a heading, by whole names only."""
+def _is_furniture(tag: str, attributes: str, wrapper: bool, inside: bool = False) -> bool:
+    """Whether an element is page furniture; a ``wrapper`` of an article, or a heading, by whole names only.
+
+    ``inside`` an article a compound name counts only if all its parts are furniture or neutral.
+    """
     if tag in FURNITURE:
         return True
     if not attributes or "=" not in attributes and "hidden" not in attributes.lower():
@@ -103,7 +120,7 @@ def _is_furniture(tag: str, attributes: str, wrapper: bool) -> bool:
             return not page_part
         if name in ("class", "id"):
             for token in value.split():
-                if _names_furniture(token, page_part or wrapper or tag in HEADINGS):
+                if _names_furniture(token, "whole" if page_part or wrapper or tag in HEADINGS else "all" if inside else "any"):
                     return token in ("comment", "reply", "ad", "advert", "teaser") if page_part else True
     return False
 
@@ -119,6 +136,7 @@ class _Page:
     elements: int = 0
     wrappers: set[int] = field(default_factory=set)  # numbers of elements outside areas that hold an article or main element
     held: set[int] = field(default_factory=set)  # those found so far where furniture holds one
+    marked: int = 0  # so many elements at the bottom of the stack are in ``held`` already
 
     def top(self) -> Element:
         return self.stack[-1] if self.stack else Element("", False, False, 0, False, False, False, 0)
@@ -144,6 +162,7 @@ class _Page:
             return
         while self.stack:
             gone = self.stack.pop()
+            self.marked = min(self.marked, len(self.stack))
             self.opened[gone.tag] -= 1
             if gone.tag == tag:
                 return
@@ -152,12 +171,13 @@ class _Page:
         above = self.top()
         area = above.area
         self.elements += 1
-        furniture = above.furniture or _is_furniture(tag, attributes, self.elements in self.wrappers)
+        furniture = above.furniture or _is_furniture(tag, attributes, self.elements in self.wrappers, bool(area))
         if tag in ("article", "main") and not furniture and not area:
             self.areas += 1
             area = self.areas
         elif tag in ("article", "main") and above.furniture and not area:
-            self.held.update(e.number for e in self.stack)
+            self.held.update(e.number for e in self.stack[self.marked :])
+            self.marked = len(self.stack)
         self.stack.append(Element(tag, furniture, above.link or tag == "a", area, above.listed or tag in ("ul", "ol", "menu"), above.heading or tag in HEADINGS, above.paragraph or tag == "p", self.elements))
         self.opened[tag] += 1
 
@@ -170,22 +190,56 @@ def blocks(source: str) -> list[Block]:
     return page.blocks
 
 
+def _markup(source: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(begin, end, tag, closing, attributes) of the markup in order; comments and declarations have no tag.
+
+    The place never moves back: after one tag whose quotes stay open to the page's end, quotes are no
+    longer honoured, and after the last ``>`` nothing is a tag.  A caller may ``send`` a place to go on from.
+    """
+    at, honour, closed = 0, True, True
+    while m := _START.search(source, at):
+        if m[2] is None:
+            if m[0] == "<!--":
+                e = _COMMENT_END.search(source, m.end())
+                at = e.end() if e else len(source)
+            else:
+                e = source.find(">", m.end())
+                at = e + 1 if e >= 0 else len(source)
+            yield m.start(), at, "", False, ""
+            continue
+        rest = _REST.match(source, m.end()) if honour and closed else None
+        if rest:
+            at, attributes = rest.end(), rest[1]
+        else:
+            honour = False
+            e = source.find(">", m.end()) if closed else -1
+            if e < 0:
+                closed, at = False, m.end()
+                continue
+            at, attributes = e + 1, source[m.end() : e]
+        at = (yield m.start(), at, m[2].lower(), bool(m[1]), attributes) or at
+
+
 def _walk(source: str, wrappers: set[int]) -> _Page:
-    page, at = _Page(wrappers=wrappers), 0
-    while m := _MARKUP.search(source, at):
-        page.say(source[at : m.start()])
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
+    page, at, found = _Page(wrappers=wrappers), 0, _markup(source)
+    skip = None
+    while True:
+        try:
+            begin, end, tag, closing, attributes = found.send(skip)
+        except StopIteration:
+            break
+        skip = None
+        page.say(source[at:begin])
+        at = end
         if not tag:
             continue
-        closing, attributes = m[1] or m[4], m[3] or m[6] or ""
         if tag in BLOCK:
             page.flush()
         if closing:
             page.close(tag)
         elif tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(source, at)
-            at = end.end() if end else len(source)
+            skip = at = end.end() if end else len(source)
         elif tag == "br":
             page.say(" ")
         elif tag not in VOID:
@@ -200,16 +254,16 @@ def _walk(source: str, wrappers: set[int]) -> _Page:
     return page
 
 
-def _first_pass(b: Block) -> bool | None:
-    """Whether a block is content; None where it is too short to tell."""
+def _first_pass(b: Block, words: bool = True) -> bool | None:
+    """Whether a block is content; None where it is too short to tell.  Without ``words`` links alone decide."""
     if b.furniture:
         return False
     links = b.link_chars / len(b.text)
-    if links > LINK_DENSITY and not (b.area and b.told) and (b.listed or not b.area or len(b.text) < SHORT):
+    if links > LINK_DENSITY and not (b.area and b.told) and (b.listed or not b.area):
         return False
     if len(b.text) < SHORT:
         return None
-    if b.area:
+    if b.area or not words:
         return True
     found = _WORD.findall(b.text.lower())
     return sum(w in STOP_WORDS for w in found) >= STOP_DENSITY * len(found)
@@ -237,10 +291,12 @@ def main_text(source: str | None) -> str:
     found = blocks(source or "")
     inside = [b for b in found if b.area and not b.furniture]
     chosen = inside or [b for b in found if not b.furniture]
+    # a page in a language without a word list here: no long block would pass, so links alone decide
+    known = any(len(b.text) >= SHORT and _first_pass(b) for b in chosen)
     out: list[str] = []
     for area in sorted({b.area for b in chosen}):
         part = [b for b in chosen if b.area == area]
-        labels = [_first_pass(b) for b in part]
+        labels = [_first_pass(b, known) for b in part]
         if area:  # a list of links between short paragraphs of an article says nothing about them
             labels = [True if x is None and (b.told or not b.listed) else x for x, b in zip(labels, part)]
         out += [b.text for b, keep in zip(part, _second_pass(labels, True)) if keep]

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from skyframe.llm import html_text
@@ -41,6 +43,36 @@ def test_articles_keep_linked_headings_and_odd_wrappers(source, text):
     assert html_text.main_text(source) == text
 
 
+RUSSIAN = "Эта страница написана на языке, для которого здесь нет списка частых слов, но текст её длинный и связный."
+ITALIAN = "Questa pagina contiene una lunga storia scritta in italiano, senza parole presenti negli elenchi usati qui."
+
+
+@pytest.mark.parametrize(
+    ("source", "text"),
+    [
+        (f"<div class=menu><a href=x>Меню</a></div><p>{RUSSIAN}</p><div><a href=y>{RUSSIAN}</a></div>", RUSSIAN),
+        (f"<h1>Storia</h1><p>{ITALIAN}</p>", f"Storia\n{ITALIAN}"),
+        (f"<article><div class='social-history'><p>{PROSE}</p></div><div class='notice-period'>{PROSE}</div></article>", f"{PROSE}\n{PROSE}"),
+        (f"<article><p>{PROSE}</p><div class='comment-list'>{PROSE}</div><div class='ad-slot-2'>x</div><div class='share_buttons'>x</div></article>", PROSE),
+        (f"<article><p>{PROSE}</p><table><tr><td><a href=x>cell</a></td><td>1</td></tr></table></article>", f"{PROSE}\ncell\n1"),
+        (f"<article title='a > b'><p>{PROSE}</p></article>", PROSE),
+        (f"<article><p>{PROSE}</p><a href=\"open>x</a><p>End</p>", f"{PROSE}\nx\nEnd"),
+    ],
+)
+def test_other_languages_and_names_inside_articles(source, text):
+    assert html_text.main_text(source) == text
+
+
+@pytest.mark.parametrize(
+    "source",
+    ['<a href="x ' * 100_000, "<a '>' " * 100_000, '<a ">" ' * 100_000 + ">", "<p " + "a" * 1_000_000 + ">", "<nav>" + "<div><article>" * 40_000, "<!-- " * 200_000, "<" * 1_000_000, "<div>" * 100_000 + "</p>" * 100_000, "<p x=" * 200_000],
+)
+def test_broken_markup_takes_linear_time(source):
+    began = time.process_time()
+    html_text.main_text(source)
+    assert time.process_time() - began < 10
+
+
 def test_second_pass_takes_nearest_labels():
     assert html_text._second_pass([None, True, None, False, None, None, False, None], True) == [True, True, True, False, False, False, False, False]
     assert html_text._second_pass([None, None], True) == [True, True]
