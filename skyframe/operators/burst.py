@@ -330,16 +330,17 @@ def point_grid(df, size: int, keys=("image_id",)) -> DataFrame:
     return d.withColumns({"ay": F.col("_ay") * step, "ax": F.col("_ax") * step}).drop("_ay", "_ax", "_h", "_w")
 
 
-def point_features(df, size=96, min_lit=0.40, cap=600, keys=("image_id",)) -> DataFrame:
+def point_features(df, size=96, min_lit=0.40, cap=600, stride=1, keys=("image_id",)) -> DataFrame:
     """Trackable alignment points: lit enough, textured in both axes, best ``cap`` by gradient spread.
 
-    Gradients are taken on the whole image, so a window's own border adds no false edges.
+    Gradients are taken on the whole image, so a window's own border adds no false edges.  ``stride`` may
+    thin the pixels that the lit share is taken from.
     """
     keys = list(keys)
     thr = group_quantiles(df, keys, "v", {"_q": linear(0.999)})
     g = gradient(df, "v", keys).join(df.select(*keys, "y", "x", "v"), [*keys, "y", "x"])
     d = point_grid(attach(g, thr, keys), size, keys)
-    even = ((F.col("y") - F.col("ay")) % 2 == 0) & ((F.col("x") - F.col("ax")) % 2 == 0)
+    even = ((F.col("y") - F.col("ay")) % stride == 0) & ((F.col("x") - F.col("ax")) % stride == 0)
     a = cut(
         d.groupBy(*keys, "ay", "ax").agg(
             F.avg(F.when(even, (F.col("v") > F.col("_q") * 0.5).cast("double"))).alias("lit"), F.stddev_pop("mag").alias("q"),

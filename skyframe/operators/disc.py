@@ -53,8 +53,8 @@ def disc_geometry(df, value="v", keys=KEY) -> DataFrame:
 OFFSETS = [(0, 6), (0, -6), (6, 0), (-6, 0), (4, 4), (4, -4), (-4, 4), (-4, -4)]  # fixed values: (dy, dx) of the limb test
 
 
-def classify_body(df, value="v", keys=KEY) -> DataFrame:
-    """Sun when the limb is darker than the interior, moon when brighter, from a stride-2 lattice."""
+def classify_body(df, value="v", stride=1, keys=KEY) -> DataFrame:
+    """Sun when the limb is darker than the interior, moon when brighter; ``stride`` may thin the pixels."""
     keys = list(keys)
     thr = group_quantiles(df, keys, value, {"_p": linear(0.999)}).select(*keys, (F.col("_p") * 0.5).alias("_thr"))
     d = attach(df, thr, keys)
@@ -70,7 +70,7 @@ def classify_body(df, value="v", keys=KEY) -> DataFrame:
 
     e = map_overlap(d, keys, [value], 6, kernel, ["near_dark"], "nearest", ["_thr"], [value, "_thr"])
     e = attach(e, image_dims(df, keys), keys)
-    grid = (F.col("y") >= 6) & (F.col("y") < F.col("_h") - 6) & (F.col("x") >= 6) & (F.col("x") < F.col("_w") - 6) & (F.col("y") % 2 == 0) & (F.col("x") % 2 == 0)
+    grid = (F.col("y") >= 6) & (F.col("y") < F.col("_h") - 6) & (F.col("x") >= 6) & (F.col("x") < F.col("_w") - 6) & (F.col("y") % stride == 0) & (F.col("x") % stride == 0)
     lit, edge = F.col(value) > F.col("_thr"), F.col("near_dark") > 0
     s = e.filter(grid).groupBy(*keys).agg(
         F.count(F.when(lit & edge, 1)).alias("n_edge"), F.count(F.when(lit & ~edge, 1)).alias("n_interior"), F.avg(F.when(lit & edge, F.col(value))).alias("_e"), F.avg(F.when(lit & ~edge, F.col(value))).alias("_i")

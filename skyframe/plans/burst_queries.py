@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from skyframe.operators import advice as A
 from skyframe.operators import burst as B
 from skyframe.operators import disc as D
+from skyframe.operators import quality
 from skyframe.operators import registry as G
 from skyframe.operators import scene as N
 from skyframe.operators import surface as U
@@ -134,15 +135,19 @@ def a32(v):
     return rounded(B.grade_frames(v.mos), "sharp", "p999")
 
 
-@query("a34_burst_mean", "px_nodata", f"select target_id,y,x,{s6(clip_sql('avg(v)'), 'v')},count(v) n from px_nodata where frame_id in (select frame_id from px_nodata group by frame_id having count(v)>=61) group by target_id,y,x")
+@query(
+    "a34_burst_mean", "px_nodata",
+    f"select target_id,y,x,{s6(clip_sql('avg(v)'), 'v')},count(v) n from px_nodata semi join k using(target_id,frame_id) group by target_id,y,x",
+    "gd as (select target_id,frame_id,stddev_pop(v) s from px_nodata group by all), k as (select target_id,frame_id from (select *,row_number() over (partition by target_id order by s desc,frame_id) r,count(*) over (partition by target_id) m from gd) where r<=greatest(2,round_even(m*0.35e0,0)))",
+)
 def a34(v):
-    """Frames with at most three lost pixels are kept."""
-    kept = v.px_nodata.groupBy("target_id", "frame_id").agg(F.count("v").alias("n")).filter("n >= 61")
-    return rounded(B.burst_mean(v.px_nodata, kept), "v")
+    """Mean of every target's sharpest frames, by the spread of their pixels."""
+    graded = v.px_nodata.groupBy("target_id", "frame_id").agg(F.stddev_pop("v").alias("sharp"))
+    return rounded(B.burst_mean(v.px_nodata, quality.keep_sharpest(graded, 0.35, ["target_id"])), "v")
 
 
 @query("a36_point_features", "mos", f"select image_id,ay,ax,{s6('lit')},{s6('q')},{s6('ex')},{s6('ey')} from ap join (select image_id,list(q order by q)[count(*)//2+1] m from ap group by all) using(image_id) where least(ex,ey)/greatest(ex,ey,1e-12)>=0.15 and q>=0.3e0*m",
-       KROON + ", wi as (select image_id,ay*16 ay,ax*16 ax from kd,range(200) a(ay),range(200) b(ax) where ay*16+32<=h and ax*16+32<=wd), ap as materialized (select w.image_id,ay,ax,avg(case when m.v>0.5e0*p9 then 1e0 else 0e0 end) filter ((m.y-ay)%2=0 and (m.x-ax)%2=0) lit,stddev_pop(sqrt(gy*gy+gx*gx)) q,sqrt(avg(gx*gx)) ex,sqrt(avg(gy*gy)) ey from wi w join mos m on m.image_id=w.image_id and m.y>=ay and m.y<ay+32 and m.x>=ax and m.x<ax+32 join kg g on g.image_id=m.image_id and g.y=m.y and g.x=m.x join (select image_id,quantile_cont(v,0.999) p9 from mos group by all) z on z.image_id=m.image_id group by w.image_id,ay,ax having lit>=0.4)")
+       KROON + ", wi as (select image_id,ay*16 ay,ax*16 ax from kd,range(200) a(ay),range(200) b(ax) where ay*16+32<=h and ax*16+32<=wd), ap as materialized (select w.image_id,ay,ax,avg(case when m.v>0.5e0*p9 then 1e0 else 0e0 end) lit,stddev_pop(sqrt(gy*gy+gx*gx)) q,sqrt(avg(gx*gx)) ex,sqrt(avg(gy*gy)) ey from wi w join mos m on m.image_id=w.image_id and m.y>=ay and m.y<ay+32 and m.x>=ax and m.x<ax+32 join kg g on g.image_id=m.image_id and g.y=m.y and g.x=m.x join (select image_id,quantile_cont(v,0.999) p9 from mos group by all) z on z.image_id=m.image_id group by w.image_id,ay,ax having lit>=0.4)")
 def a36(v):
     d = B.point_features(v.mos, 32)
     return rounded(d.select("image_id", F.col("ay").cast("long").alias("ay"), F.col("ax").cast("long").alias("ax"), "lit", "q", "ex", "ey"), "lit", "q", "ex", "ey")
@@ -191,7 +196,7 @@ _OFF = ",".join(f"({a},{b})" for a, b in D.OFFSETS)
 
 
 @query("a39_body_class", "mos", f"select image_id,ne n_edge,ni n_interior,{s6('r', 'ratio')},case when r<0.93 then 'sun' when r>1.03 then 'moon' else 'unknown' end body from (select *,case when ne>=50 and ni>=200 then e/i else 1e0 end r from (select image_id,count(*) filter (lit and nd) ne,count(*) filter (lit and not nd) ni,avg(v) filter (lit and nd) e,avg(v) filter (lit and not nd) i from ed group by all))",
-       DISC + f""", th as (select image_id,0.5e0*quantile_cont(v,0.999) t,max(y)+1 h,max(x)+1 w from dc group by all), gr as materialized (select d.*,t from dc d join th using(image_id) where y>=6 and y<h-6 and x>=6 and x<w-6 and y%2=0 and x%2=0),
+       DISC + f""", th as (select image_id,0.5e0*quantile_cont(v,0.999) t,max(y)+1 h,max(x)+1 w from dc group by all), gr as materialized (select d.*,t from dc d join th using(image_id) where y>=6 and y<h-6 and x>=6 and x<w-6),
        gn as materialized (select image_id,y,x,y+dy ny,x+dx nx from gr cross join (values {_OFF}) o(dy,dx)), ed as (select g.image_id,g.y,g.x,any_value(g.v) v,any_value(g.v>g.t) lit,bool_or(n.v<=g.t) nd from gr g join gn k using(image_id,y,x) join dc n on n.image_id=k.image_id and n.y=k.ny and n.x=k.nx group by g.image_id,g.y,g.x)""")
 def a39(v):
     return rounded(D.classify_body(disc(v)).select("image_id", "n_edge", "n_interior", "ratio", "body"), "ratio")
