@@ -29,9 +29,9 @@ WINDOW = 2048
 END_ID = 1
 #: Rows dealt to one shard on average.
 SHARD_ROWS = 2048
-#: Text bytes tokenised at once and distinct words a worker remembers twice over: bounds on memory only.
+#: Text bytes tokenised at once and distinct words a task remembers twice over: bounds on memory only.
 CHUNK_BYTES = 6 << 20
-REMEMBERED = 150_000
+REMEMBERED = 300_000
 LONG_WORD = 64
 #: Stands between words that are encoded together; no word of a text is this character alone.
 PARTING = "\x1f"
@@ -148,22 +148,25 @@ def tokenised(docs: DataFrame, window: int = WINDOW, path: str | None = None, wi
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
-        for batch in batches:
-            texts = pc.fill_null(batch.column(1), "")
-            sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
-            for i, j in chunks(sizes, CHUNK_BYTES):
-                ids, starts = encode(texts.slice(i, j - i))
-                whole = np.diff(starts)
-                count = -(-whole // window)
-                doc = np.repeat(np.arange(len(whole)), count)
-                start = (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)) * window
-                length = np.minimum(window, whole[doc] - start)
-                begin = starts[doc] + start
-                crc = [zlib.crc32(ids[b : b + n].data) for b, n in zip(begin.tolist(), length.tolist())]
-                cols = {"doc_id": batch.column(0).slice(i, j - i).take(pa.array(doc)), "start": start, "length": length, "ids_crc32": pa.array(crc, pa.int64()), "doc_tokens": whole[doc]}
-                if with_ids:
-                    cols["ids"] = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]), pa.int32()), pa.array(ids.astype(np.int32)))
-                yield pa.RecordBatch.from_pydict(cols)
+        try:
+            for batch in batches:
+                texts = pc.fill_null(batch.column(1), "")
+                sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+                for i, j in chunks(sizes, CHUNK_BYTES):
+                    ids, starts = encode(texts.slice(i, j - i))
+                    whole = np.diff(starts)
+                    count = -(-whole // window)
+                    doc = np.repeat(np.arange(len(whole)), count)
+                    start = (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)) * window
+                    length = np.minimum(window, whole[doc] - start)
+                    begin = starts[doc] + start
+                    crc = [zlib.crc32(ids[b : b + n].data) for b, n in zip(begin.tolist(), length.tolist())]
+                    cols = {"doc_id": batch.column(0).slice(i, j - i).take(pa.array(doc)), "start": start, "length": length, "ids_crc32": pa.array(crc, pa.int64()), "doc_tokens": whole[doc]}
+                    if with_ids:
+                        cols["ids"] = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]), pa.int32()), pa.array(ids.astype(np.int32)))
+                    yield pa.RecordBatch.from_pydict(cols)
+        finally:  # a worker that is used again holds no words of this task
+            encode.known, encode.before = {}, {}
 
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, PIECES + (", ids array<int>" if with_ids else ""))
 
