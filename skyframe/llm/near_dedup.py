@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skyframe.llm.common import attach, query, table, unwrapped, wrapped
+from skyframe.llm.common import attach, query, table, tidy, unwrapped, wrapped
 from skyframe.llm.tokens import LOWER, WORDS, buffers, mix64, token_hashes
 from skyframe.session import cut
 
@@ -142,7 +142,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                     cols.append(pa.ListArray.from_arrays(pa.array((has * values.shape[1]).astype(np.int32)), pa.array(values.view(np.int64).ravel())))
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "set_key", "bands", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(tidy(run), schema)
 
 
 def _may_link(a: str, b: str, percent: int) -> Column:
@@ -193,7 +193,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
                     keep.append(len(x) > 0 and 100 * common >= percent * (len(both) - common))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return rows.mapInArrow(run, "a bigint, b bigint").distinct()
+    return rows.mapInArrow(tidy(run), "a bigint, b bigint").distinct()
 
 
 def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:

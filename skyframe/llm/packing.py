@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyframe.llm.common import query, table
+from skyframe.llm.common import query, table, tidy
 
 WINDOW = 2048
 #: Closes every document.
@@ -168,7 +168,7 @@ def tokenised(docs: DataFrame, window: int = WINDOW, path: str | None = None, wi
         finally:  # a worker that is used again holds no words of this task
             encode.known, encode.before = {}, {}
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, PIECES + (", ids array<int>" if with_ids else ""))
+    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(tidy(run), PIECES + (", ids array<int>" if with_ids else ""))
 
 
 def best_fit_decreasing(lengths: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:

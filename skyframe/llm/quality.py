@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyframe.llm.common import query, table
+from skyframe.llm.common import query, table, tidy
 from skyframe.llm.tokens import PIECES, buffers, mix64, token_hashes
 
 SLOTS = 8192
@@ -75,7 +75,7 @@ def context_sums(docs: DataFrame) -> np.ndarray:
             vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(used) + 1, dtype=np.int32) * DIM), pa.array(sums[used].ravel()))
             yield pa.RecordBatch.from_arrays([pa.array(used), vectors], ["slot", "v"])
 
-    sums = docs.select(F.col("text").cast("string")).mapInArrow(run, "slot bigint, v array<bigint>")
+    sums = docs.select(F.col("text").cast("string")).mapInArrow(tidy(run), "slot bigint, v array<bigint>")
     sums = sums.groupBy("slot").agg(F.array(*[F.sum(F.col("v")[i]) for i in range(DIM)]).alias("v"))
     out = np.zeros((SLOTS, DIM))
     for slot, v in sums.collect():  # one row per slot
@@ -207,7 +207,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, Network]:
 
     # at most TRAIN_ROWS rows
     rows = docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text")
-    got = rows.mapInArrow(run, "doc_id bigint, y double, x array<double>").toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending")])
+    got = rows.mapInArrow(tidy(run), "doc_id bigint, y double, x array<double>").toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending")])
     x = np.asarray(got.column("x").combine_chunks().flatten()).reshape(-1, POOLED)
     return vectors, train(x, np.asarray(got.column("y")))
 
@@ -222,7 +222,7 @@ def score(docs: DataFrame, vectors: np.ndarray, net: Network, name: str = "score
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(net.scores(pooled(batch.column(at), vectors)))], [*names, name])
 
     schema = docs.withColumn(name, F.lit(0.0)).schema
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = KEEP) -> DataFrame:
