@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyframe.llm.common import query, shuffle_partitions, table
+from skyframe.llm.common import give_back, query, shuffle_partitions, table
 from skyframe.llm.tokens import mix64
 from skyframe.session import cut, scratch_path
 
@@ -68,13 +68,17 @@ def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def gram_names(raw: np.ndarray) -> np.ndarray:
-    """The name of the ``GRAM`` bytes from each offset, by doubling; mixed once, when 16 bytes meet 16."""
+    """The name of the ``GRAM`` bytes from each offset, by doubling; mixed once, when 16 bytes meet 16.
+
+    The first 16 get a factor of their own: with that of the doubling alone, bytes 8 and 16 would weigh
+    the same, and strings that swap them would share a name.
+    """
     name, factor = _BYTES[raw], _A
     for step in (1, 2, 4, 8):
         longer = name[:-step] * factor
         longer += name[step:]
         name, factor = longer, factor * factor
-    return _pair(name[: -(GRAM - 16)], name[GRAM - 16 :])
+    return _pair(name[: -(GRAM - 16)] * _C, name[GRAM - 16 :])
 
 
 def _smallest(x: np.ndarray, width: int) -> np.ndarray:
@@ -117,7 +121,7 @@ class Piece:
 
 
 def pieces(texts: list[np.ndarray]) -> Iterator[Piece]:
-    """Pieces of the texts that have ``WIDTH`` bytes; short texts are hashed together."""
+    """Pieces of the texts that have ``WIDTH`` bytes, in order of the texts; short texts are hashed together."""
     waiting: list[tuple[int, np.ndarray]] = []
     held = 0
 
@@ -132,6 +136,9 @@ def pieces(texts: list[np.ndarray]) -> Iterator[Piece]:
         if len(t) < WIDTH:
             continue
         if len(t) > PIECE:
+            if waiting:  # the texts before come first
+                yield from joined()
+                waiting, held = [], 0
             for begin in range(0, len(t) - WIDTH + 1, PIECE):
                 end = min(begin + PIECE, len(t) - WIDTH + 1)
                 lo, hi = max(0, begin - REACH), min(len(t), end + 2 * WIDTH)
@@ -271,12 +278,13 @@ def _packed(shard: int, entries: Entries, buckets: int) -> pa.Table:
 
 def _judged(rows: pa.Table) -> pa.Table:
     """For every entry of a bucket task: in a smaller document too, or first of its key in a bucket that tells more."""
-    get = lambda name, kind: [np.frombuffer(x, kind) for x in rows.column(name).to_pylist()]
-    keys, buckets = get("keys", np.uint64), get("buckets", np.uint32)
+    get = lambda name, kind: [np.frombuffer(x.as_buffer(), kind) for x in rows.column(name)]
+    sizes = [len(x) for x in get("keys", np.uint64)]
     first = np.concatenate([np.repeat(i, c) for i, c in zip(get("ids", np.int64), get("counts", np.uint32))])
-    key, bucket = np.concatenate(keys), np.concatenate(buckets)
+    key, bucket = np.concatenate(get("keys", np.uint64)), np.concatenate(get("buckets", np.uint32))
     order = np.lexsort((first, key, bucket))
     k, b, d = key[order], bucket[order], first[order]
+    del key, bucket, first
     new_bucket = np.ones(len(order), bool)
     new_bucket[1:] = b[1:] != b[:-1]
     new_key = new_bucket.copy()
@@ -292,9 +300,9 @@ def _judged(rows: pa.Table) -> pa.Table:
     settled[order] = d > least
     open_[order] = (d == least) & several
     out, at = [], 0
-    for s, p, own in zip(rows.column("shard").to_pylist(), rows.column("part").to_pylist(), keys):
-        x, y = settled[at : at + len(own)], open_[at : at + len(own)]
-        at += len(own)
+    for s, p, n in zip(rows.column("shard").to_pylist(), rows.column("part").to_pylist(), sizes):
+        x, y = settled[at : at + n], open_[at : at + n]
+        at += n
         if x.any() or y.any():
             out.append((s, p, np.packbits(x).tobytes(), np.packbits(y).tobytes()))
     kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
@@ -312,7 +320,15 @@ def _each(texts: DataFrame, bits: DataFrame, run: Callable[[int, Shard, pa.Table
         rows = _ordered(left)
         return run(rows.column("shard")[0].as_py(), rows, right)
 
-    return texts.groupBy("shard").cogroup(bits.groupBy("shard")).applyInArrow(lambda a, b: shard(a, b) if a.num_rows else _nothing(schema), schema)
+    return texts.groupBy("shard").cogroup(bits.groupBy("shard")).applyInArrow(lambda a, b: _tidy(shard, a, b) if a.num_rows else _nothing(schema), schema)
+
+
+def _tidy(run: Callable[..., pa.Table], *groups: pa.Table) -> pa.Table:
+    """``run`` on one group, after which its worker gives free memory back."""
+    try:
+        return run(*groups)
+    finally:
+        give_back()
 
 
 def _nothing(schema: str) -> pa.Table:
@@ -343,7 +359,7 @@ def _rounds(docs: DataFrame, finish: Callable[[Shard, pa.Table, tuple], pa.Table
         return _packed(rows.column("shard")[0].as_py(), shard.entries, buckets)
 
     def judged(entries: DataFrame) -> DataFrame:
-        return cut(entries.groupBy("part").applyInArrow(_judged, BITS))
+        return cut(entries.groupBy("part").applyInArrow(lambda rows: _tidy(_judged, rows), BITS))
 
     def known(rows: pa.Table, bits: pa.Table) -> tuple[Shard, np.ndarray]:
         """The shard, and its anchors that are in smaller documents, with strings left to refine."""
@@ -363,7 +379,7 @@ def _rounds(docs: DataFrame, finish: Callable[[Shard, pa.Table, tuple], pa.Table
         repeated = shard.strings.marked(bits.filter(pa.array(turn == 2)), buckets)[0]
         return finish(shard, rows, shard.spans(settled, repeated[shard.strings.of] | ~shard.strings.least))
 
-    one = judged(texts.groupBy("shard").applyInArrow(first, ENTRIES))
+    one = judged(texts.groupBy("shard").applyInArrow(lambda rows: _tidy(first, rows), ENTRIES))
     two = judged(_each(texts, one, second, ENTRIES))
     return _each(texts, one.withColumn("turn", F.lit(1)).union(two.withColumn("turn", F.lit(2))), last, schema)
 

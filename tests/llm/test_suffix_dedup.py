@@ -81,6 +81,37 @@ def test_texts_longer_than_a_piece(spark):
     assert found(suffix_dedup.repeats(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
 
 
+def test_names_tell_swapped_bytes_apart():
+    base = np.arange(40, 40 + suffix_dedup.GRAM, dtype=np.uint8)
+    names = {int(suffix_dedup.gram_names(base)[0])}
+    for i in range(suffix_dedup.GRAM):
+        for j in range(i):
+            other = base.copy()
+            other[i], other[j] = base[j], base[i]
+            names.add(int(suffix_dedup.gram_names(other)[0]))
+    assert len(names) == 1 + suffix_dedup.GRAM * (suffix_dedup.GRAM - 1) // 2
+
+
+def test_texts_that_differ_by_swapped_letters(spark):
+    """Copies of one text in which every swap of two letters eight places apart is made once."""
+    r = random.Random(5)
+    text = "".join(r.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=110))
+    swapped = lambda i: text[:i] + text[i + 8] + text[i + 1 : i + 8] + text[i] + text[i + 9 :]
+    rows = [(0, text)] + [(i + 1, swapped(i)) for i in range(len(text) - 8)]
+    assert found(suffix_dedup.repeats(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+
+
+def test_long_texts_among_short_ones(spark):
+    """A shard's texts keep their order when one of them is longer than a piece."""
+    r = np.random.default_rng(6)
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz   ", np.uint8)
+    text = lambda n: letters[r.integers(0, len(letters), n)].tobytes().decode()
+    shared = [text(60) for _ in range(6)]
+    rows = [(2 * i, text(40) + shared[i % 6][: 52 + i % 9] + text(40)) for i in range(40)]
+    rows += [(2 * i + 1, text(70_000) + shared[i % 6] + text(3000) + shared[(i + 1) % 6][3:] + text(9)) for i in range(0, 40, 7)]
+    assert found(suffix_dedup.repeats(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+
+
 def test_odd_rows_and_no_rows(spark, odd_documents, no_documents):
     assert found(suffix_dedup.repeats(odd_documents)) == brute([(r.doc_id, r.text) for r in odd_documents.collect()])
     assert suffix_dedup.repeats(no_documents).collect() == []
