@@ -122,3 +122,52 @@ def test_several_deviations_in_one_pass(spark):
         one = {r.g: (r.mad, r.med) for r in group_mad(d, ["g"], c).collect()}
         assert {g: (got[g][f"{c}m"], got[g][f"{c}c"]) for g in one} == one
     assert got[2].bm is None and len(got) == 4
+
+
+def _broadcasts(df):
+    """Broadcast exchanges of the plan that ran."""
+    df.write.format("noop").mode("overwrite").save()
+    return df._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin")
+
+
+@pytest.fixture(scope="module")
+def exploded(spark):
+    """Pixels that Spark takes for as few rows as the arrays they come from."""
+    frames = spark.range(0, 400).select(F.lit(0).alias("target_id"), F.col("id").alias("frame_id"))
+    px = frames.select("target_id", "frame_id", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("p"))
+    return px.select("target_id", "frame_id", (F.col("p") / 8).cast("int").alias("y"), (F.col("p") % 8).cast("int").alias("x"), ((F.col("frame_id") * 31 + F.col("p") * 17) % 101 / 101.0).alias("v"))
+
+
+def test_star_windows_and_quantiles_broadcast_no_pixels(exploded):
+    from skyframe.functions.quantiles import group_quantiles, linear
+
+    img = exploded.select(F.col("frame_id").alias("image_id"), "y", "x", "v")
+    peaks = img.filter("v > 0.9").withColumn("star_id", F.concat_ws(":", "y", "x"))
+    assert _broadcasts(S.star_windows(img, peaks, 2)) == 0
+    q = group_quantiles(img, ["image_id"], "v", {"m": linear(0.5)})
+    assert _broadcasts(q) == 0
+    want = {r.image_id: r.m for r in img.groupBy("image_id").agg(F.median("v").alias("m")).collect()}
+    assert {r.image_id: r.m for r in q.collect()} == pytest.approx(want)
+
+
+def test_alignment_points_broadcast_no_pixels(exploded):
+    from skyframe.operators import burst
+
+    c = exploded.select("target_id", "frame_id").distinct().withColumns({"ay": F.lit(2), "ax": F.lit(2), "oy": F.lit(0.5), "ox": F.lit(0.25)})
+    assert _broadcasts(burst.stack_points(exploded, c, 4)) == 0
+
+
+def test_snr_maps_broadcast_no_pixels(exploded):
+    from skyframe.operators import masks
+
+    img = exploded.select(F.col("frame_id").alias("image_id"), "y", "x", "v")
+    assert _broadcasts(masks.snr_map(img, img.withColumn("noise", F.lit(0.1)), F.col("v"))) == 0
+
+
+def test_significance_display_broadcasts_no_pixels(exploded):
+    from skyframe.operators import stencil
+
+    rgb = exploded.select(F.col("frame_id").alias("image_id"), "y", "x", *[F.col("v").alias(c) for c in "rgb"])
+    d = stencil.significance_display(rgb, rgb.select("image_id", "y", "x", F.lit(0.5).alias("w")), 0.7)
+    d.write.format("noop").mode("overwrite").save()
+    assert "SortMergeJoin" in d._jdf.queryExecution().executedPlan().toString()
