@@ -85,7 +85,7 @@ def _trails(d, s, w):
     """The developed and tapered trail layer added to the picture."""
     layer = trails.taper(trails.develop_trails(w.need("trails"), s["meteorStrength"], keys=["image_id"]), keys=["image_id"])
     layer = layer.select(*PIX, F.col("v").alias("_t"))
-    return d.join(layer, PIX, "left").select(*PIX, *[clip(F.col(c) + F.coalesce("_t", F.lit(0.0))).alias(c) for c in RGB])
+    return d.join(layer.hint("merge"), PIX, "left").select(*PIX, *[clip(F.col(c) + F.coalesce("_t", F.lit(0.0))).alias(c) for c in RGB])
 
 
 def _foreground(d, s, w):

@@ -58,7 +58,7 @@ def detect_trails(transient: DataFrame, keys=("target_id",), floor=0.006, min_se
     lab = cut(label_components(dilate(seeds, keys, connect, dims) if connect else seeds, keys))
     shape = component_shape(lab, keys).join(dims, keys)
     shape = shape.filter((F.col("area") >= min_area) & (F.col("area") <= F.floor(F.col("_h") * F.col("_w") * max_frac)) & (F.col("aspect") >= min_aspect) & (F.col("length") >= min_length))
-    rows = lab.join(shape.select(*keys, "label"), [*keys, "label"], "left_semi").join(transient.select(*keys, "y", "x", "v", "frame"), [*keys, "y", "x"])
+    rows = lab.join(shape.select(*keys, "label"), [*keys, "label"], "left_semi").join(transient.select(*keys, "y", "x", "v", "frame").hint("merge"), [*keys, "y", "x"])
     rows = cut(rows)
     peak = rows.groupBy(*keys, "label").agg(F.max("v").alias("peak"))
     src = rows.filter(F.col("frame").isNotNull()).groupBy(*keys, "label", "frame").agg(F.count(F.lit(1)).alias("_n"))
@@ -78,7 +78,7 @@ def detect_trails(transient: DataFrame, keys=("target_id",), floor=0.006, min_se
 def trail_layer(transient: DataFrame, trail_px: DataFrame, keys=("target_id",), feather=2.0) -> DataFrame:
     """Transient light through the feathered trail mask, with the id of the trail each pixel serves."""
     keys = list(keys)
-    d = transient.join(trail_px.select(*keys, "y", "x", "trail_id"), [*keys, "y", "x"], "left")
+    d = transient.join(trail_px.select(*keys, "y", "x", "trail_id").hint("merge"), [*keys, "y", "x"], "left")
     d = d.withColumn("_id", F.coalesce(F.col("trail_id").cast("double"), F.lit(0.0)))
     r = 3 + Kn.gaussian_radius(feather)
 
@@ -150,4 +150,4 @@ def taper(dev: DataFrame, keys=("target_id",), fade=0.12, min_fade=25.0, max_fad
 
     env = F.when(F.col("_len") < 1, 1.0).otherwise(ramp(F.col("_t") - F.col("_t0"), "_f0") * ramp(F.col("_t1") - F.col("_t"), "_f1"))
     e = d.select(*keys, "y", "x", env.alias("_env"))
-    return dev.join(e, [*keys, "y", "x"], "left").withColumn("v", F.col("v") * F.coalesce("_env", F.lit(1.0))).drop("_env")
+    return dev.join(e.hint("merge"), [*keys, "y", "x"], "left").withColumn("v", F.col("v") * F.coalesce("_env", F.lit(1.0))).drop("_env")
