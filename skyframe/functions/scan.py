@@ -34,15 +34,14 @@ def nearest_known(df: DataFrame, keys: list[str], at: str, known: Column) -> Dat
     """``df`` with ``before`` and ``after``: the last ``known`` at or before each row and the first at or after it.
 
     ``known`` is a struct that begins with the position, or null.  A value is carried between blocks
-    through one row per block.
+    through one row per block.  What comes after is read in falling order: Spark counts a frame that is
+    open towards the end anew for every row.
     """
     rows = blocked(df.withColumn("_known", known), keys, [at])
-    inside = Window.partitionBy(*keys, "block").orderBy(at)
-    group = Window.partitionBy(*keys).orderBy("block")
+    inside, group = Window.partitionBy(*keys, "block"), Window.partitionBy(*keys)
     ends = rows.groupBy(*keys, "block").agg(F.min("_known").alias("_first"), F.max("_known").alias("_last"))
-    ends = ends.select(
-        *keys, "block", F.last("_last", True).over(group.rowsBetween(Window.unboundedPreceding, -1)).alias("_from"), F.first("_first", True).over(group.rowsBetween(1, Window.unboundedFollowing)).alias("_to"),
-    )
-    back, ahead = inside.rowsBetween(Window.unboundedPreceding, 0), inside.rowsBetween(0, Window.unboundedFollowing)
-    rows = rows.withColumns({"before": F.last("_known", True).over(back), "after": F.first("_known", True).over(ahead)}).join(ends, [*keys, "block"])
+    earlier = lambda c: group.orderBy(c).rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*keys, "block", F.last("_last", True).over(earlier("block")).alias("_from"), F.last("_first", True).over(earlier(F.desc("block"))).alias("_to"))
+    so_far = lambda c: inside.orderBy(c).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({"before": F.last("_known", True).over(so_far(at)), "after": F.last("_known", True).over(so_far(F.desc(at)))}).join(ends, [*keys, "block"])
     return rows.withColumns({"before": F.coalesce("before", "_from"), "after": F.coalesce("after", "_to")}).drop("_known", "_from", "_to", "block")

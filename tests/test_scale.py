@@ -171,3 +171,15 @@ def test_significance_display_broadcasts_no_pixels(exploded):
     d = stencil.significance_display(rgb, rgb.select("image_id", "y", "x", F.lit(0.5).alias("w")), 0.7)
     d.write.format("noop").mode("overwrite").save()
     assert "SortMergeJoin" in d._jdf.queryExecution().executedPlan().toString()
+
+
+def test_later_values_of_a_long_group_are_read_once(spark):
+    """A frame open towards the end is counted anew for every row, so a group's time grows with its square."""
+    from skyframe.functions.scan import nearest_known
+
+    rows = spark.range(0, 2000).select(F.lit(0).alias("k"), F.col("id").alias("at"), F.when(F.col("id") % 7 == 3, F.struct(F.col("id").alias("p"))).alias("known"))
+    d = nearest_known(rows, ["k"], "at", F.col("known"))
+    assert "unboundedfollowing" not in d._jdf.queryExecution().optimizedPlan().toString().lower()
+    for r in d.collect():
+        last, first = r.at - (r.at - 3) % 7, r.at + (3 - r.at) % 7
+        assert (r.before.p if r.before else None) == (last if last >= 0 else None) and (r.after.p if r.after else None) == (first if first < 2000 else None)
