@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 from skyframe.functions.math import clip
 from skyframe.operators import masks, pixel, registry, rules, scene, stars, stats, stencil, surface, trails
 from skyframe.operators.stats import RGB
-from skyframe.session import cut
+from skyframe.session import checkpoint_root, cut, scratch_path
 
 PIX = ["image_id", "y", "x"]
 
@@ -160,31 +162,78 @@ def _counts(d: DataFrame, name: str) -> DataFrame:
     return d.groupBy("image_id").agg(F.count("*").alias(f"{name}_rows"), F.count_if(valid).alias(f"{name}_valid"))
 
 
-def _attempt(d: DataFrame, step: Step, settings: dict, work: Work, bit: int = 0) -> tuple[DataFrame, list[DataFrame]]:
+#: Parts that the images of a failed step are split into, and parts that run at the same time.
+PARTS, AT_ONCE = 8, 8
+
+
+def _by_parts(d: DataFrame, step: Step, settings: dict, work: Work, error: Exception) -> tuple[DataFrame, list[DataFrame]]:
+    """The step's result without the images that stop it, which keep their pixels and get a reason.
+
+    A part that fails is split by a hash of its images, and written so that each try reads its own
+    images only; parts run side by side, as each is a small job.
+    """
+    spark, schema = d.sparkSession, d.schema
+
+    def split(part: tuple) -> list[tuple]:
+        pixels, level = part
+        path = scratch_path(spark, "parts")
+        rows = pixels.withColumn("part", F.pmod(F.xxhash64("image_id", F.lit(level)), F.lit(PARTS)))
+        rows.repartition("image_id").write.partitionBy("part").parquet(path)
+        each = spark.read.parquet(path).groupBy("part").agg(F.count_distinct("image_id").alias("n")).collect()
+        return [(f"{path}/part={r.part}", level + 1, r.n) for r in each]
+
+    def tried(part: tuple) -> tuple:
+        path, level, n = part
+        own, out = replace(work, made=dict(work.made)), scratch_path(spark, "cut")
+        try:
+            done = step.fn(spark.read.schema(schema).parquet(path), settings, own).select(*PIX, *RGB)
+            done.write.parquet(out)
+        except Exception as e:  # noqa: BLE001  images of the part stopped the job
+            alone = n == 1 or isinstance(e, (StepError, AnalysisException))
+            return ("failed", path, _one_line(e)) if alone else ("open", path, level)
+        return "done", out, done.schema, own.made
+
+    if d.select("image_id").distinct().limit(2).count() < 2:
+        return d, [d.select("image_id").distinct().withColumn("reason", F.lit(_one_line(error)))]
+    checkpoint_root(spark)  # set before the threads need it
+    open_, done, made, reasons = [(d, 0)], {}, {}, {}
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        while open_:
+            parts = [p for some in pool.map(split, open_) for p in some]
+            open_ = []
+            for kind, path, *rest in pool.map(tried, parts):
+                if kind == "open":
+                    open_.append((spark.read.schema(schema).parquet(path), rest[0]))
+                elif kind == "failed":
+                    reasons.setdefault(rest[0], []).append(path)
+                else:
+                    done.setdefault(rest[0].json(), (rest[0], []))[1].append(path)
+                    for name in rest[1].keys() - work.made.keys():
+                        made.setdefault(name, []).append(rest[1][name])
+    work.made.update({name: reduce(DataFrame.unionByName, tables) for name, tables in made.items()})
+    stopped = {reason: spark.read.schema(schema).parquet(*paths) for reason, paths in reasons.items()}
+    tables = [spark.read.schema(kind).parquet(*paths) for kind, paths in done.values()] + [t.select(*PIX, *RGB) for t in stopped.values()]
+    return reduce(DataFrame.unionByName, tables), [t.select("image_id").distinct().withColumn("reason", F.lit(reason)) for reason, t in stopped.items()]
+
+
+def _attempt(d: DataFrame, step: Step, settings: dict, work: Work) -> tuple[DataFrame, list[DataFrame]]:
     """(pixels, tables of (image_id, reason)): the step's result where it has one."""
+    told = []
     try:
         done = cut(step.fn(d, settings, work).select(*PIX, *RGB))
     except (StepError, AnalysisException) as e:
         return d, [d.select("image_id").distinct().withColumn("reason", F.lit(_one_line(e)))]
-    except Exception as e:  # noqa: BLE001  one image of the shape stopped the job: look for it by halves
-        if d.select("image_id").distinct().limit(2).count() < 2:
-            return d, [d.select("image_id").distinct().withColumn("reason", F.lit(_one_line(e)))]
-        half = F.shiftright(F.xxhash64("image_id"), bit).bitwiseAND(F.lit(1)) == 0
-        works = [replace(work, made=dict(work.made)) for _ in range(2)]
-        parts = [_attempt(d.where(h), step, settings, w, bit + 1) for h, w in zip((half, ~half), works)]
-        for name in works[0].made.keys() - work.made.keys() | works[1].made.keys() - work.made.keys():
-            a, b = (w.made.get(name) for w in works)
-            work.made[name] = a.unionByName(b) if a is not None and b is not None else a if b is None else b
-        return parts[0][0].unionByName(parts[1][0]), parts[0][1] + parts[1][1]
+    except Exception as e:  # noqa: BLE001  some image of the shape stopped the job: look for it by parts
+        done, told = _by_parts(d, step, settings, work, e)
     lost = F.coalesce("after_valid", F.lit(0)) == 0
     if not step.reshapes:
         lost = lost | (F.col("after_rows") != F.col("before_rows")) | (F.col("after_valid") < F.col("before_valid"))
     bad = _counts(d, "before").join(_counts(done, "after"), "image_id", "left").where(lost & (F.col("before_valid") > 0))
     bad = cut(bad.select("image_id", F.concat(F.lit("left "), F.coalesce("after_valid", F.lit(0)).cast("string"), F.lit(" of "), F.col("before_valid").cast("string"), F.lit(" valid pixels")).alias("reason")))
     if bad.isEmpty():
-        return done, []
+        return done, told
     ids = bad.select("image_id")
-    return done.join(ids, "image_id", "left_anti").unionByName(d.join(ids, "image_id", "left_semi")), [bad]
+    return done.join(ids, "image_id", "left_anti").unionByName(d.join(ids, "image_id", "left_semi")), [*told, bad]
 
 
 def shapes_of(plan: DataFrame) -> DataFrame:

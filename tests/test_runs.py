@@ -58,6 +58,20 @@ def test_a_failing_step_leaves_the_image_otherwise_finished(spark):
     assert told[1, 4] == ("failed", "no tool")
 
 
+def test_tries_after_a_failed_step_read_their_own_images_only(spark):
+    pictures, read = {i: np.full((2, 2), 0.8) for i in range(30)}, []
+
+    def raises(d, s, w):
+        read.append(set(d.inputFiles()))
+        return d.withColumns({c: F.when(F.col("image_id") % 5 == 3, F.raise_error(F.lit("spoilt"))).otherwise(F.col(c) * 0.5) for c in "rgb"})
+
+    rows = [(i, 0, "raises", True, None, "{}") for i in range(30)]
+    px, ledger = finish.run_plan(colour(spark, pictures), plan_of(spark, rows), steps={"raises": finish.Step(raises)})
+    assert {r.image_id: r.r for r in px.groupBy("image_id").agg(F.max("r").alias("r")).collect()} == pytest.approx({i: 0.8 if i % 5 == 3 else 0.4 for i in range(30)})
+    assert {r.image_id for r in ledger.where("outcome = 'failed' and reason = 'spoilt'").collect()} == {3, 8, 13, 18, 23, 28}
+    assert all(read[1:]) and all(not a & b for i, a in enumerate(read[1:]) for b in read[1 + i + 1 :])
+
+
 def test_the_whole_run_on_two_shapes(spark):
     rng = np.random.default_rng(3)
     pictures = {i: np.clip(0.25 + 0.02 * rng.standard_normal((48, 48)) + gauss_star((48, 48), 20, 25, 0.5, 4.0), 0, 1) for i in range(3)}
