@@ -24,7 +24,7 @@ def cone_search(fields: DataFrame, catalog: DataFrame) -> DataFrame:
     """Objects whose disc meets each field's circle.
 
     Objects sit in one sky cell of their size tier; a field lists the cells its widened circle can
-    reach (right ascension wraps).  The join is on equal cells and the exact test follows.
+    reach (right ascension wraps).  The join is on equal cells, shuffled, and the exact test follows.
     """
     radius = F.coalesce("diameter", F.lit(0.0)) / 2 / 60
     cell = F.element_at(F.array(*[F.lit(c) for _, c in TIERS]), F.col("_t") + 1)
@@ -52,8 +52,12 @@ def cone_search(fields: DataFrame, catalog: DataFrame) -> DataFrame:
         )),
     ).select("field_id", "_fra", "_fdec", "fov_radius", F.col("_q.t").alias("_t"), "_cx", "_cy")
     sep = haversine_deg(F.col("_fra"), F.col("_fdec"), F.col("ra"), F.col("dec"))
+    # few bytes go in and many pairs come out: a number of its own keeps the cells in many tasks
+    spark = fields.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    f = f.repartition(tasks, "_t", "_cx", "_cy")
     return (
-        f.join(obj, ["_t", "_cx", "_cy"]).withColumn("sep", sep)
+        f.join(obj.hint("merge"), ["_t", "_cx", "_cy"]).withColumn("sep", sep)
         .filter(F.col("sep") <= F.col("fov_radius") + F.col("_or"))
         .drop("_t", "_cx", "_cy", "_or", "_fra", "_fdec")
     )

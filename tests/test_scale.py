@@ -183,3 +183,12 @@ def test_later_values_of_a_long_group_are_read_once(spark):
     for r in d.collect():
         last, first = r.at - (r.at - 3) % 7, r.at + (3 - r.at) % 7
         assert (r.before.p if r.before else None) == (last if last >= 0 else None) and (r.after.p if r.after else None) == (first if first < 2000 else None)
+
+
+def test_cone_search_is_spread_and_broadcasts_nothing(spark):
+    from skyframe.operators.catalog import cone_search
+
+    fields = spark.range(0, 50).select(F.col("id").alias("field_id"), (F.col("id") * 7.3 % 360).alias("ra"), (F.col("id") % 60 - 30.0).alias("dec"), F.lit(2.0).alias("fov_radius"))
+    objects = spark.range(0, 500).select(F.col("id").cast("string").alias("id"), (F.col("id") * 0.73 % 360).alias("ra"), (F.col("id") % 60 - 30.0).alias("dec"), F.lit(20.0).alias("diameter"))
+    d = cone_search(fields, objects)
+    assert _broadcasts(d) == 0 and d.rdd.getNumPartitions() >= 8 and d.count() > 0
