@@ -192,3 +192,15 @@ def test_cone_search_is_spread_and_broadcasts_nothing(spark):
     objects = spark.range(0, 500).select(F.col("id").cast("string").alias("id"), (F.col("id") * 0.73 % 360).alias("ra"), (F.col("id") % 60 - 30.0).alias("dec"), F.lit(20.0).alias("diameter"))
     d = cone_search(fields, objects)
     assert _broadcasts(d) == 0 and "REPARTITION_BY_NUM" in d._jdf.queryExecution().executedPlan().toString() and d.count() > 0
+
+
+def test_packing_holds_a_bounded_number_of_pixels(image):
+    """What a worker packs at a time does not grow with its task's input."""
+    import numpy as np
+
+    from skyframe.operators import overlap
+
+    d = image(np.arange(400 * 400.0).reshape(400, 400)).coalesce(1)
+    packed = overlap.pack_tiles(d, ["image_id"], ["v"], [], (1, 1), (512, 512))
+    sizes = [r.n for r in packed.select(F.size("_vy").alias("n")).collect()]
+    assert sum(sizes) == 400 * 400 and max(sizes) < 80_000
