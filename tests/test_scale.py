@@ -204,3 +204,28 @@ def test_packing_holds_a_bounded_number_of_pixels(image):
     packed = overlap.pack_tiles(d, ["image_id"], ["v"], [], (1, 1), (512, 512))
     sizes = [r.n for r in packed.select(F.size("_vy").alias("n")).collect()]
     assert sum(sizes) == 400 * 400 and max(sizes) < 80_000
+
+
+def test_colour_samples_are_looked_up_once_a_frame(spark):
+    """As expressions of pixel rows they were repeated by every column made of them, in methods too long to be compiled."""
+    from skyframe.functions.quantiles import log_bin
+    from skyframe.sources.views import Views
+
+    mean = (F.col("r") + F.col("g") + F.col("b")) / 3.0
+    d = Views(spark, "/root/testdata/sf0.001").rgb.select("image_id", F.pow(mean, 2).alias("v")).withColumn("b", log_bin(F.col("v")))
+    assert d.filter(F.col("b").isNotNull())._jdf.queryExecution().optimizedPlan().toString().count("element_at") <= 3
+
+
+def test_star_windows_are_joined_once(image):
+    import numpy as np
+
+    from skyframe.operators.stars import frame_quality
+
+    a = np.random.default_rng(5).normal(0.1, 0.005, (64, 64))
+    y, x = np.mgrid[0:64, 0:64]
+    for cy, cx in ((15, 15), (30, 45), (48, 20)):
+        a += 0.5 * np.exp(-((y - cy) ** 2 + (x - cx) ** 2) / 4.5)
+    d = frame_quality(image(a), F.col("v"))
+    assert "star_id" not in d._jdf.queryExecution().optimizedPlan().toString()
+    r = d.first()
+    assert r.stars >= 3 and 2.5 < r.fwhm < 5
