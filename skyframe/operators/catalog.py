@@ -20,6 +20,12 @@ def _tier(radius: Column) -> Column:
     return t
 
 
+def _in_many_tasks(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by ``keys`` over a number of tasks of its own, which is not lowered by the bytes that go in."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), *keys)
+
+
 def cone_search(fields: DataFrame, catalog: DataFrame) -> DataFrame:
     """Objects whose disc meets each field's circle.
 
@@ -52,10 +58,8 @@ def cone_search(fields: DataFrame, catalog: DataFrame) -> DataFrame:
         )),
     ).select("field_id", "_fra", "_fdec", "fov_radius", F.col("_q.t").alias("_t"), "_cx", "_cy")
     sep = haversine_deg(F.col("_fra"), F.col("_fdec"), F.col("ra"), F.col("dec"))
-    # few bytes go in and many pairs come out: a number of its own keeps the cells in many tasks
-    spark = fields.sparkSession
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
-    f = f.repartition(tasks, "_t", "_cx", "_cy")
+    # few bytes go in and many pairs come out
+    f = _in_many_tasks(f, "_t", "_cx", "_cy")
     return (
         f.join(obj.hint("merge"), ["_t", "_cx", "_cy"]).withColumn("sep", sep)
         .filter(F.col("sep") <= F.col("fov_radius") + F.col("_or"))
@@ -74,8 +78,11 @@ def prominence(cands: DataFrame) -> DataFrame:
 
 def collapse_twins(cands: DataFrame) -> DataFrame:
     """One candidate per rounded position of a field: the best score, the earlier row on a tie."""
-    d = cands.withColumn("_kx", F.rint(F.col("ra") * 100)).withColumn("_ky", F.rint(F.col("dec") * 100))
-    return top_k(d, ["field_id", "_kx", "_ky"], [F.col("score").desc(), F.col("ord")], 1).drop("_kx", "_ky", "rank")
+    # whole numbers: double keys are normalised by the window, which then deals the rows once more
+    at = lambda c: F.coalesce(F.rint(F.col(c) * 100).try_cast("long"), F.when(F.col(c).isNotNull(), F.lit(1 << 62)))
+    d = cands.withColumn("_kx", at("ra")).withColumn("_ky", at("dec"))
+    # pairs pack well, so that few tasks would sort many of them
+    return top_k(_in_many_tasks(d, "field_id", "_kx", "_ky"), ["field_id", "_kx", "_ky"], [F.col("score").desc(), F.col("ord")], 1).drop("_kx", "_ky", "rank")
 
 
 def top_candidate(cands: DataFrame) -> DataFrame:

@@ -229,3 +229,14 @@ def test_star_windows_are_joined_once(image):
     assert "star_id" not in d._jdf.queryExecution().optimizedPlan().toString()
     r = d.first()
     assert r.stars >= 3 and 2.5 < r.fwhm < 5
+
+
+def test_twins_are_collapsed_in_many_tasks(spark):
+    """Pairs pack well, so that tasks set by bytes were few and sorted many of them."""
+    from skyframe.operators.catalog import collapse_twins
+
+    c = spark.range(0, 400).select((F.col("id") % 5).alias("field_id"), (F.col("id") % 20 * 0.5).alias("ra"), (F.col("id") * -0.0).alias("dec"), F.col("id").cast("double").alias("score"), F.col("id").alias("ord"))
+    d = collapse_twins(c)
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan
+    assert {(r.field_id, r.ra, r.score) for r in d.collect()} == {(i % 5, i % 20 * 0.5, float(i)) for i in range(380, 400)}
