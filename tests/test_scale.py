@@ -240,3 +240,16 @@ def test_twins_are_collapsed_in_many_tasks(spark):
     plan = d._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan
     assert {(r.field_id, r.ra, r.score) for r in d.collect()} == {(i % 5, i % 20 * 0.5, float(i)) for i in range(380, 400)}
+
+
+def test_a_gated_step_joins_tables(image):
+    """A step that is read twice by its gate doubled all joins before it in one task."""
+    import numpy as np
+
+    from skyframe.operators import registry
+
+    d = image(np.linspace(0.1, 0.9, 64).reshape(8, 8), name="r").withColumns({c: F.col("r") for c in "gb"})
+    step = {"name": "saturation", "params": {"amount": 0.0}, "opacity": 0.5}
+    out = registry.replay(d, [step] * 3)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+    assert all(abs(a.r - b.r) < 1e-9 for a, b in zip(out.orderBy("y", "x").collect(), d.orderBy("y", "x").collect()))
