@@ -253,3 +253,37 @@ def test_a_gated_step_joins_tables(image):
     out = registry.replay(d, [step] * 3)
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
     assert all(abs(a.r - b.r) < 1e-9 for a, b in zip(out.orderBy("y", "x").collect(), d.orderBy("y", "x").collect()))
+
+
+def test_medians_beside_a_gap_do_not_slow_the_rest(monkeypatch):
+    """One undefined value sent every window of an array to the slow median."""
+    from skyframe.functions import kernels as Kn
+
+    a = np.random.default_rng(12).random((60, 60))
+    a[5, 7], a[:, 0] = np.nan, np.nan
+    want = np.nanmedian(Kn.windows(a, 5), axis=2)
+    slow = []
+    monkeypatch.setattr(np, "nanmedian", lambda w, axis, real=np.nanmedian: slow.append(len(w)) or real(w, axis=axis))
+    got = Kn.rank_filter(a, 5, "median")
+    assert np.array_equal(got[2:-2, 2:-2], want) and sum(slow) < 100
+
+
+def test_quantile_counts_are_smaller_than_their_image(spark):
+    """Fine bins were about as many as the pixels of an image, so that its counts were sorted like pixels."""
+    from skyframe.functions import quantiles as Q
+
+    d = spark.range(0, 20_000).select(F.lit(0).alias("image_id"), (0.3 + F.rand(3) * 0.5).alias("v"))
+    assert d.select(Q.log_bin(F.col("v"), Q.COUNT_BINS)).distinct().count() < 1000
+    values = sorted(r.v for r in d.collect())
+    got = Q.group_quantiles(d, ["image_id"], "v", {"a": Q.lower(0.25), "k": Q.kth_largest(7)}).first()
+    assert (got.a, got.k) == (values[int(0.25 * 19_999)], values[-7])
+
+
+def test_denoised_channels_stay_in_one_row(image):
+    """Channels dealt to rows of their own had to be put together again by a shuffle of all pixels."""
+    from skyframe.operators import stencil
+
+    d = image(np.random.default_rng(13).random((40, 40)), name="r").withColumns({"g": F.col("r") * 0.5, "b": 1.0 - F.col("r")})
+    for out in (stencil.noise_reduction(d), stencil.chroma_nr(d, 0.8)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Aggregate" not in plan and plan.count("Exchange hashpartitioning") == 0 and out.count() == 1600
