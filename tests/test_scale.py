@@ -287,3 +287,28 @@ def test_denoised_channels_stay_in_one_row(image):
     for out in (stencil.noise_reduction(d), stencil.chroma_nr(d, 0.8)):
         plan = out._jdf.queryExecution().executedPlan().toString()
         assert "Aggregate" not in plan and plan.count("Exchange hashpartitioning") == 0 and out.count() == 1600
+
+
+def test_points_of_a_tile_are_measured_together(monkeypatch):
+    """A transform and a dozen small array calls a point took most of the time."""
+    from skyframe.operators import burst
+
+    rng = np.random.default_rng(14)
+    ref, calls = rng.random((9, 12, 12)), []
+    monkeypatch.setattr(np.fft, "irfft2", lambda *a, real=np.fft.irfft2, **k: calls.append(1) or real(*a, **k))
+    tgt = np.stack([np.roll(a, (i % 3 - 1, i // 3 - 1), (0, 1)) for i, a in enumerate(ref)])
+    dy, dx = burst._peaks(burst._windows(ref, 3), burst._windows(tgt, 3))
+    assert len(calls) == 1 and np.rint(dy).tolist() == [i % 3 - 1 for i in range(9)] and np.rint(dx).tolist() == [i // 3 - 1 for i in range(9)]
+
+
+def test_small_frames_are_correlated_in_small_arrays(spark, monkeypatch):
+    """Frames of eight pixels a side filled arrays of a whole tile."""
+    from skyframe.operators import burst
+
+    a = np.random.default_rng(15).random((8, 9))
+    y, x = np.mgrid[0:8, 0:9]
+    pairs = spark.createDataFrame(pd.DataFrame({"target_id": 0, "frame_id": 1, "y": y.ravel().astype("int32"), "x": x.ravel().astype("int32"), "ref": a.ravel(), "tgt": np.roll(a, 1, 0).ravel()}))
+    got = {(r.dy, r.dx): r.s for r in burst.correlate(pairs, 2).collect()}
+    wide = lambda v: np.pad(v, 2)
+    want = {(i, j): float((a * wide(np.roll(a, 1, 0))[2 + i : 10 + i, 2 + j : 11 + j]).sum()) for i in range(-2, 3) for j in range(-2, 3)}
+    assert got == pytest.approx(want)
