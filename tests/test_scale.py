@@ -312,3 +312,16 @@ def test_small_frames_are_correlated_in_small_arrays(spark, monkeypatch):
     wide = lambda v: np.pad(v, 2)
     want = {(i, j): float((a * wide(np.roll(a, 1, 0))[2 + i : 10 + i, 2 + j : 11 + j]).sum()) for i in range(-2, 3) for j in range(-2, 3)}
     assert got == pytest.approx(want)
+
+
+def test_shifts_of_small_frames_take_no_data_frame_each(spark):
+    """A pandas frame in and out of every group took most of the time of small frames."""
+    from skyframe.operators import burst
+
+    a = np.random.default_rng(16).random((8, 8))
+    y, x = np.mgrid[0:8, 0:8]
+    pairs = spark.createDataFrame(pd.DataFrame({"target_id": 0, "frame_id": 1, "y": y.ravel().astype("int32"), "x": x.ravel().astype("int32"), "ref": a.ravel(), "tgt": a.ravel()}))
+    for d in (burst.whole_shift(pairs), burst.best_shift(burst.correlate(pairs, 2))):
+        assert "InPandas" not in d._jdf.queryExecution().executedPlan().toString()
+        r = d.first()
+        assert abs(r.dx) < 0.5 and abs(r.dy) < 0.5
