@@ -325,3 +325,43 @@ def test_shifts_of_small_frames_take_no_data_frame_each(spark):
         assert "InPandas" not in d._jdf.queryExecution().executedPlan().toString()
         r = d.first()
         assert abs(r.dx) < 0.5 and abs(r.dy) < 0.5
+
+
+def test_pixels_meet_the_gains_of_their_frames_over_a_shuffle(spark, exploded):
+    from skyframe.operators import stack
+    from skyframe.session import cut
+
+    stats = cut(stack.frame_stats(exploded))
+    got = stack.normalize_to_ref(exploded, stats, spark.createDataFrame([(0, 7)], "target_id int, frame_id long"))
+    got.write.format("noop").mode("overwrite").save()
+    joins = [line for line in got._jdf.queryExecution().executedPlan().toString().splitlines() if "BroadcastHashJoin" in line]
+    assert not any("Inner, BuildLeft" in j or ("frame_id" in j and "Inner" in j) for j in joins)
+    st = {r.frame_id: r for r in stats.collect()}
+    want = {(r.frame_id, r.y, r.x): (r.v - st[r.frame_id].med) * min(max(st[7].sig / st[r.frame_id].sig, 0.5), 2.0) + st[7].med for r in exploded.collect()}
+    assert {(r.frame_id, r.y, r.x): r.v for r in got.collect()} == pytest.approx(want)
+
+
+def test_a_stage_of_wanted_keys_is_read_without_looking_them_up(spark, tmp_path):
+    from skyframe.operators import runs
+
+    def keys(*frames):
+        return spark.createDataFrame([(f"frame {f}",) for f in frames], "frame_key string")
+
+    def compute(missing):
+        return missing.select("frame_key", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("x"))
+
+    def frames(rows):
+        return sorted((r.frame_key[6:], r.x) for r in rows.collect())
+
+    stages = runs.Stages(spark, str(tmp_path))
+    stages.once("a", keys(1, 2), ["frame_key"], compute)
+    every = stages.once("a", keys(1, 2, 3), ["frame_key"], compute)
+    assert "Join" not in every._jdf.queryExecution().executedPlan().toString()
+    assert frames(every) == [(f, x) for f in "123" for x in range(4)]
+    some = stages.once("a", keys(3, 1), ["frame_key"], compute)
+    assert _broadcasts(some) == 0 and frames(some) == [(f, x) for f in "13" for x in range(4)]
+    assert len(stages._folders("a")) == len(stages._folders("a-keys")) == 2
+    # rows whose keys were not noted are never taken for wanted ones
+    spark.createDataFrame([("frame 9", 0)], "frame_key string, x int").write.parquet(f"{tmp_path}/a/died")
+    spark.createDataFrame([("a", f"{tmp_path}/a/died")], "stage string, folder string").coalesce(1).write.mode("append").json(f"{tmp_path}/manifest")
+    assert frames(stages.once("a", keys(1, 2, 3), ["frame_key"], compute)) == [(f, x) for f in "123" for x in range(4)]
