@@ -365,3 +365,23 @@ def test_a_stage_of_wanted_keys_is_read_without_looking_them_up(spark, tmp_path)
     spark.createDataFrame([("frame 9", 0)], "frame_key string, x int").write.parquet(f"{tmp_path}/a/died")
     spark.createDataFrame([("a", f"{tmp_path}/a/died")], "stage string, folder string").coalesce(1).write.mode("append").json(f"{tmp_path}/manifest")
     assert frames(stages.once("a", keys(1, 2, 3), ["frame_key"], compute)) == [(f, x) for f in "123" for x in range(4)]
+
+
+def test_tasks_that_combine_narrowband_images_hold_a_bounded_number_of_pixels(spark, monkeypatch):
+    from skyframe.operators import pixel
+
+    monkeypatch.setattr(pixel, "TASK_PIXELS", 3000, raising=False)
+    grid = spark.range(0, 20_000).select((F.col("id") / 10_000).cast("long").alias("image_id"), ((F.col("id") % 10_000) / 100).cast("int").alias("y"), (F.col("id") % 100).cast("int").alias("x"))
+    ha, o3, s2 = (grid.withColumn("v", (F.col("y") * a + F.col("x") * b) % 101 / 100.0) for a, b in ((3, 7), (5, 11), (13, 2)))
+    o3, s2 = o3.where("x <> 9"), s2.where("x % 5 <> 0")
+    value = lambda r, a, b: min((r.y * a + r.x * b) % 101 / 100.0, 1.0)
+    for sii, palette in ((s2, "SHO"), (s2, "HOS"), (None, "HOS")):
+        got = pixel.narrowband(ha, o3, sii, palette).cache()
+        held = got.groupBy(F.spark_partition_id()).count().agg(F.max("count"), F.sum("count")).collect()[0]
+        assert held[1] == 19_800 and held[0] < 2000
+        for r in got.where("x % 7 = 0 or x = 5").collect():
+            h, o = value(r, 3, 7), value(r, 5, 11)
+            s = value(r, 13, 2) if sii is not None and r.x % 5 else None
+            want = (h if s is None else s, h, o) if palette == "SHO" else (h, o, o if s is None else s)
+            assert (r.r, r.g, r.b) == pytest.approx(want)
+        got.unpersist()
