@@ -9,6 +9,7 @@ keeps the pixels it had, the ledger names the reason, and its later steps go on.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
@@ -17,6 +18,7 @@ from functools import reduce
 from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skyframe.functions.math import clip
 from skyframe.operators import masks, pixel, registry, rules, scene, stars, stats, stencil, surface, trails
@@ -164,6 +166,102 @@ def _counts(d: DataFrame, name: str) -> DataFrame:
 
 #: Parts that the images of a failed step are split into, and parts that run at the same time.
 PARTS, AT_ONCE = 8, 8
+#: Images that are tried on one plan; the driver holds their numbers.
+BATCH = 8192
+
+
+def _images(d: DataFrame) -> DataFrame:
+    return d.select("image_id").distinct()
+
+
+def _as_tasks(d: DataFrame, step: Step, settings: dict, work: Work, tasks: int):
+    """The step over images dealt to ``tasks`` tasks as a Java RDD without rows, or nothing where images meet after that.
+
+    Every column is computed, by a condition that stays above the exchange and that a row meets once in 2^64.
+    """
+    own = replace(work, made=dict(work.made))
+    done = step.fn(d.repartition(tasks, "image_id"), settings, own).select(*PIX, *RGB)
+    tried = done.where(F.xxhash64(*done.columns, F.spark_partition_id()) == 0)
+    plan = tried._jdf.queryExecution().executedPlan().toString()
+    if plan.count("Exchange") != 1 or not re.search(rf"Exchange hashpartitioning\(image_id#\w+, {tasks}\)", plan):
+        return None
+    rdd = tried._jdf.toJavaRDD()
+    return rdd if rdd.getNumPartitions() == tasks else None
+
+
+def _stoppers(d: DataFrame, step: Step, settings: dict, work: Work) -> list[tuple] | None:
+    """(image, reason) of the images of a batch that stop the step, or nothing where that is not found this way.
+
+    Where the step moves no rows between tasks, each image gets a task of its own and a try is a job over
+    some tasks of one plan: no try plans, writes or lists anything.  Images that share a task are dealt again.
+    """
+    sc, found = d.sparkSession.sparkContext, []
+    ids = [r.image_id for r in _images(d).collect()]
+    for turn in range(10):
+        tasks = 4 * len(ids) + 256 + turn
+        homes = d.sparkSession.createDataFrame([(i,) for i in ids], d.select("image_id").schema).select("image_id", F.pmod(F.hash("image_id"), F.lit(tasks)).alias("at")).collect()
+        held = {}
+        for r in homes:
+            held.setdefault(r.at, []).append(r.image_id)
+        try:
+            rdd = _as_tasks(d, step, settings, work, tasks)
+        except Exception:  # noqa: BLE001  the step runs a job of its own, or fails before its images are dealt
+            return None
+        if rdd is None:
+            return None
+
+        def tried(places: list[int]) -> Exception | None:
+            wanted = sc._gateway.new_array(sc._jvm.int, len(places))
+            for i, p in enumerate(places):
+                wanted[i] = p
+            try:
+                rdd.glom().collectPartitions(wanted)  # an RDD of its own: Spark ends all jobs over an RDD when one of them fails
+            except Exception as e:  # noqa: BLE001  an image of the part stopped the job
+                return e
+            return None
+
+        again, open_ = [], [sorted(held)]
+        with ThreadPoolExecutor(2 * AT_ONCE) as pool:  # such a job is mostly waiting
+            while open_:
+                parts = [some[i::PARTS] for some in open_ for i in range(min(PARTS, len(some)))]
+                open_ = []
+                for places, e in zip(parts, pool.map(tried, parts)):
+                    if e is None:
+                        continue
+                    if len(places) > 1:
+                        open_.append(places)
+                    elif len(held[places[0]]) > 1:
+                        again += held[places[0]]
+                    else:
+                        found.append((held[places[0]][0], _one_line(e)))
+        if not again:
+            return found
+        ids, d = again, cut(d.where(F.col("image_id").isin(again)))
+    return None
+
+
+def _without_stoppers(d: DataFrame, step: Step, settings: dict, work: Work) -> tuple[DataFrame, DataFrame] | None:
+    """(pixels, table of (image_id, reason)): the step over the images that do not stop it, the others as they were."""
+    spark, schema = d.sparkSession, d.schema
+    batches = -(-_images(d).count() // BATCH)
+    path = scratch_path(spark, "batches")
+    rows = d.withColumn("batch", F.pmod(F.xxhash64("image_id"), F.lit(batches)))
+    rows.repartition("image_id").write.partitionBy("batch").parquet(path)
+    told = []
+    for batch in sorted(r.batch for r in spark.read.parquet(path).select("batch").distinct().collect()):
+        found = _stoppers(spark.read.schema(schema).parquet(f"{path}/batch={batch}"), step, settings, work)
+        if found is None:
+            return None
+        told.append(cut(spark.createDataFrame(found, T.StructType([schema["image_id"], T.StructField("reason", T.StringType())]))))
+    bad = reduce(DataFrame.unionByName, told)
+    fit = cut(d.join(bad.select("image_id"), "image_id", "left_anti").select(*d.columns))
+    own = replace(work, made=dict(work.made))
+    try:
+        done = cut(step.fn(fit, settings, own).select(*PIX, *RGB))
+    except Exception:  # noqa: BLE001  together they stop it all the same
+        return None
+    work.made.update(own.made)
+    return done.unionByName(d.join(bad.select("image_id"), "image_id", "left_semi").select(*PIX, *RGB)), bad
 
 
 def _by_parts(d: DataFrame, step: Step, settings: dict, work: Work, error: Exception) -> tuple[DataFrame, list[DataFrame]]:
@@ -193,9 +291,11 @@ def _by_parts(d: DataFrame, step: Step, settings: dict, work: Work, error: Excep
             return ("failed", path, _one_line(e)) if alone else ("open", path, level)
         return "done", out, done.schema, own.made
 
-    if d.select("image_id").distinct().limit(2).count() < 2:
-        return d, [d.select("image_id").distinct().withColumn("reason", F.lit(_one_line(error)))]
+    if _images(d).limit(2).count() < 2:
+        return d, [_images(d).withColumn("reason", F.lit(_one_line(error)))]
     checkpoint_root(spark)  # set before the threads need it
+    if found := _without_stoppers(d, step, settings, work):
+        return found[0], [found[1]]
     open_, done, made, reasons = [(d, 0)], {}, {}, {}
     with ThreadPoolExecutor(AT_ONCE) as pool:
         while open_:

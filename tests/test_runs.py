@@ -72,6 +72,42 @@ def test_tries_after_a_failed_step_read_their_own_images_only(spark):
     assert all(read[1:]) and all(not a & b for i, a in enumerate(read[1:]) for b in read[1 + i + 1 :])
 
 
+def test_images_that_stop_a_step_are_found_on_few_plans(spark):
+    """Every try planned, wrote and listed, so that many stopped images took some jobs each."""
+    pictures, made = {i: np.full((2, 2), 0.8) for i in range(120)}, []
+
+    def raises(d, s, w):
+        made.append(0)
+        told = F.raise_error(F.concat(F.lit("spoilt "), F.col("image_id")))
+        return d.withColumns({c: F.when(F.col("image_id") % 3 == 1, told).otherwise(F.col(c) * 0.5) for c in "rgb"})
+
+    rows = [(i, 0, "raises", True, None, "{}") for i in range(120)]
+    px, ledger = finish.run_plan(colour(spark, pictures), plan_of(spark, rows), steps={"raises": finish.Step(raises)})
+    assert {r.image_id: r.r for r in px.groupBy("image_id").agg(F.max("r").alias("r")).collect()} == pytest.approx({i: 0.8 if i % 3 == 1 else 0.4 for i in range(120)})
+    assert {r.image_id: r.reason for r in ledger.where("outcome = 'failed'").collect()} == {i: f"spoilt {i}" for i in range(120) if i % 3 == 1}
+    assert len(made) <= 12
+
+
+@pytest.mark.parametrize("how", ["moves rows", "runs a job", "deals anew", "looks beyond its task"])
+def test_steps_that_move_rows_are_tried_by_parts(spark, how):
+    pictures = {i: np.full((2, 2), 0.8) for i in range(12)}
+
+    def raises(d, s, w):
+        if how == "moves rows":
+            d = d.join(d.groupBy("y").agg(F.max("x").alias("top")), "y").drop("top")
+        elif how == "deals anew":
+            d = d.repartition(3)
+        d = d.withColumns({c: F.when(F.col("image_id") == 7, F.raise_error(F.lit("spoilt"))).otherwise(F.col(c) * 0.5) for c in "rgb"})
+        if how == "looks beyond its task":
+            return d.coalesce(1)
+        return finish.cut(d) if how == "runs a job" else d
+
+    rows = [(i, 0, "raises", True, None, "{}") for i in range(12)]
+    px, ledger = finish.run_plan(colour(spark, pictures), plan_of(spark, rows), steps={"raises": finish.Step(raises)})
+    assert {r.image_id: r.r for r in px.groupBy("image_id").agg(F.max("r").alias("r")).collect()} == pytest.approx({i: 0.8 if i == 7 else 0.4 for i in range(12)})
+    assert [(r.image_id, r.reason) for r in ledger.where("outcome = 'failed'").collect()] == [(7, "spoilt")]
+
+
 def test_the_whole_run_on_two_shapes(spark):
     rng = np.random.default_rng(3)
     pictures = {i: np.clip(0.25 + 0.02 * rng.standard_normal((48, 48)) + gauss_star((48, 48), 20, 25, 0.5, 4.0), 0, 1) for i in range(3)}
