@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyframe.functions.lookups import MESSIER, NEBULAE, OTHER_PALETTES, PALETTES, PRESETS
@@ -26,18 +26,35 @@ def _in_many_tasks(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), *keys)
 
 
-def cone_search(fields: DataFrame, catalog: DataFrame) -> DataFrame:
+def _place(c: str) -> Column:
+    """A coordinate in hundredths of a degree, where twins are equal."""
+    # whole numbers: double keys are normalised by the window, which then deals the rows once more
+    return F.coalesce(F.rint(F.col(c) * 100).try_cast("long"), F.when(F.col(c).isNotNull(), F.lit(1 << 62)))
+
+
+_CELL, _TWIN = ["_t", "_cx", "_cy"], ["_kx", "_ky"]
+
+
+def cone_search(fields: DataFrame, catalog: DataFrame, twins: bool = False) -> DataFrame:
     """Objects whose disc meets each field's circle.
 
     Objects sit in one sky cell of their size tier; a field lists the cells its widened circle can
     reach (right ascension wraps).  The join is on equal cells, shuffled, and the exact test follows.
+    With ``twins`` objects of one rounded position sit in one cell, that of the position and the largest
+    of them, and the pairs keep what :func:`collapse_twins` needs to collapse them where they are.
     """
     radius = F.coalesce("diameter", F.lit(0.0)) / 2 / 60
     cell = F.element_at(F.array(*[F.lit(c) for _, c in TIERS]), F.col("_t") + 1)
+    obj, ra, dec, size, margin = catalog.withColumn("_or", radius), F.col("ra"), F.col("dec"), F.col("_or"), 0.0
+    if twins:
+        same = Window.partitionBy(*_TWIN)
+        obj = obj.withColumns({"_kx": _place("ra"), "_ky": _place("dec")})
+        obj = obj.withColumns({"_size": F.max("_or").over(same), "_alone": F.count(F.lit(1)).over(same) == 1})
+        ra, dec, size, margin = F.col("_kx") / 100.0, F.col("_ky") / 100.0, F.col("_size"), 0.0051
     obj = (
-        catalog.withColumn("_or", radius).withColumn("_t", _tier(F.col("_or"))).withColumn("_cell", cell)
-        .withColumn("_cy", F.floor((F.col("dec") + 90) / F.col("_cell")).cast("int"))
-        .withColumn("_cx", F.floor(F.pmod(F.col("ra"), F.lit(360.0)) / F.col("_cell")).cast("int")).drop("_cell")
+        obj.withColumn("_t", _tier(size)).withColumn("_cell", cell)
+        .withColumn("_cy", F.floor((dec + 90) / F.col("_cell")).try_cast("int"))
+        .withColumn("_cx", F.floor(F.pmod(ra, F.lit(360.0)) / F.col("_cell")).try_cast("int")).drop("_cell", "_size")
     )
     reach = []
     for i, (r, c) in enumerate(TIERS):
@@ -45,7 +62,7 @@ def cone_search(fields: DataFrame, catalog: DataFrame) -> DataFrame:
     f = fields.select(F.col("field_id"), F.col("ra").alias("_fra"), F.col("dec").alias("_fdec"), "fov_radius")
     f = f.withColumn("_q", F.explode(F.array(*reach))).withColumn("_R", F.col("fov_radius") + F.col("_q.r"))
     polar = F.abs(F.col("_fdec")) + F.col("_R") >= 89.9
-    dra = F.when(polar, 180.0).otherwise(F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.radians("_R")) / F.cos(F.radians("_fdec"))))) + 1e-6)
+    dra = F.when(polar, 180.0).otherwise(F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.radians("_R")) / F.cos(F.radians("_fdec"))))) + 1e-6 + margin)
     n = F.greatest(F.lit(1), F.ceil(F.lit(360.0) / F.col("_q.c"))).cast("int")
     lo = F.floor((F.col("_fra") - F.col("_dra")) / F.col("_q.c")).cast("int")
     hi = F.floor((F.col("_fra") + F.col("_dra")) / F.col("_q.c")).cast("int")
@@ -53,8 +70,8 @@ def cone_search(fields: DataFrame, catalog: DataFrame) -> DataFrame:
     f = f.withColumn(
         "_cy",
         F.explode(F.sequence(
-            F.floor((F.greatest(F.col("_fdec") - F.col("_R"), F.lit(-90.0)) + 90) / F.col("_q.c")).cast("int"),
-            F.floor((F.least(F.col("_fdec") + F.col("_R"), F.lit(90.0)) + 90) / F.col("_q.c")).cast("int"),
+            F.floor((F.greatest(F.col("_fdec") - F.col("_R") - margin, F.lit(-90.0)) + 90) / F.col("_q.c")).cast("int"),
+            F.floor((F.least(F.col("_fdec") + F.col("_R") + margin, F.lit(90.0)) + 90) / F.col("_q.c")).cast("int"),
         )),
     ).select("field_id", "_fra", "_fdec", "fov_radius", F.col("_q.t").alias("_t"), "_cx", "_cy")
     sep = haversine_deg(F.col("_fra"), F.col("_fdec"), F.col("ra"), F.col("dec"))
@@ -63,7 +80,7 @@ def cone_search(fields: DataFrame, catalog: DataFrame) -> DataFrame:
     return (
         f.join(obj.hint("merge"), ["_t", "_cx", "_cy"]).withColumn("sep", sep)
         .filter(F.col("sep") <= F.col("fov_radius") + F.col("_or"))
-        .drop("_t", "_cx", "_cy", "_or", "_fra", "_fdec")
+        .drop(*([] if twins else _CELL), "_or", "_fra", "_fdec")
     )
 
 
@@ -78,11 +95,14 @@ def prominence(cands: DataFrame) -> DataFrame:
 
 def collapse_twins(cands: DataFrame) -> DataFrame:
     """One candidate per rounded position of a field: the best score, the earlier row on a tie."""
-    # whole numbers: double keys are normalised by the window, which then deals the rows once more
-    at = lambda c: F.coalesce(F.rint(F.col(c) * 100).try_cast("long"), F.when(F.col(c).isNotNull(), F.lit(1 << 62)))
-    d = cands.withColumn("_kx", at("ra")).withColumn("_ky", at("dec"))
+    first = [F.col("score").desc(), F.col("ord")]
+    if "_alone" in cands.columns:
+        # the join has brought twins together: no pair is dealt anew, and those without a twin are not sorted
+        best = top_k(cands.filter(~F.col("_alone")), [*_CELL, "field_id", *_TWIN], first, 1).drop("rank")
+        return cands.filter("_alone").unionByName(best).drop(*_CELL, *_TWIN, "_alone")
+    d = cands.withColumns({"_kx": _place("ra"), "_ky": _place("dec")})
     # pairs pack well, so that few tasks would sort many of them
-    return top_k(_in_many_tasks(d, "field_id", "_kx", "_ky"), ["field_id", "_kx", "_ky"], [F.col("score").desc(), F.col("ord")], 1).drop("_kx", "_ky", "rank")
+    return top_k(_in_many_tasks(d, "field_id", *_TWIN), ["field_id", *_TWIN], first, 1).drop(*_TWIN, "rank")
 
 
 def top_candidate(cands: DataFrame) -> DataFrame:
@@ -208,7 +228,7 @@ def identify(frames: DataFrame, catalog: DataFrame) -> DataFrame:
     """Header solution, cone search, top candidate, class and preset; unsolved keeps the given class."""
     solved = solve_header(frames)
     fields = solved.filter("solved").select(F.col("frame_id").alias("field_id"), "ra", "dec", (F.col("fov_deg") / 2).alias("fov_radius"))
-    best = top_candidate(collapse_twins(prominence(cone_search(fields, catalog))))
+    best = top_candidate(collapse_twins(prominence(cone_search(fields, catalog, twins=True))))
     named = curated_for(best.withColumn("_cls", object_class())).select(
         F.col("field_id").alias("frame_id"), F.col("id").alias("object_id"), object_label(F.col("id"), F.col("common_name")).alias("label"), "_cls", "preset"
     )

@@ -37,7 +37,7 @@ def w11(v):
 
 @query("w10_twin_collapse", "catalog field", f"select field_id,id,{s6('score')} from tw where r=1", CONE)
 def w10(v):
-    return rounded(C.collapse_twins(C.prominence(C.cone_search(v.field, cat(v)))).select("field_id", "id", "score"), "score")
+    return rounded(C.collapse_twins(C.prominence(C.cone_search(v.field, cat(v), twins=True))).select("field_id", "id", "score"), "score")
 
 
 @query("u01_catalog_union", "catalog", f"select source,count(*) n,{s6('sum(dec)', 'dec_sum')} from catalog group by source")

@@ -1,5 +1,7 @@
 """Operators whose rounds, writes or groups must stay bounded."""
 
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -242,6 +244,36 @@ def test_twins_are_collapsed_in_many_tasks(spark):
     assert {(r.field_id, r.ra, r.score) for r in d.collect()} == {(i % 5, i % 20 * 0.5, float(i)) for i in range(380, 400)}
 
 
+def test_twins_are_collapsed_where_the_join_put_them(spark):
+    """Every pair was dealt anew by its rounded position, far more rows than both tables hold."""
+    import math
+
+    import numpy as np
+
+    from skyframe.operators.catalog import collapse_twins, cone_search, prominence
+
+    rng, n = np.random.default_rng(4), 600
+    # positions beside the borders of sky cells, the seam of right ascension and the poles, on both sides of a rounding
+    ra = rng.choice([0.0, 2.0, 16.0, 359.99, 180.0], n) + rng.choice([-0.012, -0.0049, -0.004, 0.0, 0.004, 0.0049, 0.006], n)
+    dec = np.clip(rng.choice([-90.0, -88.0, 0.0, 6.0, 46.0, 90.0], n) + rng.choice([-0.006, -0.0049, 0.0, 0.004, 0.0049], n), -90, 90)
+    size = rng.choice([5.0, 40.0, 200.0, 900.0], n)
+    rows = [(str(i), i, float(ra[i]), float(dec[i]), None if i % 13 == 0 else float(size[i]), None if i % 11 == 0 else float(i % 9), "M" if i % 10 == 0 else "NGC/IC") for i in range(n)]
+    rows += [("lost", n, None, 1.0, 5.0, 3.0, "M"), ("nan", n + 1, math.nan, 1.0, 5.0, 3.0, "M")]
+    objects = spark.createDataFrame(rows, "id string, ord long, ra double, dec double, diameter double, mag double, source string")
+    at = [(r, d) for r in (0.3, 1.5, 17.0, 357.0, 179.5) for d in (-89.5, -87.0, 0.7, 44.5, 88.5)]
+    fields = spark.createDataFrame([(i, float(r), float(d), 0.7 + i % 4) for i, (r, d) in enumerate(at)], "field_id long, ra double, dec double, fov_radius double")
+    pairs = prominence(cone_search(fields, objects))
+    best = {}
+    for r in pairs.collect():
+        k = (r.field_id, round(r.ra * 100), round(r.dec * 100))  # half to even
+        best[k] = min(best.get(k, (0, 0, "")), (-r.score, r.ord, r.id))
+    told = collapse_twins(prominence(cone_search(fields, objects, twins=True)))
+    assert {(r.field_id, r.id) for r in told.collect()} == {(k[0], v[2]) for k, v in best.items()} and len(best) < pairs.count()
+    assert told.count() == len(best) and set(told.columns) == set(pairs.columns)
+    plan = told._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"Exchange \w+\([^)]*field_id", plan)
+
+
 def test_a_gated_step_joins_tables(image):
     """A step that is read twice by its gate doubled all joins before it in one task."""
     import numpy as np
