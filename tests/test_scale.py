@@ -274,6 +274,24 @@ def test_twins_are_collapsed_where_the_join_put_them(spark):
     assert not re.search(r"Exchange \w+\([^)]*field_id", plan)
 
 
+def test_tools_run_side_by_side(image):
+    """Each tool waited for the one before it, however little of the machine that one used."""
+    import threading
+
+    from skyframe.operators import registry
+
+    d = image(np.linspace(0.1, 0.9, 64).reshape(8, 8), name="r").withColumns({c: F.col("r") for c in "gb"})
+    met = threading.Barrier(2, timeout=60)
+
+    def waits(px, settings):
+        met.wait()  # raises unless another tool comes here as well
+        return px.withColumn("r", F.col("r") * settings["by"])
+
+    tools = {n: registry.Tool(n, "Tone", waits, [registry.Param("by", "float", 0.5)]) for n in ("a", "b")}
+    got = registry.contract_rows(d, {"b": {"by": 2.0}}, tools)
+    assert {(r.tool, r.image_id, r.n, r.n_valid) for r in got.collect()} == {("a", 0, 64, 64), ("b", 0, 64, 32)}
+
+
 def test_a_gated_step_joins_tables(image):
     """A step that is read twice by its gate doubled all joins before it in one task."""
     import numpy as np
