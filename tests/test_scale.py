@@ -292,6 +292,32 @@ def test_tools_run_side_by_side(image):
     assert {(r.tool, r.image_id, r.n, r.n_valid) for r in got.collect()} == {("a", 0, 64, 64), ("b", 0, 64, 32)}
 
 
+def test_patches_and_surfaces_are_not_interpreted_for_every_pixel(image):
+    """Rectangles were worked out, and polynomial terms added up, by functions over arrays for each pixel."""
+    from skyframe.operators import stats, surface
+
+    a = np.random.default_rng(6).uniform(0.1, 0.9, (160, 160))
+    d = image(a, name="r").withColumns({c: F.col("r") for c in "gb"})
+    plan = stats.dust_patches(d)._jdf.queryExecution().optimizedPlan().toString()
+    of_pixels = [x for x in plan.splitlines() if "lambdafunction" in x and re.search(r"[( ][xy]#", x)]
+    assert "lambdafunction" in plan and not of_pixels
+    made, real = [], surface.cut
+    surface.cut = lambda t: made.append(t._jdf.queryExecution().optimizedPlan().toString()) or real(t)
+    try:
+        out = surface.background_extract(d)
+    finally:
+        surface.cut = real
+    assert "zip_with" not in made[-1]
+    got, v = out.orderBy("y", "x").toPandas(), np.linspace(-1, 1, 160)
+    u, w = np.meshgrid(v, v)
+    # the surface is a polynomial of degree 4 in x and y, less its median
+    basis = np.stack([u**i * w ** (t - i) for t in range(5) for i in range(t + 1)], -1).reshape(-1, 15)
+    gone = a.ravel() - got.r.to_numpy()
+    inside = (got.r > 0) & (got.r < 1)
+    fit = basis[inside] @ np.linalg.lstsq(basis[inside], gone[inside], rcond=None)[0]
+    assert np.abs(fit - gone[inside]).max() < 1e-9 and gone.std() > 1e-4
+
+
 def test_a_gated_step_joins_tables(image):
     """A step that is read twice by its gate doubled all joins before it in one task."""
     import numpy as np
